@@ -12,11 +12,18 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def decimal_round(x, digits: int) -> Column:
+    """Half-up rounding of the decimal value of a double, as a SQL store does
+    after casting float to numeric: first to 10 places (drops binary noise
+    such as 1.8499999999999999), then to ``digits``."""
+    return F.round(F.round(_c(x), 10), digits)
+
+
 def match_score(qualification, fit, beta: float) -> Column:
     """Combined tier-3 score: ((1-beta) + beta*fit/100) * (qualification/100) * 100,
-    rounded to one decimal (SQL half-up rounding). NULL when an input is NULL."""
+    rounded to one decimal. NULL when an input is NULL."""
     q, f = _c(qualification).cast("double"), _c(fit).cast("double")
-    return F.round(((F.lit(float(1 - beta)) + F.lit(float(beta)) * f / 100) * (q / 100)) * 100, 1)
+    return decimal_round(((F.lit(float(1 - beta)) + F.lit(float(beta)) * f / 100) * (q / 100)) * 100, 1)
 
 
 def level_weight(level) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joblake.functions.scores import level_weight
+from joblake.functions.scores import decimal_round, level_weight
 from joblake.operators.filters import keyword_entry_predicate, keyword_job_predicate
 from joblake.schemas import CANDIDATE_MIN_JOBS
 
@@ -57,12 +57,12 @@ def keyword_market(jobs: DataFrame, keywords: DataFrame, job_keywords: DataFrame
     salary = F.coalesce(F.col("_salary"), global_salary)
     product = salary * F.col("_fit") * F.col("actionable_count") * level_weight("user_level")
     priority = F.when(F.col("actionable_count") == 0, F.lit(None).cast("double")).otherwise(
-        F.round(F.when(product > 0, F.ln(product)) - 15, 1))
+        decimal_round(F.when(product > 0, F.ln(product)) - 15, 1))
     return grouped.select(
         "kind", "id", "name", "user_level", "raw_count", "actionable_count",
-        F.round("_fit", 1).alias("avg_fit"),
-        F.round("_qual", 1).alias("avg_qual"),
-        F.round(salary, 0).alias("avg_salary"),
+        decimal_round("_fit", 1).alias("avg_fit"),
+        decimal_round("_qual", 1).alias("avg_qual"),
+        decimal_round(salary, 0).alias("avg_salary"),
         priority.alias("improvement_priority"))
 
 

@@ -65,8 +65,8 @@ JOIN {part} p ON p.p_partkey = o.o_orderkey % 200
 # t3_score = match_score(qualification, fit) with beta 0.2, written out in SQL
 _B_JOBS = """
 SELECT b.*,
-       round(((CAST(0.8 AS DOUBLE) + CAST(0.2 AS DOUBLE) * b.t3_fit / 100)
-              * (b.t3_qualification / 100)) * 100, 1) AS t3_score
+       round(round(((CAST(0.8 AS DOUBLE) + CAST(0.2 AS DOUBLE) * b.t3_fit / 100)
+              * (b.t3_qualification / 100)) * 100, 10), 1) AS t3_score
 FROM {b_jobs_base} b
 """
 

@@ -35,9 +35,10 @@ withp AS (
          coalesce(s, (SELECT gs FROM g)) * f * actionable_count * ({_LEVEL_SQL}) AS p
   FROM agg)
 SELECT kind, id, name, user_level, raw_count, actionable_count,
-       round(f, 1) AS avg_fit, round(q, 1) AS avg_qual, round(sal, 0) AS avg_salary,
+       round(round(f, 10), 1) AS avg_fit, round(round(q, 10), 1) AS avg_qual,
+       round(round(sal, 10), 0) AS avg_salary,
        CASE WHEN actionable_count = 0 THEN NULL
-            ELSE round(CASE WHEN p > 0 THEN ln(p) END - 15, 1) END AS improvement_priority
+            ELSE round(round(CASE WHEN p > 0 THEN ln(p) END - 15, 10), 1) END AS improvement_priority
 FROM withp
 """
 
