@@ -131,12 +131,43 @@ SELECT p_partkey AS seq,
 FROM {part}
 """
 
-# one markdown profile per conversation: '# role' heading, then the turn text
+# profile markdown blocks: one per conversation turn, a level-1..3 heading
+# naming a profile section, then the turn text
 _B_PROFILES = """
-SELECT conv_id AS profile_id, turn, concat('# ', role, chr(10), text) AS block
+SELECT conv_id AS profile_id, turn,
+       concat(CASE turn % 3 WHEN 0 THEN '# ' WHEN 1 THEN '## ' ELSE '### ' END,
+              CASE turn % 6 WHEN 0 THEN 'Target Role' WHEN 1 THEN 'Summary' WHEN 2 THEN 'Work Experience'
+                   WHEN 3 THEN 'Skills' WHEN 4 THEN 'Tools and Frameworks' ELSE role END,
+              chr(10), text) AS block
 FROM {conversations}
 """
 
+# documents as listings: the description is the document text; some rows
+# carry a blocked source in via, company or title
+_B_DOC_LISTINGS = """
+SELECT doc_id AS seq,
+       CASE WHEN doc_id % 17 = 0 THEN 'Jobs via Dice' ELSE concat('Role ', CAST(doc_id AS STRING)) END AS title,
+       CASE WHEN doc_id % 13 = 0 THEN 'BeBee' ELSE concat('Company ', lang) END AS company_name,
+       CASE WHEN doc_id % 9 = 0 THEN 'Upwork' ELSE concat('via ', source) END AS via,
+       lang AS location,
+       text AS description
+FROM {documents}
+"""
+
+# relative posting phrases derived from the event log
+_B_POSTED = """
+SELECT event_id,
+       CASE event_type
+         WHEN 'view' THEN concat(CAST(CAST(floor(value / 10) AS INT) AS STRING), ' days ago')
+         WHEN 'click' THEN concat(CAST(CAST(floor(value / 100) AS INT) AS STRING), ' weeks ago')
+         WHEN 'signup' THEN concat(CAST(CAST(floor(value / 100) AS INT) AS STRING), ' months ago')
+         WHEN 'error' THEN concat(CAST(CAST(floor(value) AS INT) AS STRING), ' hours ago')
+         ELSE CASE WHEN value < 50 THEN 'Just posted' WHEN value < 100 THEN 'Yesterday'
+                   WHEN value < 150 THEN '30+ days ago' WHEN value < 200 THEN '' ELSE 'Today' END
+       END AS posted_at
+FROM {events}
+"""
+
 BINDINGS: dict[str, str] = {
     "b_jobs_base": _B_JOBS_BASE,
     "b_jobs": _B_JOBS,
@@ -147,6 +178,8 @@ BINDINGS: dict[str, str] = {
     "b_aliases": _B_ALIASES,
     "b_listings": _B_LISTINGS,
     "b_profile_blocks": _B_PROFILES,
+    "b_doc_listings": _B_DOC_LISTINGS,
+    "b_posted": _B_POSTED,
 }
 
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
