@@ -61,8 +61,9 @@ def compare(spark_df, con, sql: str) -> dict:
     if not res["cols_match"]:
         res["cols"] = (sorted(s_cols), sorted(d_cols))
     if res["cols_match"] and not res["values_match"]:
-        diff_s = [r for r in s_rows if r not in set(d_rows)][:3]
-        diff_d = [r for r in d_rows if r not in set(s_rows)][:3]
+        ds, ss = set(d_rows), set(s_rows)
+        diff_s = [r for r in s_rows if r not in ds][:3]
+        diff_d = [r for r in d_rows if r not in ss][:3]
         res["sample_diff"] = (diff_s, diff_d)
     res["ok"] = res["cols_match"] and res["values_match"]
     return res
