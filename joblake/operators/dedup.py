@@ -60,16 +60,20 @@ def _prefix_tokens(items: DataFrame, id_col: str, tokens_col: str, prefix_len: C
             .select(id_col, F.col("_t.tok").alias("tok")))
 
 
-def similar_company(names: DataFrame, threshold: float = TRIGRAM_THRESHOLD, col: str = "company_name") -> DataFrame:
-    """Pairs (a, b) of distinct names with trigram similarity >= threshold,
-    both orders and a = b included. Exact: Jaccard(x, y) >= t implies the
-    prefixes of length |x| - ceil(t|x|) + 1 share a gram."""
+def similar_company(names: DataFrame, threshold: float = TRIGRAM_THRESHOLD, col: str = "company_name",
+                    left: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of names with trigram similarity >= threshold (a = b
+    included). With ``left``, a ranges over its names only (b over all).
+    Exact: Jaccard(x, y) >= t implies the prefixes of length
+    |x| - ceil(t|x|) + 1 share a gram under one global gram order."""
     comp = (names.select(F.col(col).alias("name")).where(F.col("name").isNotNull()).distinct()
             .withColumn("grams", trigrams("name")))
     n = F.size("grams")
     plen = n - F.ceil(F.lit(threshold) * n) + 1
     pre = _prefix_tokens(comp, "name", "grams", plen)
-    cand = (pre.alias("x").join(pre.alias("y"), "tok")
+    pre_left = pre if left is None else pre.join(
+        left.select(F.col(col).alias("name")).distinct(), "name", "left_semi")
+    cand = (pre_left.alias("x").join(pre.alias("y"), "tok")
             .select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct())
     ga = comp.select(F.col("name").alias("a"), F.col("grams").alias("ga"))
     gb = comp.select(F.col("name").alias("b"), F.col("grams").alias("gb"))
@@ -117,7 +121,8 @@ def fuzzy_candidates(rows: DataFrame, company_pairs: DataFrame, threshold: int =
     items = rows.select("rid", "company_name", "tkey").withColumn("toks", _bigram_tokens(F.col("tkey")))
     plen = _title_prefix_len(F.length("tkey"), threshold)
     pre = _prefix_tokens(items, "rid", "toks", plen).join(rows.select("rid", "company_name", "order"), "rid")
-    left = (pre.join(company_pairs.select(F.col("a").alias("company_name"), "b"), "company_name")
+    left = (pre.where(F.col("order") > F.lit(-math.inf))
+            .join(company_pairs.select(F.col("a").alias("company_name"), "b"), "company_name")
             .select(F.col("rid").alias("r"), F.col("order").alias("r_order"), "b", "tok"))
     right = pre.select(F.col("rid").alias("c"), F.col("order").alias("c_order"),
                        F.col("company_name").alias("b"), "tok")
@@ -149,7 +154,8 @@ def dedup_fuzzy(incoming: DataFrame, stored: DataFrame, *, threshold: int = FUZZ
     rows = inc.unionByName(st.select("rid", "order", "company_name", "tkey"))
     rows = rows.where(F.col("company_name") != "").checkpoint()
 
-    pairs = similar_company(rows.select("company_name"), trigram_threshold)
+    pairs = similar_company(rows.select("company_name"), trigram_threshold,
+                            left=rows.where(F.col("rid") >= 0).select("company_name"))
     cand = fuzzy_candidates(rows, pairs, threshold)
     keys = rows.select("rid", "tkey")
     scored = (cand.join(keys.withColumnRenamed("rid", "r").withColumnRenamed("tkey", "tr"), "r")
