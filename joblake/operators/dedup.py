@@ -115,19 +115,38 @@ def _title_prefix_len(length: Column, threshold: int) -> Column:
     return (length + 1) - tau + 1
 
 
+def _ratio_bounds(threshold: int) -> tuple[float, float]:
+    """(max indel fraction, min length ratio) implied by ratio >= threshold."""
+    dfrac = 1 - (threshold - 0.5) / 100.0
+    s = 1 - dfrac
+    return dfrac, s / (2 - s)
+
+
 def fuzzy_candidates(rows: DataFrame, company_pairs: DataFrame, threshold: int = FUZZY_THRESHOLD) -> DataFrame:
-    """Pairs (r, c) of row ids, c earlier than r, companies similar, that
-    may reach the ratio threshold (a superset; scored afterwards)."""
-    items = rows.select("rid", "company_name", "tkey").withColumn("toks", _bigram_tokens(F.col("tkey")))
-    plen = _title_prefix_len(F.length("tkey"), threshold)
-    pre = _prefix_tokens(items, "rid", "toks", plen).join(rows.select("rid", "company_name", "order"), "rid")
+    """Pairs (r, c) of row ids, c earlier than r, r incoming, companies
+    similar, that may reach the ratio threshold: they share a prefix bigram,
+    their lengths are within the ratio's length bound, and they share at
+    least max(la, lb) + 1 - 2d bigram tokens (d the largest indel distance
+    the threshold allows). A superset of the true pairs; scored afterwards."""
+    dfrac, rmin = _ratio_bounds(threshold)
+    items = (rows.select("rid", "company_name", "tkey", "order")
+             .withColumn("toks", _bigram_tokens(F.col("tkey"))).withColumn("len", F.length("tkey")))
+    plen = _title_prefix_len(F.col("len"), threshold)
+    pre = _prefix_tokens(items, "rid", "toks", plen).join(items.select("rid", "company_name", "order", "len"), "rid")
     left = (pre.where(F.col("order") > F.lit(-math.inf))
             .join(company_pairs.select(F.col("a").alias("company_name"), "b"), "company_name")
-            .select(F.col("rid").alias("r"), F.col("order").alias("r_order"), "b", "tok"))
-    right = pre.select(F.col("rid").alias("c"), F.col("order").alias("c_order"),
+            .select(F.col("rid").alias("r"), F.col("order").alias("r_order"), F.col("len").alias("r_len"), "b", "tok"))
+    right = pre.select(F.col("rid").alias("c"), F.col("order").alias("c_order"), F.col("len").alias("c_len"),
                        F.col("company_name").alias("b"), "tok")
-    return (left.join(right, ["b", "tok"]).where(F.col("c_order") < F.col("r_order"))
-            .select("r", "c").distinct())
+    lo, hi = F.least("r_len", "c_len"), F.greatest("r_len", "c_len")
+    pairs = (left.join(right, ["b", "tok"])
+             .where((F.col("c_order") < F.col("r_order")) & (lo >= F.lit(rmin) * hi - F.lit(1e-9)))
+             .select("r", "c").distinct())
+    toks = items.select("rid", "toks", "len")
+    both = (pairs.join(toks.select(F.col("rid").alias("r"), F.col("toks").alias("tr"), F.col("len").alias("lr")), "r")
+            .join(toks.select(F.col("rid").alias("c"), F.col("toks").alias("tc"), F.col("len").alias("lc")), "c"))
+    need = F.greatest("lr", "lc") + 1 - 2 * F.floor(F.lit(dfrac) * (F.col("lr") + F.col("lc")) + F.lit(1e-9))
+    return both.where(F.size(F.array_intersect("tr", "tc")) >= need).select("r", "c")
 
 
 def dedup_fuzzy(incoming: DataFrame, stored: DataFrame, *, threshold: int = FUZZY_THRESHOLD,
@@ -152,7 +171,15 @@ def dedup_fuzzy(incoming: DataFrame, stored: DataFrame, *, threshold: int = FUZZ
           .withColumn("rid", -1 - F.monotonically_increasing_id())
           .withColumn("order", F.lit(-math.inf)))
     rows = inc.unionByName(st.select("rid", "order", "company_name", "tkey"))
-    rows = rows.where(F.col("company_name") != "").checkpoint()
+    rows = rows.where(F.col("company_name") != "")
+    # rows with the same company and title key as an earlier row are always
+    # duplicates (ratio 100, similarity 1 with a kept row, or with whatever
+    # dropped the earlier one); only the first of each such group is paired
+    firsts = (rows.groupBy("company_name", "tkey").agg(F.min(F.struct("order", "rid")).alias("_f"))
+              .select("company_name", "tkey", F.col("_f.order").alias("order"), F.col("_f.rid").alias("rid")))
+    copies = rows.join(firsts.select("rid"), "rid", "left_anti").where(F.col("rid") >= 0).select(
+        F.col("rid").alias("r"), F.lit(False).alias("keep"))
+    rows = firsts.checkpoint()
 
     pairs = similar_company(rows.select("company_name"), trigram_threshold,
                             left=rows.where(F.col("rid") >= 0).select("company_name"))
@@ -167,8 +194,8 @@ def dedup_fuzzy(incoming: DataFrame, stored: DataFrame, *, threshold: int = FUZZ
     # status: 1 kept, 0 dropped, NULL undecided; stored rows start kept
     status = (rows.select("rid", F.when(F.col("rid") < 0, F.lit(1)).alias("st"))
               .where(F.col("rid") < 0).select(F.col("rid").alias("c"), "st"))
-    undecided = inc.select(F.col("rid").alias("r"))
-    decided = spark.createDataFrame([], "r long, keep boolean")
+    undecided = rows.where(F.col("rid") >= 0).select(F.col("rid").alias("r"))
+    decided = copies.checkpoint()
     # every round decides at least the earliest undecided row, so this ends
     while True:
         e = edges.join(undecided, "r", "left_semi").join(status, "c", "left")
