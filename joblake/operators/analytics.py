@@ -54,7 +54,9 @@ def keyword_market(jobs: DataFrame, keywords: DataFrame, job_keywords: DataFrame
                     F.avg("t3_qualification").alias("_qual"),
                     F.avg(yearly).alias("_salary"))
                .where(F.col("raw_count") >= min_jobs))
-    salary = F.coalesce(F.col("_salary"), global_salary)
+    # the fallback is bound once to a column, so the subquery is planned once
+    grouped = grouped.withColumn("_sal", F.coalesce(F.col("_salary"), global_salary))
+    salary = F.col("_sal")
     product = salary * F.col("_fit") * F.col("actionable_count") * level_weight("user_level")
     priority = F.when(F.col("actionable_count") == 0, F.lit(None).cast("double")).otherwise(
         decimal_round(F.when(product > 0, F.ln(product)) - 15, 1))
