@@ -72,7 +72,9 @@ def reprocess_upsert(jobs: DataFrame, updates: DataFrame, job_keywords: DataFram
     """Replace listing ``fields`` of stored rows matched by dedup_hash (scores
     and date_listed kept); junction rows of those listings are rebuilt from
     ``new_keywords`` (dedup_hash, kind, id)."""
-    u = updates.select("dedup_hash", *[F.col(c).alias(f"_u_{c}") for c in fields], F.lit(True).alias("_hit"))
+    # one update per hash (the smallest by value when a batch repeats a hash)
+    u = (updates.groupBy("dedup_hash").agg(F.min(F.struct(*fields)).alias("_v"))
+         .select("dedup_hash", *[F.col(f"_v.{c}").alias(f"_u_{c}") for c in fields], F.lit(True).alias("_hit")))
     out = jobs.join(u, "dedup_hash", "left")
     for c in fields:
         out = out.withColumn(c, F.when(F.col("_hit"), F.col(f"_u_{c}")).otherwise(F.col(c))).drop(f"_u_{c}")

@@ -12,6 +12,8 @@ surviving candidates are scored exactly.
 from __future__ import annotations
 
 import math
+import time as _time
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,35 +102,48 @@ def _bigram_tokens(s: Column) -> Column:
         g, F.lit("#"), F.size(F.filter(F.slice(grams, 1, i + 1), lambda h: h == g)).cast("string")))
 
 
-def _title_prefix_len(length: Column, threshold: int) -> Column:
-    """Prefix size for the ratio threshold. ratio >= thr needs indel distance
-    d <= (1 - (thr - 0.5)/100) * (la + lb); each indel removes at most two
-    bigrams, so shared bigram tokens >= max(la, lb) + 1 - 2d. With the
-    partner at most la / r long (r the length-ratio bound), this gives a
-    per-title lower bound tau, and prefix = (la + 1) - tau + 1."""
-    dfrac = 1 - (threshold - 0.5) / 100.0
-    s = 1 - dfrac
-    r = s / (2 - s)  # a partner is at least r times and at most 1/r times as long
-    lb_max = F.floor(length / F.lit(max(r, 1e-9)))
-    tau = length + 1 - 2 * F.floor(F.lit(dfrac) * (length + lb_max) + F.lit(1e-9))
-    tau = F.greatest(tau, F.lit(1))
-    return (length + 1) - tau + 1
+def _lcs_min(total: Column, threshold: int) -> Column:
+    """Smallest LCS with round(200 * LCS / total) >= threshold (half-even
+    rounding needs 200 * LCS / total >= threshold - 0.5)."""
+    return F.floor(((2 * threshold - 1) * total + 399) / 400)
+
+
+def _need(la: Column, lb: Column, threshold: int) -> Column:
+    """Bigram tokens two titles of lengths la, lb must share to reach the
+    threshold: each indel removes at most two bigrams of the padded string,
+    so shared >= max(la, lb) + 1 - 2d with d = la + lb - 2 * LCS_min; NULL
+    when no LCS that large fits (the pair cannot reach the threshold)."""
+    m = _lcs_min(la + lb, threshold)
+    d = la + lb - 2 * m
+    return F.when(m <= F.least(la, lb), F.greatest(la, lb) + 1 - 2 * d)
 
 
-def _ratio_bounds(threshold: int) -> tuple[float, float]:
-    """(max indel fraction, min length ratio) implied by ratio >= threshold."""
-    dfrac = 1 - (threshold - 0.5) / 100.0
-    s = 1 - dfrac
-    return dfrac, s / (2 - s)
+def _length_bounds(threshold: int) -> float:
+    s = (threshold - 0.5) / 100.0
+    return s / (2 - s)  # a partner is at least r times and at most 1/r times as long
+
+
+def _title_prefix_len(length: Column, threshold: int) -> Column:
+    """Prefix size per title: its bigram-token count minus the least overlap
+    any admissible partner length requires, plus one (minimum over the
+    partner lengths the ratio allows, computed in the row)."""
+    r = _length_bounds(threshold)
+    length = length.cast("bigint")
+    lo = F.greatest(F.floor(length * F.lit(r)) - 1, F.lit(0).cast("bigint"))
+    hi = F.floor(length / F.lit(r)) + 1
+    big = F.lit(1 << 40)
+    tau = F.aggregate(F.sequence(lo, hi), big,
+                      lambda acc, lb: F.least(acc, F.coalesce(_need(length, lb, threshold), big)))
+    tau = F.when(tau >= big, F.lit(1)).otherwise(F.greatest(tau, F.lit(1)))
+    return (length + 1) - tau + 1
 
 
 def fuzzy_candidates(rows: DataFrame, company_pairs: DataFrame, threshold: int = FUZZY_THRESHOLD) -> DataFrame:
     """Pairs (r, c) of row ids, c earlier than r, r incoming, companies
     similar, that may reach the ratio threshold: they share a prefix bigram,
-    their lengths are within the ratio's length bound, and they share at
-    least max(la, lb) + 1 - 2d bigram tokens (d the largest indel distance
-    the threshold allows). A superset of the true pairs; scored afterwards."""
-    dfrac, rmin = _ratio_bounds(threshold)
+    their lengths are within the ratio's bound, and they share at least the
+    bigram tokens the bound requires. A superset of the true pairs."""
+    rmin = _length_bounds(threshold)
     items = (rows.select("rid", "company_name", "tkey", "order")
              .withColumn("toks", _bigram_tokens(F.col("tkey"))).withColumn("len", F.length("tkey")))
     plen = _title_prefix_len(F.col("len"), threshold)
@@ -140,17 +155,17 @@ def fuzzy_candidates(rows: DataFrame, company_pairs: DataFrame, threshold: int =
                        F.col("company_name").alias("b"), "tok")
     lo, hi = F.least("r_len", "c_len"), F.greatest("r_len", "c_len")
     pairs = (left.join(right, ["b", "tok"])
-             .where((F.col("c_order") < F.col("r_order")) & (lo >= F.lit(rmin) * hi - F.lit(1e-9)))
+             .where((F.col("c_order") < F.col("r_order")) & (lo >= F.floor(F.lit(rmin) * hi) - 1)
+                    & _need(F.col("r_len"), F.col("c_len"), threshold).isNotNull())
              .select("r", "c").distinct())
     toks = items.select("rid", "toks", "len")
     both = (pairs.join(toks.select(F.col("rid").alias("r"), F.col("toks").alias("tr"), F.col("len").alias("lr")), "r")
             .join(toks.select(F.col("rid").alias("c"), F.col("toks").alias("tc"), F.col("len").alias("lc")), "c"))
-    need = F.greatest("lr", "lc") + 1 - 2 * F.floor(F.lit(dfrac) * (F.col("lr") + F.col("lc")) + F.lit(1e-9))
-    return both.where(F.size(F.array_intersect("tr", "tc")) >= need).select("r", "c")
+    return both.where(F.size(F.array_intersect("tr", "tc")) >= _need(F.col("lr"), F.col("lc"), threshold)).select("r", "c")
 
 
 def dedup_fuzzy(incoming: DataFrame, stored: DataFrame, *, threshold: int = FUZZY_THRESHOLD,
-                trigram_threshold: float = TRIGRAM_THRESHOLD) -> DataFrame:
+                trigram_threshold: float = TRIGRAM_THRESHOLD, stats: dict | None = None) -> DataFrame:
     """Arrival-order greedy fuzzy dedup. ``incoming`` has seq, title,
     company_name; ``stored`` has title, company_name (every stored row counts
     as kept; quarantined rows carry an empty company and never match).
@@ -179,7 +194,9 @@ def dedup_fuzzy(incoming: DataFrame, stored: DataFrame, *, threshold: int = FUZZ
               .select("company_name", "tkey", F.col("_f.order").alias("order"), F.col("_f.rid").alias("rid")))
     copies = rows.join(firsts.select("rid"), "rid", "left_anti").where(F.col("rid") >= 0).select(
         F.col("rid").alias("r"), F.lit(False).alias("keep"))
+    _t0 = _time.perf_counter()
     rows = firsts.checkpoint()
+    _t1 = _time.perf_counter()
 
     pairs = similar_company(rows.select("company_name"), trigram_threshold,
                             left=rows.where(F.col("rid") >= 0).select("company_name"))
@@ -190,14 +207,17 @@ def dedup_fuzzy(incoming: DataFrame, stored: DataFrame, *, threshold: int = FUZZ
               .withColumn("ratio", token_sort_ratio("tr", "tc"))
               .where(F.col("ratio") >= threshold).select("r", "c"))
     edges = scored.checkpoint()
+    _t2 = _time.perf_counter()
 
     # status: 1 kept, 0 dropped, NULL undecided; stored rows start kept
     status = (rows.select("rid", F.when(F.col("rid") < 0, F.lit(1)).alias("st"))
               .where(F.col("rid") < 0).select(F.col("rid").alias("c"), "st"))
     undecided = rows.where(F.col("rid") >= 0).select(F.col("rid").alias("r"))
-    decided = copies.checkpoint()
+    parts = [copies.checkpoint()]
     # every round decides at least the earliest undecided row, so this ends
+    rounds = 0
     while True:
+        rounds += 1
         e = edges.join(undecided, "r", "left_semi").join(status, "c", "left")
         verdict = (undecided.join(
             e.groupBy("r").agg(F.max(F.coalesce("st", F.lit(-1))).alias("best"),
@@ -206,11 +226,15 @@ def dedup_fuzzy(incoming: DataFrame, stored: DataFrame, *, threshold: int = FUZZ
                     .when(F.col("best").isNull() | (F.col("worst") == 0), F.lit(True)).alias("keep"))
             .checkpoint())
         now = verdict.where(F.col("keep").isNotNull())
-        decided = decided.unionByName(now).checkpoint()
+        parts.append(now)
         status = status.unionByName(now.select(F.col("r").alias("c"), F.col("keep").cast("int").alias("st"))).checkpoint()
-        undecided = verdict.where(F.col("keep").isNull()).select("r").checkpoint()
+        undecided = verdict.where(F.col("keep").isNull()).select("r")
         if undecided.isEmpty():
             break
+    if stats is not None:
+        stats.update(rounds=rounds, rows_sec=round(_t1 - _t0, 2), edges_sec=round(_t2 - _t1, 2),
+                     rounds_sec=round(_time.perf_counter() - _t2, 2))
+    decided = reduce(lambda x, y: x.unionByName(y), parts)
     return incoming.join(decided.withColumnRenamed("r", "seq"), "seq", "left")
 
 

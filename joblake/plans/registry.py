@@ -35,7 +35,7 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-MODULES = ["q_market", "q_browse", "q_listing", "q_dedup", "q_keywords", "q_vectors", "q_curation", "q_changes", "q_jobs"]
+MODULES = ["q_market", "q_browse", "q_listing", "q_dedup", "q_keywords", "q_vectors", "q_curation", "q_changes", "q_jobs", "q_more"]
 
 
 def load_all() -> None:
