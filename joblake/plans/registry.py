@@ -44,3 +44,5 @@ def load_all() -> None:
 
     for m in MODULES:
         importlib.import_module(f"joblake.plans.{m}")
+    from joblake.plans import q_oracles
+    q_oracles.attach(ORACLE["classify_candidates"], ORACLE["resolve_merge_chains"], ORACLE["vector_search"])
