@@ -52,10 +52,24 @@ def _small_side(small: DataFrame, key: str, vec: str, max_small: int):
 
 def top_k_by_dot(large: DataFrame, small: DataFrame, *, large_key: str, small_key: str, vec: str = "vec",
                  k: int = 10, cosine: bool = True, exclude_self: bool = False,
-                 max_small: int = MAX_SMALL_SIDE) -> DataFrame:
+                 max_small: int = MAX_SMALL_SIDE, _depth: int = 0) -> DataFrame:
     """For every small-side row (a query), the k large-side rows of highest
     similarity (cosine, or plain dot product), ties by large key ascending.
-    Returns (small_key, large_key, similarity, rank)."""
+    Returns (small_key, large_key, similarity, rank). A small side above
+    ``max_small`` rows is split by key hash into chunks under the bound, one
+    broadcast pass over the large side per chunk."""
+    n_small = small.where(F.col(vec).isNotNull()).count()
+    if n_small > max_small:
+        chunks = -(-n_small * 5 // (max_small * 4))  # aim at 80 % of the bound per chunk
+        h = F.pmod(F.xxhash64(F.col(small_key), F.lit(_depth)), F.lit(chunks))  # new salt per level
+        parts = [top_k_by_dot(large, small.where(h == i),
+                              large_key=large_key, small_key=small_key, vec=vec, k=k, cosine=cosine,
+                              exclude_self=exclude_self, max_small=max_small, _depth=_depth + 1)
+                 for i in range(chunks)]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
     spark = large.sparkSession
     keys, mat = _small_side(small, small_key, vec, max_small)
     if cosine and len(keys):
@@ -123,10 +137,22 @@ def knn_keywords(entries: DataFrame, k: int = 8, vec: str = "vec") -> DataFrame:
     return out.select("kind", "id", "nid", "similarity", "rank")
 
 
-def _knn_one_kind(cands: DataFrame, pool: DataFrame, k: int) -> DataFrame:
-    # the pool is the broadcast side: score each candidate batch against it
+def _knn_one_kind(cands: DataFrame, pool: DataFrame, k: int, max_small: int = MAX_SMALL_SIDE,
+                  _depth: int = 0) -> DataFrame:
+    # the pool is the broadcast side: score each candidate batch against it;
+    # a pool above the bound is split by hash and the chunk winners merged
+    n_pool = pool.where(F.col("vec").isNotNull()).count()
+    if n_pool > max_small:
+        chunks = -(-n_pool * 5 // (max_small * 4))
+        h = F.pmod(F.xxhash64(F.col("nid"), F.lit(_depth)), F.lit(chunks))  # new salt per level
+        parts = [_knn_one_kind(cands, pool.where(h == i), k, max_small, _depth + 1) for i in range(chunks)]
+        merged = parts[0]
+        for part in parts[1:]:
+            merged = merged.unionByName(part)
+        return top_k_per_group(merged.drop("rank"), "id", [F.col("similarity").desc(), F.col("nid").desc()],
+                               k, salt_key="nid").withColumn("rank", F.col("rank").cast("int"))
     spark = cands.sparkSession
-    keys, mat = _small_side(pool, "nid", "vec", MAX_SMALL_SIDE)
+    keys, mat = _small_side(pool, "nid", "vec", max_small)
     bkeys, bmat = spark.sparkContext.broadcast(keys), spark.sparkContext.broadcast(mat)
 
     def score(batches):

@@ -267,3 +267,27 @@ def test_stream_equals_batch(spark, entry, kind):
     # replaying the same files appends nothing
     stream_ingest(spark, landing, store, ckpt, T.keywords, T.aliases, as_of="2001-08-01")
     assert spark.read.schema(STORE_SCHEMA).parquet(store).count() == len(streamed)
+
+
+def test_vector_paths_chunked_equal_single(spark):
+    """Above the broadcast bound the small side is split by hash; the answer
+    must not change."""
+    from joblake.operators import vectors as V
+    from joblake.plans.bindings import Tables
+    T = Tables(spark, "/root/testdata/sf0.001")
+    jobs = T.embeddings.select(F.col("vec_id").alias("job_id"), F.col("embedding").alias("vec"))
+    q = T.embeddings.where("label = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+
+    def run(**kw):
+        r = V.top_k_by_dot(jobs, q, large_key="job_id", small_key="query_id", k=5, **kw)
+        return {tuple(x) for x in r.select("query_id", "job_id", "rank").collect()}
+
+    assert run() == run(max_small=8)
+    ent = T.keywords.join(T.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), "id")
+    cands = ent.where("kind = 'skill'").select("id", V.unit("vec").alias("vec"))
+    pool = ent.where("kind = 'skill'").select(F.col("id").alias("nid"), V.unit("vec").alias("vec"))
+
+    def knn(**kw):
+        return {tuple(x) for x in V._knn_one_kind(cands, pool, 4, **kw).select("id", "nid", "rank").collect()}
+
+    assert knn() == knn(max_small=12)
