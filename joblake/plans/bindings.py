@@ -38,7 +38,16 @@ SELECT o.o_orderkey AS job_id,
        'USD' AS salary_currency,
        CASE WHEN o.o_orderkey % 5 = 0 THEN 'hourly' WHEN o.o_orderkey % 7 = 0 THEN NULL
             ELSE 'yearly' END AS salary_period,
-       concat('Build ', p.p_name, ' parts for ', lower(c.c_mktsegment), ' clients in ', n.n_name) AS description,
+       concat('Build ', p.p_name, ' parts for ', lower(c.c_mktsegment), ' clients in ', n.n_name, '. ',
+              CAST(o.o_orderkey % 12 AS STRING),
+              CASE o.o_orderkey % 3 WHEN 0 THEN '+ years' WHEN 1 THEN concat('–', CAST(o.o_orderkey % 12 + 3 AS STRING), ' years')
+                   ELSE ' years' END,
+              ' of experience. ',
+              CASE c.c_mktsegment WHEN 'HOUSEHOLD' THEN 'Remote' WHEN 'FURNITURE' THEN 'Hybrid' ELSE 'On-site' END, ', ',
+              CASE o.o_orderkey % 4 WHEN 0 THEN 'full-time' WHEN 1 THEN 'part-time' WHEN 2 THEN 'contract role' ELSE 'paid internship' END,
+              '. Pay $', CAST(CAST(floor(o.o_totalprice / 2) AS BIGINT) AS STRING), '–$',
+              CAST(CAST(floor(o.o_totalprice) AS BIGINT) AS STRING),
+              CASE WHEN o.o_orderkey % 5 = 0 THEN '/hr' ELSE '/year' END, '.') AS description,
        concat(lower(p.p_type), ' experience') AS qualifications,
        concat('Own the ', p.p_brand, ' line') AS responsibilities,
        concat('https://jobs.example.org/', CAST(o.o_orderkey AS STRING)) AS url,

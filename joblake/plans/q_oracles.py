@@ -52,3 +52,73 @@ def attach(classify_sql: str, resolve_sql: str, vector_sql: str) -> None:
     ORACLE["plan_union"] = classify_sql
     ORACLE["scan_plan"] = resolve_sql
     ORACLE["sink_results_json"] = vector_sql
+
+
+def _extract_sql() -> str:
+    from joblake.operators import extract as X
+
+    def ex(p, g):
+        return f"regexp_extract(allt, '{p}', {g})"
+
+    def has(col, p):
+        return f"regexp_matches({col}, '{p}')"
+
+    def amount(n, k):
+        v = f"CAST(replace({n}, ',', '') AS DOUBLE)"
+        return (f"CASE WHEN {n} = '' THEN NULL ELSE CAST(trunc(CASE WHEN lower({k}) = 'k' THEN {v} * 1000 "
+                f"ELSE {v} END) AS INTEGER) END")
+
+    plus, rlo, rhi, one = ex(X._YEARS_PLUS, 1), ex(X._YEARS_RANGE, 1), ex(X._YEARS_RANGE, 2), ex(X._YEARS_ONE, 1)
+    ymin = (f"CAST(CASE WHEN {plus} <> '' THEN {plus} WHEN {rlo} <> '' THEN {rlo} WHEN {one} <> '' THEN {one} END "
+            f"AS INTEGER)")
+    ymax = f"CAST(CASE WHEN {plus} = '' AND {rhi} <> '' THEN {rhi} END AS INTEGER)"
+    lo = amount(ex(X._SALARY, 1), ex(X._SALARY, 2))
+    hi = amount(ex(X._SALARY, 3), ex(X._SALARY, 4))
+    unit = ex(X._SALARY, 5)
+    return f"""
+WITH src AS (
+  SELECT job_id AS seq, title, description, qualifications FROM b_jobs
+  UNION ALL SELECT -1 - seq AS seq, title, description, '' AS qualifications FROM b_doc_listings),
+x AS (SELECT seq, lower(coalesce(title, '')) AS t,
+             lower(coalesce(title, '')) || chr(10) || lower(coalesce(description, '') || chr(10) || coalesce(qualifications, '')) AS allt
+      FROM src),
+y AS (SELECT seq, t, allt, {ymin} AS ymin, {ymax} AS ymax, {lo} AS lo, {hi} AS hi, {unit} AS unit FROM x)
+SELECT seq,
+  CASE WHEN {has('allt', r'\bintern(ship)?\b')} THEN 'internship' WHEN {has('allt', r'\bcontract(or)?\b')} THEN 'contract'
+       WHEN {has('allt', r'\bpart[- ]time\b')} THEN 'part-time' WHEN {has('allt', r'\bfull[- ]time\b')} THEN 'full-time'
+  END AS employment_type,
+  CASE WHEN {has('allt', r'\bhybrid\b')} THEN 'hybrid' WHEN {has('allt', r'\bremote\b')} THEN 'remote'
+       WHEN {has('allt', r'\bon[- ]?site\b|\bin[- ]office\b')} THEN 'onsite' END AS attendance,
+  coalesce(CASE WHEN {has('t', r'\bprincipal\b')} THEN 'principal' WHEN {has('t', r'\bstaff\b')} THEN 'staff'
+                WHEN {has('t', r'\blead\b')} THEN 'lead' WHEN {has('t', r'\b(senior|sr)\b')} THEN 'senior'
+                WHEN {has('t', r'\b(junior|jr|entry)\b')} THEN 'junior' WHEN {has('t', r'\bmid\b')} THEN 'mid' END,
+           CASE WHEN ymin IS NULL THEN NULL WHEN ymin < 2 THEN 'junior' WHEN ymin < 5 THEN 'mid' ELSE 'senior' END)
+    AS seniority,
+  ymin AS experience_years_min, ymax AS experience_years_max, lo AS salary_min, hi AS salary_max,
+  CASE WHEN lo IS NOT NULL THEN 'USD' END AS salary_currency,
+  CASE WHEN unit IN ('hour', 'hr', 'hourly') THEN 'hourly' WHEN unit IN ('month', 'mo') THEN 'monthly'
+       WHEN unit <> '' THEN 'yearly' WHEN lo IS NULL THEN NULL WHEN hi < 1000 THEN 'hourly' ELSE 'yearly' END
+    AS salary_period,
+  CAST([] AS VARCHAR[]) AS skills, CAST([] AS VARCHAR[]) AS frameworks
+FROM y
+"""
+
+
+ORACLE["extract_fields"] = with_bindings(_extract_sql())
+
+_SAL3 = """CASE WHEN coalesce(salary_min, 0) <> 0
+  THEN chr(10) || 'Salary: ' || coalesce(nullif(salary_currency, ''), 'USD') || ' ' || format('{:,}', salary_min)
+       || CASE WHEN coalesce(salary_max, 0) <> 0 THEN '–' || format('{:,}', salary_max) ELSE '' END
+       || ' (' || coalesce(nullif(salary_period, ''), 'yearly') || ')' ELSE '' END"""
+ORACLE["compose_tier3_text"] = with_bindings(f"""
+SELECT job_id,
+  '=== CAREER PROFILE ===' || chr(10) || coalesce(location, '') || chr(10) || chr(10) || '=== JOB LISTING ===' || chr(10)
+  || 'Title: ' || coalesce(title, '') || chr(10) || 'Company: ' || coalesce(company_name, '') || chr(10)
+  || 'Location: ' || coalesce(location, '') || ' | Attendance: ' || coalesce(nullif(attendance, ''), 'unknown')
+  || ' | Seniority: ' || coalesce(nullif(seniority, ''), 'unknown')
+  || ' | Employment: ' || coalesce(nullif(employment_type, ''), 'unknown') || {_SAL3} || chr(10) || chr(10)
+  || 'Description:' || chr(10) || coalesce(description, '') || chr(10) || chr(10)
+  || 'Qualifications:' || chr(10) || coalesce(qualifications, '') || chr(10) || chr(10)
+  || 'Responsibilities:' || chr(10) || coalesce(responsibilities, '') AS tier3_text
+FROM b_jobs
+""")
