@@ -94,17 +94,21 @@ def top_k_by_dot(large: DataFrame, small: DataFrame, *, large_key: str, small_ke
                 x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
             sims = x @ qm.T  # rows: large side, cols: queries
             lk = pdf[large_key].to_numpy()
-            out = []
-            for j in range(len(q)):
-                s = sims[:, j].copy()
-                if exclude_self:
-                    s[lk == q[j]] = -np.inf
-                order = np.lexsort((lk, -s))[:k]
-                order = order[np.isfinite(s[order])]
-                out.append(pd.DataFrame({small_key: np.repeat(q[j], len(order)),
-                                         large_key: lk[order], "similarity": s[order]}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+            if exclude_self:
+                sims[lk[:, None] == q[None, :]] = -np.inf
+            # per query, the batch's k best by (similarity desc, key asc):
+            # all rows above the k-th best score, then the boundary ties in
+            # key order up to k (rows are visited in key order)
+            by_key = np.argsort(lk, kind="stable")
+            sims, lk = sims[by_key], lk[by_key]
+            kk = min(k, len(lk))
+            kth = -np.partition(-sims, kk - 1, axis=0)[kk - 1]
+            above = sims > kth[None, :]
+            tie = sims == kth[None, :]
+            room = kk - above.sum(axis=0)
+            keep = (above | (tie & (np.cumsum(tie, axis=0) <= room[None, :]))) & np.isfinite(sims)
+            rows, cols = np.nonzero(keep)
+            yield pd.DataFrame({small_key: q[cols], large_key: lk[rows], "similarity": sims[rows, cols]})
 
     survivors = large.select(large_key, vec).mapInPandas(score, schema)
     return top_k_per_group(survivors, small_key, [F.col("similarity").desc(), F.col(large_key).asc()], k,
