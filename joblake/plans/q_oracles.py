@@ -122,3 +122,51 @@ SELECT job_id,
   || 'Responsibilities:' || chr(10) || coalesce(responsibilities, '') AS tier3_text
 FROM b_jobs
 """)
+
+# tier-2 and tier-3 rule scores over the (profile, listing) pairs of q_jobs._pairs
+def _sr(c):
+    return (f"CASE {c} WHEN 'junior' THEN 0 WHEN 'mid' THEN 1 WHEN 'senior' THEN 2 WHEN 'lead' THEN 3 "
+            f"WHEN 'staff' THEN 4 WHEN 'principal' THEN 5 END")
+
+
+_PAIRS = f"""
+WITH names AS (
+  SELECT jk.job_id, list_distinct(list(k.name)) AS job_keywords
+  FROM b_job_keywords jk JOIN b_keywords k ON jk.id = k.id GROUP BY jk.job_id),
+prof AS (
+  SELECT c.conv_id AS profile_id, n.job_keywords AS profile_keywords
+  FROM (SELECT DISTINCT conv_id FROM conversations) c JOIN names n ON n.job_id = c.conv_id),
+pairs AS (
+  SELECT p.profile_id, j.job_id, j.attendance, j.seniority, j.salary_max, n.job_keywords, p.profile_keywords,
+         'remote' AS pref_attendance, 'senior' AS pref_seniority, 200000 AS pref_salary
+  FROM b_jobs j JOIN names n ON n.job_id = j.job_id JOIN prof p ON p.profile_id = j.job_id % 100),
+parts AS (
+  SELECT *,
+    list_distinct(list_transform(coalesce(job_keywords, []), lambda x: lower(x))) AS req,
+    list_transform(coalesce(profile_keywords, []), lambda x: lower(x)) AS offered,
+    CASE WHEN pref_attendance IS NULL OR attendance IS NULL THEN NULL
+         WHEN pref_attendance = attendance THEN 1.0 ELSE 0.0 END AS att,
+    CASE WHEN ({_sr('pref_seniority')}) IS NULL OR ({_sr('seniority')}) IS NULL THEN NULL
+         WHEN abs(({_sr('pref_seniority')}) - ({_sr('seniority')})) <= 1 THEN 1.0 ELSE 0.0 END AS sen,
+    CASE WHEN pref_salary IS NULL OR salary_max IS NULL THEN NULL
+         WHEN salary_max >= pref_salary THEN 1.0 ELSE 0.0 END AS sal
+  FROM pairs),
+scored AS (
+  SELECT profile_id, job_id,
+    coalesce(CASE WHEN len(req) = 0 THEN NULL
+                  ELSE len(list_filter(req, lambda x: list_contains(offered, x))) / len(req) END, 0.0) AS cov,
+    coalesce(CASE WHEN (att IS NOT NULL)::INT + (sen IS NOT NULL)::INT + (sal IS NOT NULL)::INT = 0 THEN NULL
+                  ELSE (coalesce(att, 0.0) + coalesce(sen, 0.0) + coalesce(sal, 0.0))
+                       / ((att IS NOT NULL)::INT + (sen IS NOT NULL)::INT + (sal IS NOT NULL)::INT) END, 0.5) AS agr
+  FROM parts)
+"""
+ORACLE["score_tier3"] = with_bindings(_PAIRS + """
+SELECT profile_id, job_id, round(cov * 100) AS t3_qualification, round(agr * 100) AS t3_fit,
+  round(round(((CAST(0.8 AS DOUBLE) + CAST(0.2 AS DOUBLE) * round(agr * 100) / 100) * (round(cov * 100) / 100)) * 100, 10), 1)
+    AS t3_score
+FROM scored""")
+ORACLE["score_tier2"] = with_bindings(_PAIRS + """
+SELECT profile_id, job_id, CAST(round(60 * cov + 40 * agr) AS DOUBLE) AS t2_score,
+  'keywords ' || CAST(CAST(floor(cov * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%; preferences '
+    || CAST(CAST(floor(agr * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%' AS t2_explanation
+FROM scored""")
