@@ -170,3 +170,9 @@ SELECT profile_id, job_id, CAST(round(60 * cov + 40 * agr) AS DOUBLE) AS t2_scor
   'keywords ' || CAST(CAST(floor(cov * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%; preferences '
     || CAST(CAST(floor(agr * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%' AS t2_explanation
 FROM scored""")
+ORACLE["rescore"] = with_bindings(_PAIRS + """
+SELECT job_id, profile_id,
+  round(round(((CAST(0.8 AS DOUBLE) + CAST(0.2 AS DOUBLE) * round(agr * 100) / 100) * (round(cov * 100) / 100)) * 100, 10), 1)
+    AS t3_score
+FROM scored
+WHERE job_id IN (SELECT job_id FROM b_jobs WHERE t3_score IS NOT NULL AND status IN ('active', 'expired'))""")
