@@ -176,3 +176,32 @@ SELECT job_id, profile_id,
     AS t3_score
 FROM scored
 WHERE job_id IN (SELECT job_id FROM b_jobs WHERE t3_score IS NOT NULL AND status IN ('active', 'expired'))""")
+
+
+def _embedding_text_sql() -> str:
+    from joblake.operators.listing import EMBEDDING_MAX_TOKENS, SEPARATOR_TOKENS
+
+    def toks(x):
+        return f"list_filter(regexp_split_to_array(coalesce({x}, ''), '\\s+'), lambda w: w <> '')"
+
+    parts = ["trim(coalesce(qualifications, ''))", "trim(coalesce(responsibilities, ''))",
+             "coalesce(array_to_string(skills, ', '), '')", "coalesce(array_to_string(frameworks, ', '), '')"]
+    budget = f"({EMBEDDING_MAX_TOKENS} - len({toks('t')}) - {SEPARATOR_TOKENS})"
+    total = "(n0 + n1 + n2 + n3)"
+    cur = f"""SELECT *, {', '.join(f'len({toks(f"p{i}")}) AS n{i}' for i in range(4))} FROM (
+  SELECT doc_id AS job_id, trim(coalesce(source, '')) AS t, {', '.join(f'{p} AS p{i}' for i, p in enumerate(parts))}
+  FROM (SELECT doc_id, source, text AS qualifications, lang AS responsibilities,
+               string_split(source, 'c') AS skills, [lang] AS frameworks FROM documents))"""
+    # cut order frameworks, skills, responsibilities, qualifications: one projection level per cut
+    done: list[int] = []
+    for i in (3, 2, 1, 0):
+        rest = "".join(f" - c{j}" for j in done)
+        cur = f"SELECT *, least(greatest({total} - {budget}{rest}, 0), n{i}) AS c{i} FROM ({cur})"
+        done.append(i)
+    outs = [f"CASE WHEN {total} > {budget} THEN CASE WHEN n{i} - c{i} <= 0 THEN '' "
+            f"ELSE array_to_string(list_slice({toks(f'p{i}')}, 1, greatest(n{i} - c{i}, 1)), ' ') END "
+            f"ELSE p{i} END" for i in range(4)]
+    return f"SELECT job_id, concat_ws(' | ', t, {', '.join(outs)}) AS text FROM ({cur})"
+
+
+ORACLE["compose_embedding_text"] = with_bindings(_embedding_text_sql())
