@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from joblake.llm import chat, line_dedup, mixing
 from joblake.llm.common import table
 from joblake.llm.ngram_join import ngram_jaccard_classes
 
@@ -20,3 +21,27 @@ def query(fn):
 @query
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_classes(table(spark, sf_dir, "documents"), k=3, threshold=90).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("removed_runs")
+
+
+ORACLE["op5_line_dedup"] = line_dedup.oracle(50)
+
+
+@query
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op7_chat_format"] = chat.oracle()
+
+
+@query
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
+
+
+ORACLE["op10_mix_sources"] = mixing.oracle(16)
