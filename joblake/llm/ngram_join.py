@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from joblake.llm.common import batches, bloom_bits, bloom_has, components, written
+from joblake.llm.common import batches, bloom_bits, bloom_has, components, has_bit, written
 from joblake.llm.hashing import chunks, mix, shingle_sets
 
 MAX_FREQUENT = 1 << 18
@@ -43,10 +43,14 @@ BUFFER = 1 << 21
 BLOOM_BITS = 1 << 24
 ORDER_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()),
+_SETS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()),
                    ("p1", pa.list_(pa.int64())), ("p2", pa.list_(pa.int64())), ("p3", pa.list_(pa.int64())),
                    ("s0", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("s3", pa.int64())])
-_SETS_DDL = "doc_id long, n long, cls long, p1 array<long>, p2 array<long>, p3 array<long>, s0 long, s1 long, s2 long, s3 long"
+_SETS_DDL = "key long, doc_id long, n long, cls long, p1 array<long>, p2 array<long>, p3 array<long>, s0 long, s1 long, s2 long, s3 long"
+
+
+def _row_key():
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), "text")
 
 
 def class_of(s: np.ndarray) -> int:
@@ -132,17 +136,17 @@ def document_sets(docs: DataFrame, k: int, threshold: int) -> DataFrame:
 
     def rows(it):
         for batch in it:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keys, ids, texts = (c.to_pylist() for c in batch.columns)
             at = 0
             for part in chunks(texts):
                 for s in shingle_sets(part, k):
                     if len(s):
-                        yield (ids[at], len(s), class_of(s), *prefixes(s), *sketch(s).tolist())
+                        yield (keys[at], ids[at], len(s), class_of(s), *prefixes(s), *sketch(s).tolist())
                     else:
-                        yield (ids[at], 0, None, None, None, None, 0, 0, 0, 0)
+                        yield (keys[at], ids[at], 0, None, None, None, None, 0, 0, 0, 0)
                     at += 1
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: batches(rows(it), _SETS), _SETS_DDL)
+    return docs.select(_row_key(), F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: batches(rows(it), _SETS), _SETS_DDL)
 
 
 def _whole_sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
@@ -158,8 +162,7 @@ def _whole_sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int) -> D
             b = bits.value
             ok = np.ones(batch.num_rows, bool)
             for i in (1, 2):
-                x = batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)
-                ok &= (b[x >> 6] >> (x & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+                ok &= has_bit(b, batch.column(i).to_numpy(zero_copy_only=False))
             texts = batch.column(0).filter(pa.array(ok)).to_pylist()
             for part in chunks(texts):
                 for s in shingle_sets(part, k):
@@ -203,14 +206,16 @@ def _may_link(threshold: int):
 
 
 def ngram_jaccard_classes(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """``docs(doc_id, text, ...)`` to one row per row of ``docs``: ``(doc_id,
-    n_shingles, component_id, class_id, n_links)``. ``threshold`` is the least
+    """``docs(doc_id, text, ...)`` to one row per row of ``docs``: ``(key,
+    doc_id, n_shingles, component_id, class_id, n_links, leader)``. ``threshold`` is the least
     Jaccard similarity in percent, ``class_id`` the smallest id of the
     documents with the same set; ``n_links`` counts the verified links to other
-    classes that the components rest on."""
+    classes that the components rest on. ``key`` hashes id and text; ``leader`` is the key
+    of the component's document with the smallest id."""
     sets = written(document_sets(docs, k, threshold), "doc-sets")
-    reps = written(sets.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *[c for c in sets.columns if c not in ("doc_id", "cls")])).alias("r"))
-                   .select("cls", F.col("r.doc_id").alias("id"), *[f"r.{c}" for c in sets.columns if c not in ("doc_id", "cls")]), "classes")
+    rest = [c for c in sets.columns if c not in ("doc_id", "cls", "key")]
+    reps = written(sets.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", *rest)).alias("r"))
+                   .select("cls", F.col("r.doc_id").alias("id"), "r.key", *[f"r.{c}" for c in rest]), "classes")
     small = reps.select("cls", "n", "s0", "s1", "s2", "s3")
 
     spread = reps.select(F.explode("p1").alias("token"), "cls").repartition("token")
@@ -234,9 +239,19 @@ def ngram_jaccard_classes(docs: DataFrame, k: int = 5, threshold: int = 80) -> D
     label = written(components(links), "components").withColumnRenamed("node", "cls")
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
 
-    member = reps.select("cls", "id").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls")).join(degree, "cls", "left")
-    lowest = member.groupBy("label").agg(F.min("id").alias("component_id"))
-    member = member.join(lowest, "label").select("cls", "component_id", F.col("id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return (sets.select("doc_id", "n", "cls").join(member, "cls", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-                    F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    member = reps.select("cls", "id", "key").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls")).join(degree, "cls", "left")
+    lowest = member.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("low"))
+    member = member.join(lowest, "label").select("cls", F.col("low.id").alias("component_id"), F.col("low.key").alias("leader"), F.col("id").alias("class_id"), "n_links")
+    own = sets.select("key", "doc_id", "n", "cls").join(member, "cls", "left")
+    some = F.col("n") > 0
+    return own.select("key", "doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                      F.when(some, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                      F.when(some, F.col("leader")).otherwise(F.col("key")).alias("leader"))
+
+
+def one_per_group(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
+    """The documents with the smallest id of their component; of repeated rows
+    (same id and text) one."""
+    groups = ngram_jaccard_classes(docs.select("doc_id", "text"), k, threshold)
+    lead = groups.where("key = leader").select(F.col("key").alias("__key")).distinct()
+    return docs.withColumn("__key", _row_key()).join(lead, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

@@ -3,9 +3,9 @@ whole table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from joblake.llm import chat, line_dedup, mixing
+from joblake.llm import chat, decontaminate, langid, line_dedup, mixing
 from joblake.llm.common import table
 from joblake.llm.ngram_join import ngram_jaccard_classes
 
@@ -23,6 +23,23 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_classes(table(spark, sf_dir, "documents"), k=3, threshold=90).select("doc_id", "n_shingles", "component_id")
 
 
+def fold(n: int) -> Column:
+    """The document's fold: crc32 of its id as text, mod ``n``."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(4) == 2)
+    model = langid.learn_languages(docs.where("not coalesce(held_out, false)"))
+    return langid.identify_languages(docs, model, ["doc_id", "held_out"])
+
+
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("removed_runs")
