@@ -65,27 +65,32 @@ def chunks(texts: Iterable[str | None], limit: int = CHUNK_BYTES) -> Iterator[li
         yield out
 
 
-def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, row offsets): words of document ``i`` are
-    ``hashes[offsets[i]:offsets[i + 1]]``."""
-    joined = b" ".join(docs) + b" "
+def hash_words(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(starts, ends, hashes)`` of the words of a byte string that ends with
+    a blank."""
     a = np.frombuffer(joined, np.uint8)
     space = _SPACE[a]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate(([0], edge))
     starts, ends = edge[0::2], edge[1::2]
-    doc_ends = np.cumsum(np.fromiter((len(d) + 1 for d in docs), np.int64, len(docs)))
-    offsets = np.concatenate(([0], np.searchsorted(starts, doc_ends)))
     if not len(starts):
-        return np.empty(0, np.uint64), offsets
+        return starts, ends, np.empty(0, np.uint64)
     up, down = _powers(len(a) + 1)
     with np.errstate(over="ignore"):
         total = np.cumsum(_BYTE_VALUE[a] * up[: len(a)], dtype=np.uint64)
         before = np.where(starts > 0, total[starts - 1], _U(0))
         h = (total[ends - 1] - before) * down[starts]
         h += (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93)
-    return mix(h), offsets
+    return starts, ends, mix(h)
+
+
+def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, row offsets): words of document ``i`` are
+    ``hashes[offsets[i]:offsets[i + 1]]``."""
+    starts, _, h = hash_words(b" ".join(docs) + b" ")
+    doc_ends = np.cumsum(np.fromiter((len(d) + 1 for d in docs), np.int64, len(docs)))
+    return h, np.concatenate(([0], np.searchsorted(starts, doc_ends)))
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from joblake.llm import chat, decontaminate, langid, line_dedup, mixing
+from joblake.llm import chat, decontaminate, langid, line_dedup, mixing, quality
 from joblake.llm.common import table
 from joblake.llm.ngram_join import ngram_jaccard_classes
 
@@ -48,6 +48,15 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op5_line_dedup"] = line_dedup.oracle(50)
 
 
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where((fold(5) != 0) & F.col("quality").isNotNull())
+    model = quality.fit_quality(docs.select("doc_id", "text").join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id"))
+    scored = quality.score_quality(docs, model, ["doc_id", (fold(5) == 0).alias("held_out")])
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 @query
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
