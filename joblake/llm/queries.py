@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from joblake.llm import chat, decontaminate, langid, line_dedup, mixing, quality
+from joblake.llm import chat, decontaminate, langid, line_dedup, mixing, quality, secrets
 from joblake.llm.common import table
 from joblake.llm.ngram_join import ngram_jaccard_classes
 
@@ -65,6 +65,13 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op7_chat_format"] = chat.oracle()
 
 
+@query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.find_secrets(docs, secrets.learn_secrets(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_markov")
+
+
 @query
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
