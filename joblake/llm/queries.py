@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from joblake.llm import chat, decontaminate, langid, line_dedup, mixing, quality, secrets
+from joblake.llm import chat, decontaminate, langid, line_dedup, mixing, nearest, quality, secrets
 from joblake.llm.common import table
 from joblake.llm.ngram_join import ngram_jaccard_classes
 
@@ -65,6 +65,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op7_chat_format"] = chat.oracle()
 
 
+@query
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
