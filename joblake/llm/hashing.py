@@ -65,11 +65,11 @@ def chunks(texts: Iterable[str | None], limit: int = CHUNK_BYTES) -> Iterator[li
         yield out
 
 
-def hash_words(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hash_words(joined: bytes, blank: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(starts, ends, hashes)`` of the words of a byte string that ends with
-    a blank."""
+    a blank; ``blank`` says which byte values separate words."""
     a = np.frombuffer(joined, np.uint8)
-    space = _SPACE[a]
+    space = blank[a]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate(([0], edge))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from joblake.llm import chat, decontaminate, langid, line_dedup, mixing, nearest, quality, secrets
+from joblake.llm import chat, decontaminate, langid, licenses, line_dedup, mixing, nearest, quality, secrets
 from joblake.llm.common import table
 from joblake.llm.ngram_join import ngram_jaccard_classes
 
@@ -40,6 +40,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(docs, model, ["doc_id", "held_out"])
 
 
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("removed_runs")
