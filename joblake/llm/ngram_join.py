@@ -6,7 +6,9 @@ when the Jaccard similarity of their sets is at least ``threshold`` (a
 percentage). In a fixed order of all shingles, two linked sets of size n share
 one of their first ``n - ceil(t * n) + 1`` shingles, whatever the order: so a
 pair is a candidate only if it shares a prefix shingle under *each* of several
-orders, and only what is left after that intersection is verified.
+orders, and only what is left after that intersection is verified. The prefixes
+of the first order are joined; for the pairs that come out of that, the other
+orders' prefixes are intersected where the pair's sets meet.
 
 * The orders put frequent shingles last and are otherwise by hash, with another
   seed each. The frequent shingles are counted over all documents; at most
@@ -19,9 +21,10 @@ orders, and only what is left after that intersection is verified.
   (a star, linear in the group). After the components of those links are known,
   only pairs of different components remain, which drops the pairs inside a
   family of near copies without losing a component.
-* Before any join of whole sets, a pair must pass the size bound and a parity
-  sketch: each shingle flips one of 256 bits, so the sketches of two sets differ
-  in at most as many bits as the sets differ in shingles (an exact bound).
+* Before any whole sets are moved, a pair must pass the size bound and two parity
+  sketches, of 256 bits and, for larger sets, of 2,048: each shingle flips one
+  bit, so the sketches of two sets differ in at most as many bits as the sets
+  differ in shingles (an exact bound).
 
 Edge cases: null or empty text and text without words give an empty set,
 ``n_shingles`` 0, linked with nothing. Fewer than ``k`` words are one shingle.
@@ -41,12 +44,13 @@ from joblake.llm.hashing import chunks, mix, shingle_sets
 MAX_FREQUENT = 1 << 18
 BUFFER = 1 << 21
 BLOOM_BITS = 1 << 24
+WIDE_FROM = 400
 ORDER_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
 _SETS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()),
-                   ("p1", pa.list_(pa.int64())), ("p2", pa.list_(pa.int64())), ("p3", pa.list_(pa.int64())),
-                   ("s0", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("s3", pa.int64())])
-_SETS_DDL = "key long, doc_id long, n long, cls long, p1 array<long>, p2 array<long>, p3 array<long>, s0 long, s1 long, s2 long, s3 long"
+                   ("s0", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("s3", pa.int64()),
+                   ("prefix", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64()))])
+_SETS_DDL = "key long, doc_id long, n long, cls long, s0 long, s1 long, s2 long, s3 long, prefix array<long>, wide array<long>"
 
 
 def _row_key():
@@ -60,17 +64,38 @@ def class_of(s: np.ndarray) -> int:
     return int(mix(np.array([h]))[0].astype(np.int64))
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """256 parity bits: bit ``h mod 256`` of every shingle, exclusive-or."""
-    odd = (np.bincount((s >> np.uint64(17)).astype(np.int64) & 255, minlength=256) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64)
+def sketch(s: np.ndarray, bits: int) -> list[int]:
+    """Parity bits: bit ``h mod bits`` of every shingle, exclusive-or."""
+    odd = (np.bincount((s >> np.uint64(17)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
 
 
 def prefix_length(n: int, threshold: int) -> int:
     return n - -(-threshold * n // 100) + 1
 
 
-def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+class Orders:
+    """The global orders: frequent shingles last, by their frequency class,
+    else by hash."""
+
+    def __init__(self, frequent: np.ndarray, rank: np.ndarray):
+        self.frequent, self.rank = frequent, rank
+
+    def prefix(self, s: np.ndarray, length: int, order: int) -> np.ndarray:
+        f = np.zeros(len(s), np.int64)
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, s), len(self.frequent) - 1)
+            hit = self.frequent[at] == s
+            f[hit] = self.rank[at[hit]]
+        key = mix(s ^ np.uint64(ORDER_SEEDS[order]))
+        cold = np.flatnonzero(f == 0)
+        if len(cold) > length:
+            return s[cold[np.argpartition(key[cold], length - 1)[:length]]]
+        warm = np.flatnonzero(f)
+        return s[np.concatenate((cold, warm[np.lexsort((key[warm], f[warm]))[: length - len(cold)]]))]
+
+
+def _frequent(docs: DataFrame, k: int) -> Orders:
     """The most frequent shingles and the power of two of their frequency. A
     task counts a buffer of shingles at a time and passes on those of four or
     more documents; the sums are made by Spark."""
@@ -106,44 +131,31 @@ def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     top = counts.where(F.col("f") >= least).toPandas()
     t = top["t"].to_numpy(np.int64).view(np.uint64)
     o = np.argsort(t)
-    return t[o], top["f"].to_numpy(np.int64)[o]
+    return Orders(t[o], top["f"].to_numpy(np.int64)[o])
 
 
-def document_sets(docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """One row per document: class, size, sketch, and prefixes in three orders."""
-    frequent, rank = _frequent(docs, k)
-    held = docs.sparkSession.sparkContext.broadcast((frequent, rank))
-
-    def prefixes(s):
-        freq, rank = held.value
-        f = np.zeros(len(s), np.int64)
-        if len(freq):
-            at = np.minimum(np.searchsorted(freq, s), len(freq) - 1)
-            hit = freq[at] == s
-            f[hit] = rank[at[hit]]
-        p = prefix_length(len(s), threshold)
-        cold = s[f == 0]
-        out = []
-        for seed in ORDER_SEEDS:
-            key = mix(cold ^ np.uint64(seed))
-            if len(cold) > p:
-                first = cold[np.argpartition(key, p - 1)[:p]]
-            else:
-                warm = np.flatnonzero(f)
-                first = np.concatenate((cold, s[warm[np.lexsort((mix(s[warm] ^ np.uint64(seed)), f[warm]))[: p - len(cold)]]]))
-            out.append(first.view(np.int64))
-        return out
+def document_sets(docs: DataFrame, k: int, threshold: int, orders) -> DataFrame:
+    """One row per document: class, size, sketches and prefix in the first
+    order. A task gives a class's prefix and wide sketch with the first of its
+    documents only, so copies do not multiply what is joined."""
 
     def rows(it):
+        seen: set[int] = set()
         for batch in it:
             keys, ids, texts = (c.to_pylist() for c in batch.columns)
             at = 0
             for part in chunks(texts):
                 for s in shingle_sets(part, k):
                     if len(s):
-                        yield (keys[at], ids[at], len(s), class_of(s), *prefixes(s), *sketch(s).tolist())
+                        c = class_of(s)
+                        prefix = wide = None
+                        if c not in seen:
+                            seen.add(c)
+                            prefix = orders.value.prefix(s, prefix_length(len(s), threshold), 0).view(np.int64)
+                            wide = sketch(s, 2048) if len(s) >= WIDE_FROM else None
+                        yield (keys[at], ids[at], len(s), c, *sketch(s, 256), prefix, wide)
                     else:
-                        yield (keys[at], ids[at], 0, None, None, None, None, 0, 0, 0, 0)
+                        yield (keys[at], ids[at], 0, None, 0, 0, 0, 0, None, None)
                     at += 1
 
     return docs.select(_row_key(), F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: batches(rows(it), _SETS), _SETS_DDL)
@@ -152,50 +164,48 @@ def document_sets(docs: DataFrame, k: int, threshold: int) -> DataFrame:
 def _whole_sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
     """``(cls, s)``: the whole sets of the classes in ``pairs``, from the texts
     again. A Bloom filter of the representatives' ids (of fixed size) keeps the
-    other documents out before they are shingled."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(reps.select("cls", "id"), "cls").select("id")
-    bits = docs.sparkSession.sparkContext.broadcast(bloom_bits(need, "id", BLOOM_BITS))
-    one, two = bloom_has(F.col("doc_id"), BLOOM_BITS)
+    other documents out before they are shingled; what it lets through in error
+    may repeat a class, never change a set."""
+    need = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(reps.select("cls", "key"), "cls").select("key")
+    bits = docs.sparkSession.sparkContext.broadcast(bloom_bits(need, "key", BLOOM_BITS))
 
     def rows(it):
         for batch in it:
-            b = bits.value
-            ok = np.ones(batch.num_rows, bool)
-            for i in (1, 2):
-                ok &= has_bit(b, batch.column(i).to_numpy(zero_copy_only=False))
-            texts = batch.column(0).filter(pa.array(ok)).to_pylist()
-            for part in chunks(texts):
+            ok = has_bit(bits.value, batch.column(1).to_numpy()) & has_bit(bits.value, batch.column(2).to_numpy())
+            for part in chunks(batch.column(0).filter(pa.array(ok)).to_pylist()):
                 for s in shingle_sets(part, k):
                     if len(s):
                         yield class_of(s), s.tobytes()
 
     schema = pa.schema([("cls", pa.int64()), ("s", pa.binary())])
-    return (docs.withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
-            .select("text", one.alias("one"), two.alias("two"))
-            .mapInArrow(lambda it: batches(rows(it), schema, 500), "cls long, s binary")
-            .dropDuplicates(["cls"]))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The candidate pairs that share a prefix shingle in every order and whose
-    whole sets are similar enough."""
-    orders = reps.select("cls", "p2", "p3")
-    left, right = (orders.select(F.col("cls").alias(c), F.col("p2").alias(f"{c}2"), F.col("p3").alias(f"{c}3")) for c in "ab")
-    kept = written(pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b"), "candidates")
+    return (docs.withColumn("key", _row_key()).select("text", *bloom_has(F.col("key"), BLOOM_BITS))
+            .mapInArrow(lambda it: batches(rows(it), schema, 500), "cls long, s binary"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, wide: DataFrame, orders, k: int, threshold: int) -> DataFrame:
+    """The candidate pairs that pass the wide sketch, share a prefix shingle in
+    the other orders too, and whose whole sets are similar enough."""
+    x, y = (reps.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}")).join(wide.withColumnRenamed("cls", c), c, "left").withColumnRenamed("wide", f"w{c}") for c in "ab")
+    differ = F.expr("aggregate(zip_with(wa, wb, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)")
+    near = F.col("wa").isNull() | F.col("wb").isNull() | (differ * (100 + threshold) <= (100 - threshold) * (F.col("na") + F.col("nb")))
+    kept = written(pairs.join(x, "a").join(y, "b").where(near).select("a", "b"), "candidates")
     sets = written(_whole_sets(docs, kept, reps, k), "sets")
 
-    def similar(it):
+    def similar(x, y):
+        for o in range(1, len(ORDER_SEEDS)):
+            if not len(np.intersect1d(*(orders.value.prefix(s, prefix_length(len(s), threshold), o) for s in (x, y)))):
+                return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= threshold * (len(x) + len(y) - both)
+
+    def check(it):
         for batch in it:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= threshold * (len(x) + len(y) - both))
+            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
     both = (kept.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("x")), "a")
             .join(sets.select(F.col("cls").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y"))
-    return written(both.mapInArrow(similar, "a long, b long"), "links")
+    return written(both.mapInArrow(check, "a long, b long").distinct(), "links")
 
 
 def _may_link(threshold: int):
@@ -212,21 +222,23 @@ def ngram_jaccard_classes(docs: DataFrame, k: int = 5, threshold: int = 80) -> D
     documents with the same set; ``n_links`` counts the verified links to other
     classes that the components rest on. ``key`` hashes id and text; ``leader`` is the key
     of the component's document with the smallest id."""
-    sets = written(document_sets(docs, k, threshold), "doc-sets")
-    rest = [c for c in sets.columns if c not in ("doc_id", "cls", "key")]
+    orders = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k))
+    sets = written(document_sets(docs, k, threshold, orders), "doc-sets")
+    rest = ["n", "s0", "s1", "s2", "s3"]
     reps = written(sets.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", *rest)).alias("r"))
                    .select("cls", F.col("r.doc_id").alias("id"), "r.key", *[f"r.{c}" for c in rest]), "classes")
+    wide = sets.where("wide is not null").select("cls", "wide").dropDuplicates(["cls"])
     small = reps.select("cls", "n", "s0", "s1", "s2", "s3")
 
-    spread = reps.select(F.explode("p1").alias("token"), "cls").repartition("token")
-    shared = spread.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("pivot")).where("m > 1").drop("m")
-    rows = written(spread.join(shared, "token"), "shared")
+    spread = sets.select(F.explode("prefix").alias("token"), "cls").repartition("token")
+    shared = spread.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other")).where("pivot <> other").drop("other")
+    rows = written(spread.join(shared, "token").distinct(), "shared")
 
     star = rows.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
     a, b = small.alias("a"), small.alias("b")
     star = (star.alias("p").join(a, F.expr("p.a = a.cls")).join(b, F.expr("p.b = b.cls"))
             .where(_may_link(threshold)).select("p.a", "p.b"))
-    first = _verified(star, docs, reps, k, threshold)
+    first = _verified(star, docs, reps, wide, orders, k, threshold)
 
     label = components(first)
     placed = (rows.drop("pivot").join(label.withColumnRenamed("node", "cls"), "cls", "left")
@@ -235,7 +247,7 @@ def ngram_jaccard_classes(docs: DataFrame, k: int = 5, threshold: int = 80) -> D
     rest = written(placed.join(open_, "token", "left_semi").join(small, "cls"), "open")
     cross = (rest.alias("a").join(rest.alias("b"), F.expr("a.token = b.token and a.cls < b.cls and a.label <> b.label") & _may_link(threshold))
              .select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct())
-    links = first.unionByName(_verified(cross, docs, reps, k, threshold))
+    links = first.unionByName(_verified(cross, docs, reps, wide, orders, k, threshold))
     label = written(components(links), "components").withColumnRenamed("node", "cls")
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
 
