@@ -26,8 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the rows are labelled with; text
     in no language (null, no letters, or letters that fit none) goes."""
     model = learn_languages(docs)
-    told = identify_languages(docs, model, [f"`{c}`" for c in docs.columns])
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*[f"`{c}`" for c in docs.columns])
+    told = identify_languages(docs, model, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")])
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("d.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = drop_repeated_lines(docs)
     changed = F.col("n_removed") > 0
     cut = cut.where(~changed | (F.trim("text") != ""))
-    return cut.select(*[F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    chars = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast("long")
+    return cut.select(*[chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

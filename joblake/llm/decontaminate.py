@@ -152,6 +152,6 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, th
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, threshold: float = 0.8) -> DataFrame:
     """The documents that no benchmark item contaminates."""
-    bad = contaminations(docs.select("doc_id", "text"), benchmark, min_match, threshold).select(F.col("key").alias("__key")).distinct()
-    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
-    return docs.withColumn("__key", key).join(bad, "__key", "left_anti").drop("__key")
+    bad = contaminations(docs.select("doc_id", "text"), benchmark, min_match, threshold).select("key").distinct()
+    rows = docs.select(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    return rows.join(bad, "key", "left_anti").select("d.*")

@@ -81,13 +81,12 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """``docs(doc_id, text, ...)`` with the later copies of repeated runs cut
     from ``text``, plus ``n_lines``, ``n_removed`` and ``removed_runs``."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed_runs")]
-    base = docs.select(*names)
-    runs = repeated_runs(docs.select("doc_id", "text"), min_words).withColumnRenamed("key", "__key").withColumnRenamed("runs", "removed_runs")
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> not exists(removed_runs, r -> i between r.first and r.last)), '\\n')")
-    removed = F.expr("aggregate(removed_runs, 0, (n, r) -> n + r.last - r.first + 1)")
-    out = base.withColumn("__key", _row_key()).join(runs, "__key", "left")
-    return out.select(*[F.when(F.col("removed_runs").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in names],
-                      F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n_lines"), F.coalesce(removed, F.lit(0)).alias("n_removed"), "removed_runs")
+    runs = repeated_runs(docs.select("doc_id", "text"), min_words)
+    rows = docs.select(_row_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("d")).join(runs, "key", "left")
+    kept = F.expr("array_join(filter(split(d.text, '\\n', -1), (x, i) -> not exists(runs, r -> i between r.first and r.last)), '\\n')")
+    removed = F.expr("aggregate(runs, 0, (n, r) -> n + r.last - r.first + 1)")
+    return rows.select(*[F.when(F.col("runs").isNull(), F.col("d.text")).otherwise(kept).alias("text") if c == "text" else F.col(f"d.`{c}`") for c in names],
+                       F.coalesce(F.size(F.split("d.text", "\n", -1)), F.lit(0)).alias("n_lines"), F.coalesce(removed, F.lit(0)).alias("n_removed"), F.col("runs").alias("removed_runs"))
 
 
 def oracle(min_words: int, docs: str = "documents") -> str:

@@ -63,32 +63,31 @@ def mix_sources(docs: DataFrame, shares: DataFrame | None = None, block_rows: in
     source), ``slot`` (its block's place in the mix), ``place`` (within the
     block) and ``in_mix``. ``shares(source, share)`` are the target weights as
     integers; by default they follow the square root of the sources' sizes."""
-    added = ("block", "slot", "place", "in_mix")
-    names = [c for c in docs.columns if c not in added]
-    md5 = F.md5(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit("")))
-    rows = docs.select(*names).withColumn("__m", md5).withColumn("__d", F.substring("__m", 1, _DIGITS))
-    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # a null source joins as its own
-    rows = rows.withColumn("__s", key)
-
-    part = rows.groupBy("__s", "__d").agg(F.count(F.lit(1)).alias("c"), F.first("source").alias("source"))
-    earlier = Window.partitionBy("__s").orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)
-    offset = part.select("__s", "__d", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("__o"))
-    sizes = part.groupBy("__s").agg(F.sum("c").alias("n"), F.first("source").alias("source"))
+    names = [c for c in docs.columns if c not in ("block", "slot", "place", "in_mix")]
+    # a null source joins as its own
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("s")
+    md5 = F.md5(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit(""))).alias("m")
+    rows = docs.select(key, md5, F.struct(*[F.col(f"`{c}`") for c in names]).alias("d")).withColumn("p", F.substring("m", 1, _DIGITS))
+
+    part = rows.groupBy("s", "p").agg(F.count(F.lit(1)).alias("c"), F.first("d.source").alias("source"))
+    earlier = Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    offset = part.select("s", "p", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("o"))
+    sizes = part.groupBy("s").agg(F.sum("c").alias("n"), F.first("source").alias("source"))
     if shares is None:
-        shares = sizes.crossJoin(F.broadcast(sizes.agg(F.max("n").alias("top")))).select("source", size_shares().alias("share"))
-    plan = schedule(shares).withColumn("__s", key)
-    per = plan.groupBy("__s").agg(F.max("share").alias("__share"), F.max("period").alias("__period"))
+        shares = sizes.crossJoin(F.broadcast(sizes.agg(F.max("n").alias("top")))).select("source", size_shares().alias("share"))  # one row, one column
+    plan = schedule(shares).select(key, "k", "share", "period", F.col("slot").alias("at"))
+    per = plan.groupBy("s").agg(F.max("share").alias("share"), F.max("period").alias("period"))
     # slots before the first source has no block left
-    ends = (sizes.join(per, "__s").select(F.expr(f"((n + {block_rows - 1}) div {block_rows}) * __period div __share").alias("e"))
-            .agg(F.min("e").alias("__end")))
-
-    rank = F.col("__o") + F.row_number().over(Window.partitionBy("__s", "__d").orderBy("__m", "doc_id", F.md5(F.coalesce("text", F.lit(""))))) - 1
-    ranked = rows.join(offset, ["__s", "__d"]).withColumn("__r", rank)
-    ranked = ranked.withColumn("block", F.expr(f"__r div {block_rows}")).withColumn("place", (F.col("__r") % block_rows).cast("int"))
-    ranked = ranked.join(F.broadcast(per), "__s").withColumn("k", F.expr("block % __share"))
-    placed = ranked.join(F.broadcast(plan.select("__s", "k", F.col("slot").alias("__at"))), ["__s", "k"])
-    out = placed.withColumn("slot", F.expr("(block div __share) * __period + __at")).crossJoin(F.broadcast(ends))
-    return out.select(*[F.col(f"`{c}`") for c in names], "block", "slot", "place", (F.col("slot") < F.col("__end")).alias("in_mix"))
+    end = (sizes.join(per, "s").select(F.expr(f"((n + {block_rows - 1}) div {block_rows}) * period div share").alias("e"))
+           .agg(F.min("e").alias("end")))
+
+    rank = F.col("o") + F.row_number().over(Window.partitionBy("s", "p").orderBy("m", "d.doc_id", F.md5(F.coalesce("d.text", F.lit(""))))) - 1
+    ranked = (rows.join(offset, ["s", "p"]).withColumn("r", rank)
+              .withColumn("block", F.expr(f"r div {block_rows}")).withColumn("place", (F.col("r") % block_rows).cast("int")))
+    # at most MAX_SOURCES rows, MAX_PERIOD rows, and one
+    placed = ranked.join(F.broadcast(per), "s").withColumn("k", F.expr("block % share")).join(F.broadcast(plan.select("s", "k", "at")), ["s", "k"])
+    out = placed.withColumn("slot", F.expr("(block div share) * period + at")).crossJoin(F.broadcast(end))
+    return out.select(*[F.col(f"d.`{c}`") for c in names], "block", "slot", "place", (F.col("slot") < F.col("end")).alias("in_mix"))
 
 
 def oracle(block_rows: int, docs: str = "documents") -> str:

@@ -265,5 +265,6 @@ def one_per_group(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame
     """The documents with the smallest id of their component; of repeated rows
     (same id and text) one."""
     groups = ngram_jaccard_classes(docs.select("doc_id", "text"), k, threshold)
-    lead = groups.where("key = leader").select(F.col("key").alias("__key")).distinct()
-    return docs.withColumn("__key", _row_key()).join(lead, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    lead = groups.where("key = leader").select("key").distinct()
+    rows = docs.select(_row_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    return rows.join(lead, "key", "left_semi").dropDuplicates(["key"]).select("d.*")
