@@ -170,7 +170,7 @@ def learn_languages(train: DataFrame, ratio: float = 0.5) -> LanguageFilters:
     names = [l for l, _ in sizes]
     slabs = -(-len(names) // 64)
     most = max(16, int(chosen.groupby("lang").size().max()) if len(chosen) else 16)
-    n_words = 1 << int(np.ceil(np.log2(8 * most)))
+    n_words = max(1 << 12, 1 << int(np.ceil(np.log2(8 * most))))
     table = np.zeros((n_words, slabs), np.uint64)
     for l, name in enumerate(names):
         h = mix(chosen.loc[chosen["lang"] == name, "g"].to_numpy(np.int64))
