@@ -8,9 +8,10 @@ Forward-backward gives each line's marginal probability of being good, and the
 mean of the marginals, weighted by line length, is the document's quality. A
 logistic curve over that mean turns it into the probability of label 1.
 
-The field is fitted on a documented, bounded sample: the ``max_docs`` labelled
-documents with the smallest hash of their text (equal texts once), of at most ``MAX_LINES`` lines.
-A document's label is the label of all its lines. Scoring covers every line of
+The field is fitted on a documented, bounded sample: of the ``max_docs`` labels
+with the smallest hash of their document's id, those whose document has at most
+``MAX_LINES`` lines. Only the labels are sampled before the join, so the join
+broadcasts at most ``max_docs`` rows and no text is moved. A document's label is the label of all its lines. Scoring covers every line of
 every document.
 
 Lines are ``text`` split at newlines. Null and empty texts have one empty line
@@ -178,8 +179,8 @@ def fit_field(x: np.ndarray, size: np.ndarray, off: np.ndarray, label: np.ndarra
     return field
 
 
-def fit_quality(train: DataFrame, max_docs: int = 6000) -> LineField:
-    """``train(text, label)`` with label 0 or 1."""
+def fit_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 6000) -> LineField:
+    """``docs(doc_id, text)`` and ``labels(doc_id, label)`` with label 0 or 1."""
 
     def features(it):
         for batch in it:
@@ -192,10 +193,10 @@ def fit_quality(train: DataFrame, max_docs: int = 6000) -> LineField:
                     yield pa.RecordBatch.from_arrays([pa.array([x[s].astype(np.float32).tobytes()]), pa.array([size[s].tobytes()]), pa.array([int(label[at + i])], pa.int32())], names=["x", "size", "label"])
                 at += len(part)
 
+    chosen = (labels.where(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label"))
+              .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_docs))
     short = F.length("text") - F.length(F.translate("text", "\n", "")) < MAX_LINES
-    usable = train.where(F.col("label").isin(0, 1) & F.col("text").isNotNull() & short).withColumn("h", F.xxhash64("text"))
-    cut = usable.select("h").distinct().orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]
-    sample = usable.where(F.col("h") <= (0 if cut is None else cut)).dropDuplicates(["h"]).select("text", F.col("label").cast("int").alias("label"))
+    sample = docs.where(F.col("text").isNotNull() & short).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
     rows = sample.mapInArrow(features, "x binary, size binary, label int").toPandas()
     if not len(rows):
         return fit_field(np.zeros((0, N_FEATURES)), np.zeros(0), np.zeros(1, int), np.zeros(0))

@@ -57,7 +57,7 @@ ORACLE["op5_line_dedup"] = line_dedup.oracle(50)
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where((fold(5) != 0) & F.col("quality").isNotNull())
-    model = quality.fit_quality(docs.select("doc_id", "text").join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id"))
+    model = quality.fit_quality(docs, labels.select("doc_id", F.col("quality").alias("label")))
     scored = quality.score_quality(docs, model, ["doc_id", (fold(5) == 0).alias("held_out")])
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 

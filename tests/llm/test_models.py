@@ -186,8 +186,11 @@ def test_quality_held_out(spark):
 
 def test_quality_edges(spark, make_docs):
     docs = make_docs([None, "", "x", "a\n" * 30000, "w " * 200000], clash=True)
-    for model in (quality.fit_quality(spark.createDataFrame([], "text string, label int")), quality.fit_quality(spark.createDataFrame([("a b", 1), (None, 0), ("c", None)], "text string, label int")),
-                  quality.fit_quality(spark.createDataFrame([("a b c.", 1), ("### %%%", 0)] * 4, "text string, label int"))):
+    def fit(rows):
+        train = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, label int")
+        return quality.fit_quality(train.select("doc_id", "text"), train.select("doc_id", "label"))
+
+    for model in (fit([]), fit([("a b", 1), (None, 0), ("c", None)]), fit([("a b c.", 1), ("### %%%", 0)] * 4)):
         out = quality.score_quality(docs, model).collect()
         assert len(out) == 5 and all(0 <= r.score <= 1 for r in out)
     assert quality.score_quality(docs.limit(0), model).count() == 0
