@@ -42,7 +42,7 @@ from joblake.llm.common import batches, bloom_bits, bloom_has, components, has_b
 from joblake.llm.hashing import chunks, mix, shingle_sets
 
 MAX_FREQUENT = 1 << 18
-BUFFER = 1 << 21
+BUFFER = 1 << 20
 BLOOM_BITS = 1 << 24
 WIDE_FROM = 400
 ORDER_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
