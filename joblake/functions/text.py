@@ -80,11 +80,10 @@ def trigram_similarity(a, b) -> Column:
 
 
 def _process(s) -> str:
-    # token-sort preprocessing: ASCII only, non-alphanumerics to blanks,
-    # lowercase, tokens sorted
+    # token-sort preprocessing: all but letters and digits (of any script) to
+    # blanks, lowercase, tokens sorted
     if s is None:
         return ""
-    s = "".join(ch for ch in s if ord(ch) < 128)
     s = "".join(ch if ch.isalnum() else " " for ch in s).lower()
     return " ".join(sorted(s.split()))
 

@@ -13,11 +13,22 @@ from pyspark.sql import functions as F
 
 from joblake.schemas import ASSISTANCE_LEVELS, JOB_STATUSES
 
+# fixed values: the fields of an application that may be changed, and form texts that count as true
 APP_FIELDS = ["date_applied", "state", "assistance_level", "cover_letter", "resume",
               "cold_calls", "reached_human", "interviews", "offer", "effort"]
 TRUTHY = ["1", "true", "on", "yes"]
 
 
+def latest(changes: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One change per key: the one with the largest ``order`` (a column of the
+    changes; the later change wins), or without an order the largest by value,
+    so that a repeated key never repeats a row of the snapshot."""
+    rest = [c for c in changes.columns if c not in keys]
+    first = [order] if order else []
+    return (changes.groupBy(*keys).agg(F.max(F.struct(*first, *[c for c in rest if c not in first])).alias("_m"))
+            .select(*keys, *[F.col("_m").getField(c).alias(c) for c in rest]))
+
+
 def _ts(now):
     return now if isinstance(now, F.Column) else F.lit(now).cast("timestamp")
 
@@ -37,10 +48,10 @@ def expire_applications(apps: DataFrame, today, days: int = 30) -> DataFrame:
     return apps.withColumn("state", F.when(hit, F.lit("expired")).otherwise(F.col("state")))
 
 
-def update_status(jobs: DataFrame, changes: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+def update_status(jobs: DataFrame, changes: DataFrame, now, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(new snapshot, rejects): set status by job_id when the value is one of
     the user-settable statuses, stamping date_updated."""
-    ok = changes.where(F.col("status").isin(JOB_STATUSES)).select("job_id", F.col("status").alias("_new"))
+    ok = latest(changes.where(F.col("status").isin(JOB_STATUSES)), ["job_id"], order).select("job_id", F.col("status").alias("_new"))
     rejects = changes.where(~F.col("status").isin(JOB_STATUSES) | F.col("status").isNull())
     out = jobs.join(ok, "job_id", "left")
     out = (out.withColumn("date_updated", F.when(F.col("_new").isNotNull(), _ts(now))
@@ -49,9 +60,10 @@ def update_status(jobs: DataFrame, changes: DataFrame, now) -> tuple[DataFrame,
     return out, rejects
 
 
-def write_scores(jobs: DataFrame, scores: DataFrame, cols: list[str]) -> DataFrame:
-    """Write score columns by job_id (new value, else the old one)."""
-    s = scores.select("job_id", *[F.col(c).alias(f"_n_{c}") for c in cols])
+def write_scores(jobs: DataFrame, scores: DataFrame, cols: list[str], order: str | None = None) -> DataFrame:
+    """Write score columns by job_id (new value, else the old one); one score
+    per listing, the last in ``order``."""
+    s = latest(scores.select("job_id", *cols, *([order] if order and order not in cols else [])), ["job_id"], order).select("job_id", *[F.col(c).alias(f"_n_{c}") for c in cols])
     out = jobs.join(s, "job_id", "left")
     for c in cols:
         old = F.col(c) if c in jobs.columns else F.lit(None)
@@ -59,22 +71,23 @@ def write_scores(jobs: DataFrame, scores: DataFrame, cols: list[str]) -> DataFra
     return out
 
 
-def write_tier2(jobs: DataFrame, scores: DataFrame) -> DataFrame:
-    return write_scores(jobs, scores, ["t2_score", "t2_explanation"])
+def write_tier2(jobs: DataFrame, scores: DataFrame, order: str | None = None) -> DataFrame:
+    return write_scores(jobs, scores, ["t2_score", "t2_explanation"], order)
 
 
-def write_tier3(jobs: DataFrame, scores: DataFrame) -> DataFrame:
-    return write_scores(jobs, scores, ["t3_score", "t3_qualification", "t3_fit", "t3_explanation"])
+def write_tier3(jobs: DataFrame, scores: DataFrame, order: str | None = None) -> DataFrame:
+    return write_scores(jobs, scores, ["t3_score", "t3_qualification", "t3_fit", "t3_explanation"], order)
 
 
 def reprocess_upsert(jobs: DataFrame, updates: DataFrame, job_keywords: DataFrame,
-                     new_keywords: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+                     new_keywords: DataFrame, fields: list[str], order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Replace listing ``fields`` of stored rows matched by dedup_hash (scores
     and date_listed kept); junction rows of those listings are rebuilt from
-    ``new_keywords`` (dedup_hash, kind, id)."""
-    # one update per hash (the smallest by value when a batch repeats a hash)
-    u = (updates.groupBy("dedup_hash").agg(F.min(F.struct(*fields)).alias("_v"))
-         .select("dedup_hash", *[F.col(f"_v.{c}").alias(f"_u_{c}") for c in fields], F.lit(True).alias("_hit")))
+    ``new_keywords`` (dedup_hash, kind, id). When a batch repeats a hash, the
+    last update in ``order`` wins. ``fields`` may hold the embedding: it is
+    replaced like any other field."""
+    u = (latest(updates.select("dedup_hash", *fields, *([order] if order and order not in fields else [])), ["dedup_hash"], order)
+         .select("dedup_hash", *[F.col(c).alias(f"_u_{c}") for c in fields], F.lit(True).alias("_hit")))
     out = jobs.join(u, "dedup_hash", "left")
     for c in fields:
         out = out.withColumn(c, F.when(F.col("_hit"), F.col(f"_u_{c}")).otherwise(F.col(c))).drop(f"_u_{c}")
@@ -121,12 +134,13 @@ def create_application(apps: DataFrame, jobs: DataFrame, new: DataFrame, now,
     return apps2, j, rejects
 
 
-def update_application(apps: DataFrame, changes: DataFrame) -> DataFrame:
+def update_application(apps: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
     """Sparse update: ``changes`` has application_id, ``set_fields`` (names
     of the fields being set, so 'set to NULL' differs from 'absent') and one
     column per field. Only whitelisted fields change; state 'offer' forces
-    offer = 1."""
+    offer = 1. Of several changes to one application the last in ``order`` wins."""
     present = [c for c in APP_FIELDS if c in changes.columns]
+    changes = latest(changes, ["application_id"], order)
     ch = changes.select("application_id", "set_fields", *[F.col(c).alias(f"_c_{c}") for c in present])
     out = apps.join(ch, "application_id", "left")
     for c in present:

@@ -8,13 +8,12 @@ anti-join or a keyed update, so re-running a plan is harmless (resume).
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from joblake.operators.changes import latest
 from joblake.schemas import USER_LEVELS
-from joblake.session import ensure_checkpoint_dir
+from joblake.session import scratch_table
 
 K = ["kind", "id"]
 
@@ -51,40 +50,41 @@ def resolve_merge_chains(plan: DataFrame) -> DataFrame:
     runs into a cycle stops at the first cycle member.
 
     Two pointer-jumping passes over the merge graph (each merge node has one
-    out-edge): (1) doubling ``ceil(log2 n) + 1`` times lands every node on a
-    cycle or a sink, and the nodes landed on are exactly the cycle members;
+    out-edge): (1) doubling until a step drops no pointer lands every node on a
+    cycle or a sink, and the nodes landed on are exactly the cycle members
+    (it stops early once no pointer leads on);
     (2) jumping until a stop node (non-merge target, deleted, or cycle
     member) gives each other node its terminal. O(log n) self-joins, lineage
     cut by reliable checkpoints."""
-    spark = plan.sparkSession
-    ensure_checkpoint_dir(spark)
-    merges = plan.where(F.col("action") == "merge").select("kind", "id", "into_id").checkpoint()
-    deleted = plan.where(F.col("action") == "delete").select("kind", "id")
-    n = merges.count()
+    merges = scratch_table(plan.where(F.col("action") == "merge").select("kind", "id", "into_id"), "merges")
+    deleted = scratch_table(plan.where(F.col("action") == "delete").select("kind", "id"), "deleted")
 
     is_merge = merges.select("kind", F.col("id").alias("into_id"), F.lit(True).alias("_m"))
-    ptr = (merges.join(is_merge, ["kind", "into_id"], "left")
-           .select("kind", "id", F.when(F.col("_m"), F.col("into_id")).alias("p")).checkpoint())
-    for _ in range(int(math.ceil(math.log2(max(n, 1)))) + 1):
+    ptr = scratch_table(merges.join(is_merge, ["kind", "into_id"], "left")
+                        .select("kind", "id", F.when(F.col("_m"), F.col("into_id")).alias("p")), "pointers")
+    # pointers that still lead on; sinks (NULL) leave, so this ends with the cycles' members and what leads into them
+    alive, steps = ptr.where("p is not null").count(), 0
+    while alive:
         nxt = ptr.select("kind", F.col("id").alias("p"), F.col("p").alias("pp"))
-        ptr = ptr.join(nxt, ["kind", "p"], "left").select("kind", "id", F.col("pp").alias("p")).checkpoint()
-    cycle = ptr.where(F.col("p").isNotNull()).select("kind", F.col("p").alias("id")).distinct().checkpoint()
+        ptr = scratch_table(ptr.join(nxt, ["kind", "p"], "left").select("kind", "id", F.col("pp").alias("p")), "pointers")
+        steps, before, alive = steps + 1, alive, ptr.where("p is not null").count()
+        if alive == before and 2 ** steps > alive:
+            break
+    cycle = scratch_table(ptr.where(F.col("p").isNotNull()).select("kind", F.col("p").alias("id")).distinct(), "cycles")
 
     stop = (merges.select("kind", F.col("into_id").alias("id"))
             .join(merges.select("kind", "id"), K, "left_anti")
             .unionByName(deleted).unionByName(cycle).distinct()
             .withColumn("_stop", F.lit(True)))
-    walk = (merges.join(cycle, K, "left_anti")
-            .join(stop.withColumnRenamed("id", "into_id"), ["kind", "into_id"], "left")
-            .select("kind", "id", F.col("into_id").alias("ptr"),
-                    F.coalesce("_stop", F.lit(False)).alias("done")).checkpoint())
-    while walk.where(~F.col("done")).limit(1).count() > 0:
+    walk = scratch_table(merges.join(cycle, K, "left_anti")
+                         .join(stop.withColumnRenamed("id", "into_id"), ["kind", "into_id"], "left")
+                         .select("kind", "id", F.col("into_id").alias("ptr"), F.coalesce("_stop", F.lit(False)).alias("done")), "walk")
+    while not walk.where(~F.col("done")).isEmpty():
         t = walk.select("kind", F.col("id").alias("ptr"), F.col("ptr").alias("t_ptr"), F.col("done").alias("t_done"))
-        walk = (walk.join(t, ["kind", "ptr"], "left")
-                .select("kind", "id",
-                        F.when(F.col("done"), F.col("ptr")).otherwise(F.col("t_ptr")).alias("ptr"),
-                        (F.col("done") | F.coalesce("t_done", F.lit(False))).alias("done"))
-                .checkpoint())
+        walk = scratch_table(walk.join(t, ["kind", "ptr"], "left")
+                             .select("kind", "id",
+                                     F.when(F.col("done"), F.col("ptr")).otherwise(F.col("t_ptr")).alias("ptr"),
+                                     (F.col("done") | F.coalesce("t_done", F.lit(False))).alias("done")), "walk")
 
     names = (plan.select("kind", "id", "name")
              .unionByName(plan.where(F.col("into_id").isNotNull())
@@ -149,11 +149,11 @@ def plan_preview(plan: DataFrame) -> DataFrame:
     return plan.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
-def set_level(keywords: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def set_level(keywords: DataFrame, changes: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Apply (kind, id, level) changes: a valid level or NULL (clear) is set;
     any other value goes to the reject frame."""
     valid = F.col("level").isNull() | F.col("level").isin(USER_LEVELS)
-    ok = changes.where(valid).select("kind", "id", F.col("level").alias("_lvl"), F.lit(True).alias("_hit"))
+    ok = latest(changes.where(valid), ["kind", "id"], order).select("kind", "id", F.col("level").alias("_lvl"), F.lit(True).alias("_hit"))
     rejects = changes.where(~valid)
     out = (keywords.join(ok, K, "left")
            .withColumn("user_level", F.when(F.col("_hit"), F.col("_lvl")).otherwise(F.col("user_level")))

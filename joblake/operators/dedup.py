@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import math
 import time as _time
-from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joblake.functions.text import dedup_hash, normalise_text, token_sort_ratio, trigrams
-from joblake.session import ensure_checkpoint_dir
+from joblake.operators.graph import components
+from joblake.session import scratch_table
 
 FUZZY_THRESHOLD = 85
 TRIGRAM_THRESHOLD = 0.3
@@ -31,10 +32,12 @@ def with_hash(df: DataFrame) -> DataFrame:
 
 def dedup_exact(incoming: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(fresh, duplicates): incoming rows whose hash is already stored are
-    duplicates with reason 'exact_hash'."""
-    hashes = stored.select("dedup_hash").distinct()
-    fresh = incoming.join(hashes, "dedup_hash", "left_anti")
-    dups = incoming.join(hashes, "dedup_hash", "left_semi").withColumn("reason", F.lit("exact_hash"))
+    duplicates with reason 'exact_hash'. One join with the store's hashes
+    serves both."""
+    known = stored.select("dedup_hash").distinct().withColumn("_stored", F.lit(True))
+    flagged = incoming.join(known, "dedup_hash", "left")
+    fresh = flagged.where(F.col("_stored").isNull()).drop("_stored")
+    dups = flagged.where(F.col("_stored")).drop("_stored").withColumn("reason", F.lit("exact_hash"))
     return fresh, dups
 
 
@@ -64,32 +67,36 @@ def _prefix_tokens(items: DataFrame, id_col: str, tokens_col: str, prefix_len: C
 
 def similar_company(names: DataFrame, threshold: float = TRIGRAM_THRESHOLD, col: str = "company_name",
                     left: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) of names with trigram similarity >= threshold (a = b
-    included). With ``left``, a ranges over its names only (b over all).
-    Exact: Jaccard(x, y) >= t implies the prefixes of length
-    |x| - ceil(t|x|) + 1 share a gram under one global gram order."""
+    """Pairs a < b of different names with trigram similarity >= threshold
+    (every name with a gram is similar to itself; those pairs are left out).
+    With ``left``, at least one of the two is among its names. Exact:
+    Jaccard(x, y) >= t implies the prefixes of length |x| - ceil(t|x|) + 1
+    share a gram under one global gram order, and sizes within t of each
+    other."""
     comp = (names.select(F.col(col).alias("name")).where(F.col("name").isNotNull()).distinct()
             .withColumn("grams", trigrams("name")))
     n = F.size("grams")
     plen = n - F.ceil(F.lit(threshold) * n) + 1
-    pre = _prefix_tokens(comp, "name", "grams", plen)
-    pre_left = pre if left is None else pre.join(
-        left.select(F.col(col).alias("name")).distinct(), "name", "left_semi")
-    cand = (pre_left.alias("x").join(pre.alias("y"), "tok")
-            .select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct())
+    pre = _prefix_tokens(comp, "name", "grams", plen).join(comp.select("name", n.alias("n")), "name")
+    if left is None:
+        pre = pre.withColumn("lead", F.lit(True))
+    else:
+        lead = left.select(F.col(col).alias("name")).where(F.col("name").isNotNull()).distinct().withColumn("lead", F.lit(True))
+        pre = pre.join(lead, "name", "left").withColumn("lead", F.coalesce("lead", F.lit(False)))
+    cand = (pre.alias("x").join(pre.alias("y"), F.expr(
+        "x.tok = y.tok and x.name < y.name and (x.lead or y.lead)") & (F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n")))
+        .select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct())
     ga = comp.select(F.col("name").alias("a"), F.col("grams").alias("ga"))
     gb = comp.select(F.col("name").alias("b"), F.col("grams").alias("gb"))
     scored = cand.join(ga, "a").join(gb, "b")
-    union = F.size(F.array_union("ga", "gb"))
-    sim = F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect("ga", "gb")) / union)
+    sim = F.size(F.array_intersect("ga", "gb")) / F.size(F.array_union("ga", "gb"))
     return scored.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def sort_key(title) -> Column:
-    """Token-sort form of a normalised title: ASCII only, non-alphanumerics to
-    blanks, lowercase, tokens sorted, joined by one blank."""
-    t = F.regexp_replace(F.coalesce(title, F.lit("")), r"[^\x00-\x7F]", "")
-    t = F.lower(F.regexp_replace(t, r"[^A-Za-z0-9]", " "))
+    """Token-sort form of a normalised title: all but letters and digits (of
+    any script) to blanks, lowercase, tokens sorted, joined by one blank."""
+    t = F.lower(F.regexp_replace(F.coalesce(title, F.lit("")), r"[^\p{L}\p{N}]", " "))
     return F.array_join(F.array_sort(F.filter(F.split(t, " "), lambda x: x != "")), " ")
 
 
@@ -166,76 +173,101 @@ def fuzzy_candidates(rows: DataFrame, company_pairs: DataFrame, threshold: int =
 
 def dedup_fuzzy(incoming: DataFrame, stored: DataFrame, *, threshold: int = FUZZY_THRESHOLD,
                 trigram_threshold: float = TRIGRAM_THRESHOLD, stats: dict | None = None) -> DataFrame:
-    """Arrival-order greedy fuzzy dedup. ``incoming`` has seq, title,
+    """Arrival-order greedy fuzzy dedup. ``incoming`` has seq (unique), title,
     company_name; ``stored`` has title, company_name (every stored row counts
     as kept; quarantined rows carry an empty company and never match).
 
     A row is a duplicate when an earlier *kept* row (stored, or incoming and
     itself kept) has a similar company and a title ratio >= threshold. With
-    A~B, B~C, A≁C and arrival A, B, C: A kept, B dropped, C kept. Resolved in
-    rounds: a row is dropped once an earlier neighbour is kept, kept once all
-    earlier neighbours are dropped. Returns incoming rows with ``keep``."""
-    spark = incoming.sparkSession
-    ensure_checkpoint_dir(spark)
-    inc = incoming.select(F.col("seq").alias("rid"), F.col("seq").cast("double").alias("order"),
-                          F.coalesce("company_name", F.lit("")).alias("company_name"),
-                          sort_key(normalise_text("title")).alias("tkey"))
-    # stored rows get negative ids and come before every incoming row
-    st = (stored.select(F.coalesce("company_name", F.lit("")).alias("company_name"),
-                        sort_key(normalise_text("title")).alias("tkey"))
+    A~B, B~C, A≁C and arrival A, B, C: A kept, B dropped, C kept. A company
+    without a trigram (NULL, empty, punctuation only) is similar to nothing:
+    such rows are kept. Returns every incoming row with ``keep``."""
+    gram = F.size(trigrams("company_name")) > 0
+    inc = incoming.select(F.col("seq").alias("rid"), F.col("seq").cast("double").alias("order"), "company_name",
+                          sort_key(normalise_text("title")).alias("tkey")).where(gram)
+    # stored rows get negative ids and come before every incoming row; equal ones are one
+    st = (stored.where(gram).select("company_name", sort_key(normalise_text("title")).alias("tkey")).distinct()
           .withColumn("rid", -1 - F.monotonically_increasing_id())
           .withColumn("order", F.lit(-math.inf)))
     rows = inc.unionByName(st.select("rid", "order", "company_name", "tkey"))
-    rows = rows.where(F.col("company_name") != "")
     # rows with the same company and title key as an earlier row are always
     # duplicates (ratio 100, similarity 1 with a kept row, or with whatever
     # dropped the earlier one); only the first of each such group is paired
-    firsts = (rows.groupBy("company_name", "tkey").agg(F.min(F.struct("order", "rid")).alias("_f"))
-              .select("company_name", "tkey", F.col("_f.order").alias("order"), F.col("_f.rid").alias("rid")))
-    copies = rows.join(firsts.select("rid"), "rid", "left_anti").where(F.col("rid") >= 0).select(
-        F.col("rid").alias("r"), F.lit(False).alias("keep"))
     _t0 = _time.perf_counter()
-    rows = firsts.checkpoint()
+    firsts = scratch_table(rows.groupBy("company_name", "tkey").agg(F.min(F.struct("order", "rid")).alias("_f"))
+                           .select("company_name", "tkey", F.col("_f.order").alias("order"), F.col("_f.rid").alias("rid")), "titles")
     _t1 = _time.perf_counter()
 
-    pairs = similar_company(rows.select("company_name"), trigram_threshold,
-                            left=rows.where(F.col("rid") >= 0).select("company_name"))
-    cand = fuzzy_candidates(rows, pairs, threshold)
-    keys = rows.select("rid", "tkey")
+    pairs = similar_company(firsts.select("company_name"), trigram_threshold,
+                            left=firsts.where(F.col("rid") >= 0).select("company_name")).select("a", "b")
+    own = firsts.select(F.col("company_name").alias("a"), F.col("company_name").alias("b")).distinct()
+    pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(own)
+    cand = fuzzy_candidates(firsts, pairs, threshold)
+    keys = firsts.select("rid", "tkey")
     scored = (cand.join(keys.withColumnRenamed("rid", "r").withColumnRenamed("tkey", "tr"), "r")
-              .join(keys.withColumnRenamed("rid", "c").withColumnRenamed("tkey", "tc"), "c")
-              .withColumn("ratio", token_sort_ratio("tr", "tc"))
-              .where(F.col("ratio") >= threshold).select("r", "c"))
-    edges = scored.checkpoint()
+              .join(keys.withColumnRenamed("rid", "c").withColumnRenamed("tkey", "tc"), "c"))
+    titles = scored.select("tr", "tc").distinct().withColumn("ratio", token_sort_ratio("tr", "tc")).where(F.col("ratio") >= threshold)
+    edges = scratch_table(scored.join(titles.select("tr", "tc"), ["tr", "tc"]).select("r", "c"), "title-links")
     _t2 = _time.perf_counter()
 
-    # status: 1 kept, 0 dropped, NULL undecided; stored rows start kept
-    status = (rows.select("rid", F.when(F.col("rid") < 0, F.lit(1)).alias("st"))
-              .where(F.col("rid") < 0).select(F.col("rid").alias("c"), "st"))
-    undecided = rows.where(F.col("rid") >= 0).select(F.col("rid").alias("r"))
-    parts = [copies.checkpoint()]
-    # every round decides at least the earliest undecided row, so this ends
-    rounds = 0
-    while True:
+    dropped = greedy_drops(edges, stats)
+    if stats is not None:
+        stats.update(rows_sec=round(_t1 - _t0, 2), edges_sec=round(_t2 - _t1, 2), rounds_sec=round(_time.perf_counter() - _t2, 2))
+    first = firsts.where(F.col("rid") >= 0).select(F.col("rid").alias("seq")).join(dropped.select(F.col("r").alias("seq")), "seq", "left_anti")
+    out = incoming.withColumn("_gram", gram).join(first.withColumn("_first", F.lit(True)), "seq", "left")
+    return out.withColumn("keep", ~F.col("_gram") | F.coalesce("_first", F.lit(False))).drop("_gram", "_first")
+
+
+GREEDY_ROUNDS = 3
+GREEDY_LINKS = 200_000
+
+
+def greedy_drops(edges: DataFrame, stats: dict | None = None) -> DataFrame:
+    """``(r)``: the rows dropped when links ``(r, c)``, c earlier than r (a
+    negative c is kept from the start), are resolved in arrival order: a row is
+    dropped if an earlier row it links with is kept.
+
+    A few rounds decide most rows at once: rows with a link to a kept row go,
+    rows without any open link to an earlier one are kept. What is left are
+    chains; each connected component of up to ``GREEDY_LINKS`` links is walked
+    in order in one task, so the number of rounds does not follow the length of
+    a chain. Larger components go on in rounds: the result is the same."""
+    dropped = scratch_table(edges.where("c < 0").select("r").distinct(), "dropped")
+    open_ = edges.where("c >= 0").join(dropped, "r", "left_anti").join(dropped.select(F.col("r").alias("c")), "c", "left_anti").select("r", "c")
+    open_ = scratch_table(open_, "open")
+    rounds, left = 0, open_.count()
+    while left:
+        if rounds >= GREEDY_ROUNDS:
+            size = components(open_.select(F.col("r").alias("a"), F.col("c").alias("b")))
+            labelled = open_.join(size.withColumnRenamed("node", "r"), "r")
+            small = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= GREEDY_LINKS).select("label")
+            walked = (labelled.join(small, "label").select("label", "r", "c").groupBy("label")
+                      .applyInPandas(_walk, "r long"))
+            dropped = scratch_table(dropped.unionByName(walked), "dropped")
+            open_ = scratch_table(labelled.join(small, "label", "left_anti").select("r", "c"), "open")
+            rounds = 0
+            left = open_.count()
+            continue
         rounds += 1
-        e = edges.join(undecided, "r", "left_semi").join(status, "c", "left")
-        verdict = (undecided.join(
-            e.groupBy("r").agg(F.max(F.coalesce("st", F.lit(-1))).alias("best"),
-                               F.min(F.coalesce("st", F.lit(-1))).alias("worst")), "r", "left")
-            .select("r", F.when(F.col("best") == 1, F.lit(False))
-                    .when(F.col("best").isNull() | (F.col("worst") == 0), F.lit(True)).alias("keep"))
-            .checkpoint())
-        now = verdict.where(F.col("keep").isNotNull())
-        parts.append(now)
-        status = status.unionByName(now.select(F.col("r").alias("c"), F.col("keep").cast("int").alias("st"))).checkpoint()
-        undecided = verdict.where(F.col("keep").isNull()).select("r")
-        if undecided.isEmpty():
-            break
+        kept = open_.select("c").distinct().join(open_.select(F.col("r").alias("c")), "c", "left_anti")
+        gone = scratch_table(open_.join(kept, "c", "left_semi").select("r").distinct(), "dropped")
+        dropped = dropped.unionByName(gone)
+        open_ = scratch_table(open_.join(gone, "r", "left_anti").join(gone.select(F.col("r").alias("c")), "c", "left_anti")
+                              .select("r", "c"), "open")
+        left = open_.count()
     if stats is not None:
-        stats.update(rounds=rounds, rows_sec=round(_t1 - _t0, 2), edges_sec=round(_t2 - _t1, 2),
-                     rounds_sec=round(_time.perf_counter() - _t2, 2))
-    decided = reduce(lambda x, y: x.unionByName(y), parts)
-    return incoming.join(decided.withColumnRenamed("r", "seq"), "seq", "left")
+        stats.update(rounds=rounds)
+    return dropped
+
+
+def _walk(links: pd.DataFrame) -> pd.DataFrame:
+    """One component in arrival order."""
+    out, gone = [], set()
+    for r, c in links.sort_values(["r", "c"])[["r", "c"]].itertuples(index=False):
+        if c not in gone and r not in gone:
+            gone.add(r)
+            out.append(r)
+    return pd.DataFrame({"r": pd.Series(out, dtype="int64")})
 
 
 def insert_if_absent(store: DataFrame, new: DataFrame, key: str, order: str = "seq") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from joblake.schemas import (ATTENDANCE, BLOCKED_SOURCES, EMPLOYMENT_TYPES, MIN_DESCRIPTION_CHARS,
@@ -134,12 +134,18 @@ def _thousands(c: Column) -> Column:
     return F.regexp_replace(F.format_number(c, 0), r"\.0*$", "")
 
 
-def scoring_text_tier2(profile, jobcol_prefix: str = "") -> Column:
-    """Tier-2 prompt body: salary only when min and max are both set,
-    description cut to 1500 and qualifications to 800 characters."""
+def scoring_text_tier2(profile, jobcol_prefix: str = "", description_chars: int | None = None,
+                       qualification_chars: int | None = None) -> Column:
+    """Tier-2 prompt body: salary only when min and max are both set.
+    ``description_chars`` and ``qualification_chars`` cut the two texts for a
+    scorer with an input limit (fixed values of the remote one: 1500 and 800);
+    without them the texts are whole."""
     def j(c):
         return F.col(jobcol_prefix + c)
 
+    def cut(c, limit):
+        return F.coalesce(j(c), F.lit("")) if limit is None else F.substring(F.coalesce(j(c), F.lit("")), 1, limit)
+
     truthy = lambda c: c.isNotNull() & (c != 0)
     salary = F.when(truthy(j("salary_min")) & truthy(j("salary_max")), F.concat(
         F.lit("\nSalary: "), F.coalesce(F.nullif(j("salary_currency"), F.lit("")), F.lit("USD")), F.lit(" "),
@@ -151,8 +157,8 @@ def scoring_text_tier2(profile, jobcol_prefix: str = "") -> Column:
         F.lit("\nLocation: "), F.coalesce(j("location"), F.lit("")), F.lit(" | Attendance: "),
         F.coalesce(F.nullif(j("attendance"), F.lit("")), F.lit("unknown")), F.lit(" | Seniority: "),
         F.coalesce(F.nullif(j("seniority"), F.lit("")), F.lit("unknown")), salary,
-        F.lit("\nDescription: "), F.substring(F.coalesce(j("description"), F.lit("")), 1, 1500),
-        F.lit("\nQualifications: "), F.substring(F.coalesce(j("qualifications"), F.lit("")), 1, 800))
+        F.lit("\nDescription: "), cut("description", description_chars),
+        F.lit("\nQualifications: "), cut("qualifications", qualification_chars))
 
 
 def scoring_text_tier3(profile) -> Column:
@@ -200,9 +206,10 @@ def _tokens(c: Column) -> Column:
 
 def compose_embedding_text(title="title", qualifications="qualifications",
                            responsibilities="responsibilities", skills="skills",
-                           frameworks="frameworks", max_tokens: int = EMBEDDING_MAX_TOKENS) -> Column:
-    """'title | qualifications | responsibilities | skills | frameworks'
-    within a token budget (blank-separated tokens): the title is never cut;
+                           frameworks="frameworks", max_tokens: int | None = None) -> Column:
+    """'title | qualifications | responsibilities | skills | frameworks',
+    whole, or for an encoder with an input limit within a budget of
+    ``max_tokens`` (``EMBEDDING_MAX_TOKENS`` blank-separated tokens): the title is never cut;
     12 tokens are kept for separators; over budget, frameworks are cut first,
     then skills, responsibilities, qualifications."""
     empty = F.array().cast("array<string>")
@@ -211,6 +218,8 @@ def compose_embedding_text(title="title", qualifications="qualifications",
              F.trim(F.coalesce(_c(responsibilities), F.lit(""))),
              F.array_join(F.coalesce(_c(skills), empty), ", "),
              F.array_join(F.coalesce(_c(frameworks), empty), ", ")]
+    if max_tokens is None:
+        return F.concat_ws(" | ", t, *parts)
     toks = [_tokens(p) for p in parts]
     n = [F.size(x) for x in toks]
     budget = F.lit(max_tokens) - F.size(_tokens(t)) - SEPARATOR_TOKENS
@@ -231,13 +240,16 @@ def compose_embedding_text(title="title", qualifications="qualifications",
 
 def compose_profile_text(target_role="target_role", qualifications="qualifications_summary",
                          experience="experience_summary", skills="skills", frameworks="frameworks",
-                         max_tokens: int = EMBEDDING_MAX_TOKENS) -> Column:
+                         max_tokens: int | None = None) -> Column:
+    """The five profile fields joined, whole or cut to ``max_tokens``."""
     empty = F.array().cast("array<string>")
     text = F.concat_ws(" | ", F.trim(F.coalesce(_c(target_role), F.lit(""))),
                        F.trim(F.coalesce(_c(qualifications), F.lit(""))),
                        F.trim(F.coalesce(_c(experience), F.lit(""))),
                        F.array_join(F.coalesce(_c(skills), empty), ", "),
                        F.array_join(F.coalesce(_c(frameworks), empty), ", "))
+    if max_tokens is None:
+        return text
     toks = _tokens(text)
     return F.when(F.size(toks) > max_tokens, F.array_join(F.slice(toks, 1, max_tokens), " ")).otherwise(text)
 
@@ -259,56 +271,43 @@ PROFILE_KEYS = {
 LIST_SPLIT = r"[,\n•\-\*]+"
 
 
-def profile_sections(text) -> Column:
-    """Markdown → array<struct<h, lines>>: headings of levels 1-3 open a
-    section (lowercased); a repeated heading restarts its section in place;
-    non-blank lines that are not comments are kept, trimmed. One pass of
-    ``aggregate`` over the lines of each profile, all inside the row."""
-    sec_t = "struct<h:string,lines:array<string>>"
-    lines = F.split(F.coalesce(_c(text), F.lit("")), r"\r\n|\n|\r")
-    init = F.struct(F.lit(None).cast("string").alias("cur"),
-                    F.array().cast(f"array<{sec_t}>").alias("secs"))
-
-    def step(acc, line):
-        head = F.regexp_extract(line, r"^#{1,3}\s+(.+)", 1)
-        is_head = line.rlike(r"^#{1,3}\s+.")
-        h = F.lower(F.trim(head))
-        exists = F.exists(acc["secs"], lambda s: s["h"] == h)
-        new_head = F.when(exists, F.transform(acc["secs"], lambda s: F.when(
-            s["h"] == h, F.struct(s["h"].alias("h"), F.array().cast("array<string>").alias("lines"))).otherwise(s))
-        ).otherwise(F.concat(acc["secs"], F.array(F.struct(h.alias("h"),
-                                                           F.array().cast("array<string>").alias("lines")))))
-        s_line = F.trim(line)
-        keep = acc["cur"].isNotNull() & (s_line != "") & ~s_line.startswith("<!--")
-        appended = F.transform(acc["secs"], lambda s: F.when(
-            s["h"] == acc["cur"], F.struct(s["h"].alias("h"), F.concat(s["lines"], F.array(s_line)).alias("lines"))
-        ).otherwise(s))
-        return (F.when(is_head, F.struct(h.alias("cur"), new_head.alias("secs")))
-                .when(keep, F.struct(acc["cur"].alias("cur"), appended.alias("secs")))
-                .otherwise(acc))
-
-    return F.aggregate(lines, init, step)["secs"]
-
-
-def section_text(sections, keys: list[str]) -> Column:
-    """Text of the first section whose heading contains a key, keys tried in order."""
-    def first_with(k):
-        return F.try_element_at(F.filter(sections, lambda s: s["h"].contains(k)), F.lit(1))
-
-    found = F.coalesce(*[first_with(k) for k in keys])
-    return F.coalesce(F.array_join(found["lines"], " "), F.lit(""))
-
-
-def section_list(sections, keys: list[str]) -> Column:
-    items = F.transform(F.split(section_text(sections, keys), LIST_SPLIT), lambda x: F.trim(x))
-    return F.filter(items, lambda x: x != "")
-
-
-def parse_profile(text) -> Column:
-    """Profile markdown → struct of the five embedding fields."""
-    secs = profile_sections(text)
-    return F.struct(*[(section_list(secs, keys) if f in ("skills", "frameworks") else section_text(secs, keys)).alias(f)
-                      for f, keys in PROFILE_KEYS.items()])
+def profile_sections(profiles: DataFrame, key: str = "profile_id", text: str = "text") -> DataFrame:
+    """Markdown → (key, h, lines, place): headings of levels 1-3 open a section
+    (lowercased); a repeated heading starts its section anew, in the first
+    one's place; non-blank lines that are not comments are kept, trimmed, and
+    joined by blanks. One row per line, the last heading carried on; linear in
+    the number of lines."""
+    lines = profiles.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|\n|\r")).alias("p", "line"))
+    head = F.lower(F.trim(F.regexp_extract("line", r"^#{1,3}\s+(.+)", 1)))
+    is_head = F.col("line").rlike(r"^#{1,3}\s+.")
+    last = F.last(F.when(is_head, F.struct(F.col("p").alias("at"), head.alias("h"))), ignorenulls=True).over(
+        Window.partitionBy(key).orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
+    rows = lines.withColumn("s", last).where(F.col("s").isNotNull()).select(
+        key, F.col("s.h").alias("h"), F.col("s.at").alias("at"), "p", F.trim("line").alias("line"), is_head.alias("head"))
+    kept = ~F.col("head") & (F.col("line") != "") & ~F.col("line").startswith("<!--")
+    opened = rows.groupBy(key, "h", "at").agg(F.array_sort(F.collect_list(F.when(kept, F.struct("p", "line")))).alias("l"))
+    return (opened.groupBy(key, "h").agg(F.min("at").alias("place"), F.max_by("l", "at").alias("l"))
+            .select(key, "h", F.array_join(F.transform("l", lambda x: x["line"]), " ").alias("lines"), "place"))
+
+
+def parse_profile(profiles: DataFrame, key: str = "profile_id", text: str = "text") -> DataFrame:
+    """Profile markdown → (key, the five embedding fields). A field is the text
+    of the first section whose heading holds one of its keys, the keys tried in
+    order; skills and frameworks are split into items."""
+    secs = profile_sections(profiles, key, text)
+    aggs = []
+    for f, keys in PROFILE_KEYS.items():
+        rank = F.coalesce(*[F.when(F.col("h").contains(k), F.lit(i)) for i, k in enumerate(keys)])
+        aggs.append(F.min(F.when(rank.isNotNull(), F.struct(rank.alias("r"), "place", "lines"))).alias(f"_{f}"))
+    found = profiles.select(key).join(secs.groupBy(key).agg(*aggs), key, "left")
+
+    def field(f):
+        t = F.coalesce(F.col(f"_{f}.lines"), F.lit(""))
+        if f not in ("skills", "frameworks"):
+            return t.alias(f)
+        return F.filter(F.transform(F.split(t, LIST_SPLIT), lambda x: F.trim(x)), lambda x: x != "").alias(f)
+
+    return found.select(key, *[field(f) for f in PROFILE_KEYS])
 
 
 def raw_payload(df: DataFrame, col: str = "raw_json") -> DataFrame:

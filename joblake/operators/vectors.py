@@ -1,18 +1,12 @@
 """Vectors: embeddings from Spark ML features, exact and approximate search.
 
-Exact top-k never sorts a whole query's candidates in one task: each Arrow
-batch of the large side is scored against the small side with one matrix
-product and reduced to its own top-k per query; only those survivors (k per
-batch per query) meet in a final per-query rank. The small side (query
-vectors, or the keyword pool) is broadcast after its row count is checked
-against ``max_small``; beyond that the caller gets an error rather than a
-silent driver-memory blow-up.
+Exact top-k is a block product: blocks of queries meet blocks of rows in
+bounded tasks, each keeps its k best per query, and only those survivors meet
+in a final per-query rank.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -21,8 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# the broadcast side holds at most this many vectors (about 160 MB at 1024 doubles)
-MAX_SMALL_SIDE = 20_000
+from joblake.session import scratch_table
 
 
 def unit(col) -> F.Column:
@@ -41,78 +34,82 @@ def dot(a, b) -> F.Column:
                        lambda s, x: s + x)
 
 
-def _small_side(small: DataFrame, key: str, vec: str, max_small: int):
-    rows = small.select(key, vec).where(F.col(vec).isNotNull()).limit(max_small + 1).collect()
-    if len(rows) > max_small:
-        raise ValueError(f"small side exceeds {max_small} rows; partition the queries first")
-    keys = np.array([r[0] for r in rows])
-    mat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 0))
-    return keys, mat
+QUERY_BLOCK, LARGE_BLOCK, TILE = 2048, 8192, 256
+
+
+def _matrix(column: pd.Series, dim: int) -> np.ndarray:
+    """Rows of a dense (array) or sparse (struct of size, indices, values) column."""
+    if len(column) and isinstance(column.iloc[0], dict):
+        out = np.zeros((len(column), dim))
+        for r, v in enumerate(column):
+            out[r, np.asarray(v["indices"], int)] = v["values"]
+        return out
+    return np.stack([np.asarray(v, dtype=np.float64) for v in column]) if len(column) else np.zeros((0, dim))
+
+
+def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """(n): into how many blocks of about ``size`` rows a side is dealt."""
+    return rows.agg(F.greatest(F.lit(1), F.ceil(F.count(key) / size)).cast("int").alias("n"))
 
 
 def top_k_by_dot(large: DataFrame, small: DataFrame, *, large_key: str, small_key: str, vec: str = "vec",
-                 k: int = 10, cosine: bool = True, exclude_self: bool = False,
-                 max_small: int = MAX_SMALL_SIDE, _depth: int = 0) -> DataFrame:
+                 k: int = 10, cosine: bool = True, exclude_self: bool = False, ties: str = "asc",
+                 query_block: int = QUERY_BLOCK, large_block: int = LARGE_BLOCK) -> DataFrame:
     """For every small-side row (a query), the k large-side rows of highest
-    similarity (cosine, or plain dot product), ties by large key ascending.
-    Returns (small_key, large_key, similarity, rank). A small side above
-    ``max_small`` rows is split by key hash into chunks under the bound, one
-    broadcast pass over the large side per chunk."""
-    n_small = small.where(F.col(vec).isNotNull()).count()
-    if n_small > max_small:
-        chunks = -(-n_small * 5 // (max_small * 4))  # aim at 80 % of the bound per chunk
-        h = F.pmod(F.xxhash64(F.col(small_key), F.lit(_depth)), F.lit(chunks))  # new salt per level
-        parts = [top_k_by_dot(large, small.where(h == i),
-                              large_key=large_key, small_key=small_key, vec=vec, k=k, cosine=cosine,
-                              exclude_self=exclude_self, max_small=max_small, _depth=_depth + 1)
-                 for i in range(chunks)]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
-    spark = large.sparkSession
-    keys, mat = _small_side(small, small_key, vec, max_small)
-    if cosine and len(keys):
-        norms = np.linalg.norm(mat, axis=1, keepdims=True)
-        mat = np.divide(mat, norms, out=np.zeros_like(mat), where=norms > 0)
-    bkeys, bmat = spark.sparkContext.broadcast(keys), spark.sparkContext.broadcast(mat)
-    lk_type = dict(large.dtypes)[large_key]
-    sk_type = dict(small.dtypes)[small_key]
-    schema = f"{small_key} {sk_type}, {large_key} {lk_type}, similarity double"
+    similarity (cosine, or plain dot product), ties by large key (``ties``:
+    'asc' or 'desc'). Returns (small_key, large_key, similarity, rank).
+
+    A block product: both sides are dealt into blocks of bounded size by a hash
+    of their key, every block of queries meets every block of the large side in
+    one task, tile by tile, and passes on its k best per query; Spark merges
+    those per task before they are ranked. Neither side goes through the
+    driver, and no count is taken before the query runs. ``vec`` is an array of
+    numbers or a sparse struct (size, indices, values); NULL vectors take no
+    part."""
     if small_key == large_key:
         raise ValueError("use distinct key names for the two sides")
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q, qm = bkeys.value, bmat.value
-        for pdf in batches:
-            pdf = pdf[pdf[vec].notna()]
-            if len(pdf) == 0 or len(q) == 0:
-                continue
-            x = np.stack(pdf[vec].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-            if cosine:
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-            sims = x @ qm.T  # rows: large side, cols: queries
-            lk = pdf[large_key].to_numpy()
-            if exclude_self:
-                sims[lk[:, None] == q[None, :]] = -np.inf
-            # per query, the batch's k best by (similarity desc, key asc):
-            # all rows above the k-th best score, then the boundary ties in
-            # key order up to k (rows are visited in key order)
-            by_key = np.argsort(lk, kind="stable")
-            sims, lk = sims[by_key], lk[by_key]
-            kk = min(k, len(lk))
-            kth = -np.partition(-sims, kk - 1, axis=0)[kk - 1]
-            above = sims > kth[None, :]
-            tie = sims == kth[None, :]
-            room = kk - above.sum(axis=0)
-            keep = (above | (tie & (np.cumsum(tie, axis=0) <= room[None, :]))) & np.isfinite(sims)
-            rows, cols = np.nonzero(keep)
-            yield pd.DataFrame({small_key: q[cols], large_key: lk[rows], "similarity": sims[rows, cols]})
-
-    survivors = large.select(large_key, vec).mapInPandas(score, schema)
-    return top_k_per_group(survivors, small_key, [F.col("similarity").desc(), F.col(large_key).asc()], k,
-                           salt_key=large_key)
+    q = small.select(small_key, vec).where(F.col(vec).isNotNull())
+    x = large.select(large_key, vec).where(F.col(vec).isNotNull())
+    nq, nx = _blocks(q, small_key, query_block), _blocks(x, large_key, large_block)  # one row each
+
+    def dealt(side, key, own, own_n, other, other_n):
+        side = side.crossJoin(F.broadcast(own_n.withColumnRenamed("n", "_own"))).crossJoin(F.broadcast(other_n.withColumnRenamed("n", "_other")))
+        return (side.withColumn(own, F.pmod(F.xxhash64(key), "_own").cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_other") - 1))).drop("_own", "_other"))
+
+    left = dealt(q, small_key, "_q", nq, "_x", nx)
+    right = dealt(x, large_key, "_x", nx, "_q", nq)
+    schema = f"`{small_key}` {dict(small.dtypes)[small_key]}, `{large_key}` {dict(large.dtypes)[large_key]}, similarity double"
+
+    def unit_rows(m):
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0) if cosine else m
+
+    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({small_key: a[small_key].iloc[:0], large_key: b[large_key].iloc[:0], "similarity": np.empty(0)})]
+        if len(a) and len(b):
+            first = a[vec].iloc[0]
+            dim = int(first["size"]) if isinstance(first, dict) else len(first)
+            b = b.sort_values(large_key, ascending=ties == "asc", kind="stable")
+            lk, xm = b[large_key].to_numpy(), unit_rows(_matrix(b[vec], dim))
+            for s in range(0, len(a), TILE):
+                part = a.iloc[s:s + TILE]
+                qk = part[small_key].to_numpy()
+                sims = unit_rows(_matrix(part[vec], dim)) @ xm.T
+                if exclude_self:
+                    sims[qk[:, None] == lk[None, :]] = -np.inf
+                # all above the k-th best, then its ties in key order up to k
+                kk = min(k, len(lk))
+                kth = -np.partition(-sims, kk - 1, axis=1)[:, kk - 1:kk]
+                above, tie = sims > kth, sims == kth
+                room = kk - above.sum(axis=1, keepdims=True)
+                r, c = np.nonzero((above | (tie & (np.cumsum(tie, axis=1) <= room))) & np.isfinite(sims))
+                out.append(pd.DataFrame({small_key: qk[r], large_key: lk[c], "similarity": sims[r, c]}))
+        return pd.concat(out, ignore_index=True)
+
+    found = left.groupBy("_q", "_x").cogroup(right.groupBy("_q", "_x")).applyInPandas(score, schema)
+    by_key = F.col(large_key).asc() if ties == "asc" else F.col(large_key).desc()
+    return top_k_per_group(found, small_key, [F.col("similarity").desc(), by_key], k, salt_key=large_key)
 
 
 def vector_search(jobs: DataFrame, queries: DataFrame, k: int = 100, status: str | None = "active",
@@ -128,57 +125,16 @@ def vector_search(jobs: DataFrame, queries: DataFrame, k: int = 100, status: str
 def knn_keywords(entries: DataFrame, k: int = 8, vec: str = "vec") -> DataFrame:
     """For each candidate entry (is_candidate = 1), the k most similar
     entries of the same kind (canonicals and candidates, itself excluded) by
-    dot product of unit vectors; ties by neighbour id descending. The pool
-    (the taxonomy, bounded) is the broadcast side; candidates stream."""
+    dot product of unit vectors; ties by neighbour id descending."""
     results = []
     for kind in ("skill", "framework"):
         pool = entries.where(F.col("kind") == kind).select(F.col("id").alias("nid"), unit(vec).alias("vec"))
         cands = entries.where((F.col("kind") == kind) & (F.col("is_candidate") == 1)).select(
             "id", unit(vec).alias("vec"))
-        r = _knn_one_kind(cands, pool, k)
+        r = top_k_by_dot(pool, cands, large_key="nid", small_key="id", k=k, cosine=False, exclude_self=True, ties="desc")
         results.append(r.withColumn("kind", F.lit(kind)))
     out = results[0].unionByName(results[1])
-    return out.select("kind", "id", "nid", "similarity", "rank")
-
-
-def _knn_one_kind(cands: DataFrame, pool: DataFrame, k: int, max_small: int = MAX_SMALL_SIDE,
-                  _depth: int = 0) -> DataFrame:
-    # the pool is the broadcast side: score each candidate batch against it;
-    # a pool above the bound is split by hash and the chunk winners merged
-    n_pool = pool.where(F.col("vec").isNotNull()).count()
-    if n_pool > max_small:
-        chunks = -(-n_pool * 5 // (max_small * 4))
-        h = F.pmod(F.xxhash64(F.col("nid"), F.lit(_depth)), F.lit(chunks))  # new salt per level
-        parts = [_knn_one_kind(cands, pool.where(h == i), k, max_small, _depth + 1) for i in range(chunks)]
-        merged = parts[0]
-        for part in parts[1:]:
-            merged = merged.unionByName(part)
-        return top_k_per_group(merged.drop("rank"), "id", [F.col("similarity").desc(), F.col("nid").desc()],
-                               k, salt_key="nid").withColumn("rank", F.col("rank").cast("int"))
-    spark = cands.sparkSession
-    keys, mat = _small_side(pool, "nid", "vec", max_small)
-    bkeys, bmat = spark.sparkContext.broadcast(keys), spark.sparkContext.broadcast(mat)
-
-    def score(batches):
-        nk, nm = bkeys.value, bmat.value
-        for pdf in batches:
-            pdf = pdf[pdf["vec"].notna()]
-            if len(pdf) == 0 or len(nk) == 0:
-                continue
-            x = np.stack(pdf["vec"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-            sims = x @ nm.T
-            out = []
-            for i, cid in enumerate(pdf["id"].to_numpy()):
-                s = sims[i].copy()
-                s[nk == cid] = -np.inf
-                order = np.lexsort((-nk, -s))[:k]
-                order = order[np.isfinite(s[order])]
-                out.append(pd.DataFrame({"id": np.repeat(cid, len(order)), "nid": nk[order],
-                                         "similarity": s[order], "rank": np.arange(1, len(order) + 1)}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    return cands.select("id", "vec").mapInPandas(score, "id long, nid long, similarity double, rank int")
+    return out.select("kind", "id", "nid", "similarity", F.col("rank").cast("int").alias("rank"))
 
 
 def rank_by_similarity(knn: DataFrame) -> DataFrame:
@@ -200,14 +156,34 @@ def text_features(num_features: int = 1 << 12, min_doc_freq: int = 0) -> Pipelin
     ])
 
 
-def embed(model, df: DataFrame, text_col: str = "text", out: str = "vec") -> DataFrame:
-    """Apply a fitted feature pipeline; the vector comes back as array<double>."""
+def sparse(vector) -> F.Column:
+    """ML vector column → struct(size, indices, values) of its non-zero entries."""
+    dense = vector_to_array(vector)
+    entries = F.filter(F.transform(dense, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e["x"] != 0)
+    return F.struct(F.size(dense).alias("size"), F.transform(entries, lambda e: e["i"]).alias("indices"),
+                    F.transform(entries, lambda e: e["x"]).alias("values"))
+
+
+def embed(model, df: DataFrame, text_col: str = "text", out: str = "vec", as_sparse: bool = False) -> DataFrame:
+    """Apply a fitted feature pipeline; the vector comes back as array<double>,
+    or as its non-zero entries with ``as_sparse``."""
     src = df.withColumnRenamed(text_col, "text") if text_col != "text" else df
     res = model.transform(src)
-    res = res.withColumn(out, vector_to_array("_unit")).drop("_tok", "_tf", "_tfidf", "_unit")
+    res = res.withColumn(out, sparse("_unit") if as_sparse else vector_to_array("_unit")).drop("_tok", "_tf", "_tfidf", "_unit")
     return res.withColumnRenamed("text", text_col) if text_col != "text" else res
 
 
+def embed_hashed(df: DataFrame, text_col: str, out: str = "vec", num_features: int = 1 << 12) -> DataFrame:
+    """Unit hashed term-frequency vectors (nothing is fitted), as their
+    non-zero entries; the same words as :func:`text_features`."""
+    src = df.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
+    tok = RegexTokenizer(inputCol="_t", outputCol="_tok", pattern=r"[^\p{L}\p{N}#+]+", toLowercase=True)
+    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
+    nz = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0)
+    res = nz.transform(tf.transform(tok.transform(src)))
+    return res.withColumn(out, sparse("_unit")).drop("_t", "_tok", "_tf", "_unit")
+
+
 def embed_short(df: DataFrame, text_col: str = "name", out: str = "vec", num_features: int = 1 << 10) -> DataFrame:
     """Unit vectors of character trigrams for short names."""
     chars = df.withColumn("_chars", F.filter(F.split(F.lower(F.concat(F.lit(" "), F.col(text_col), F.lit(" "))), ""),
@@ -220,19 +196,26 @@ def embed_short(df: DataFrame, text_col: str = "name", out: str = "vec", num_fea
 
 
 def vector_search_approx(jobs: DataFrame, queries: DataFrame, k: int = 10, bucket_length: float = 0.8,
-                         num_tables: int = 8, threshold: float = 1.2, seed: int = 7) -> DataFrame:
+                         num_tables: int = 8, seed: int = 7) -> DataFrame:
     """Approximate neighbours by random-projection LSH on unit vectors
-    (Euclidean distance d relates to cosine by cos = 1 - d^2/2): a similarity
-    join within ``threshold``, then top k per query."""
+    (Euclidean distance d relates to cosine by cos = 1 - d^2/2): the candidates
+    that share a bucket, top k per query. Unit vectors are never further apart
+    than 2, so no candidate is cut by distance; a query whose buckets hold fewer
+    than k rows gets the rest by exact search."""
     a = jobs.select("job_id", array_to_vector(unit("vec")).alias("v")).where(F.col("v").isNotNull())
     b = queries.select("query_id", array_to_vector(unit("vec")).alias("v")).where(F.col("v").isNotNull())
     lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
                                       numHashTables=num_tables, seed=seed)
     model = lsh.fit(a)
-    pairs = model.approxSimilarityJoin(a, b, threshold, distCol="dist")
+    pairs = model.approxSimilarityJoin(a, b, 2.001, distCol="dist")
     res = pairs.select(F.col("datasetA.job_id").alias("job_id"), F.col("datasetB.query_id").alias("query_id"),
                        (1 - F.col("dist") * F.col("dist") / 2).alias("similarity"))
-    return top_k_per_group(res, "query_id", [F.col("similarity").desc(), F.col("job_id")], k, salt_key="job_id")
+    near = top_k_per_group(res, "query_id", [F.col("similarity").desc(), F.col("job_id")], k, salt_key="job_id")
+    near = scratch_table(near.select("query_id", "job_id", "similarity", "rank"), "lsh")
+    full = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")
+    short = queries.join(full, "query_id", "left_anti")
+    exact = top_k_by_dot(jobs, short, large_key="job_id", small_key="query_id", k=k)
+    return near.join(full, "query_id", "left_semi").unionByName(exact.select("query_id", "job_id", "similarity", "rank"))
 
 
 def top_k_per_group(df: DataFrame, group: str, order: list, k: int, salt_key: str, salts: int = 64) -> DataFrame:

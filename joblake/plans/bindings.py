@@ -65,10 +65,10 @@ SELECT o.o_orderkey AS job_id,
        CASE WHEN o.o_orderkey % 3 = 0 THEN NULL
             ELSE CAST(1 + (o.o_orderkey * 13) % 100 AS DOUBLE) END AS t3_fit,
        CASE WHEN o.o_orderstatus = 'P' THEN o.o_orderkey * 10 + 1 END AS application_id
-FROM {orders} o
+FROM (SELECT x.*, 1 + x.o_orderkey % np.n_parts AS pk FROM {orders} x CROSS JOIN (SELECT count(*) AS n_parts FROM {part}) np) o
+JOIN {part} p ON p.p_partkey = o.pk
 JOIN {customer} c ON o.o_custkey = c.c_custkey
 JOIN {nation} n ON c.c_nationkey = n.n_nationkey
-JOIN {part} p ON p.p_partkey = o.o_orderkey % 200
 """
 
 # t3_score = match_score(qualification, fit) with beta 0.2, written out in SQL
@@ -135,7 +135,9 @@ _B_LISTINGS = """
 SELECT p_partkey AS seq,
        concat(CASE p_partkey % 4 WHEN 0 THEN 'Sr. ' WHEN 1 THEN 'senior ' WHEN 2 THEN 'Jr ' ELSE '' END,
               p_name, ' ', p_type) AS title,
-       concat(p_brand, CASE WHEN p_partkey % 2 = 0 THEN ', Inc.' ELSE '' END) AS company_name,
+       CASE WHEN p_partkey % 37 = 0 THEN '' WHEN p_partkey % 41 = 0 THEN NULL
+            ELSE concat(substr(md5(CAST(p_partkey % 499 AS STRING)), 1, 7), ' ', substr(md5(p_brand), 3, 4),
+                        CASE WHEN p_partkey % 2 = 0 THEN ', Inc.' ELSE '' END) END AS company_name,
        CASE p_partkey % 3 WHEN 0 THEN 'EUROPE' WHEN 1 THEN 'ASIA' ELSE NULL END AS location
 FROM {part}
 """
@@ -155,12 +157,15 @@ FROM {conversations}
 # carry a blocked source in via, company or title
 _B_DOC_LISTINGS = """
 SELECT doc_id AS seq,
-       CASE WHEN doc_id % 17 = 0 THEN 'Jobs via Dice' ELSE concat('Role ', CAST(doc_id AS STRING)) END AS title,
-       CASE WHEN doc_id % 13 = 0 THEN 'BeBee' ELSE concat('Company ', lang) END AS company_name,
+       CASE WHEN doc_id % 17 = 0 THEN 'Jobs via Dice'
+            ELSE concat(split_part(text, ' ', 1), ' ', split_part(text, ' ', 2), ' ', split_part(text, ' ', 3)) END AS title,
+       CASE WHEN doc_id % 13 = 0 THEN 'BeBee' WHEN doc_id % 31 = 0 THEN ''
+            ELSE concat(split_part(text, ' ', 5), ' ', split_part(text, ' ', 7)) END AS company_name,
        CASE WHEN doc_id % 9 = 0 THEN 'Upwork' ELSE concat('via ', source) END AS via,
        lang AS location,
-       text AS description
-FROM {documents}
+       concat(text, chr(10), 'Works with ', p_name, '.') AS description
+FROM (SELECT x.*, 1 + x.doc_id % np.n_parts AS pk FROM {documents} x CROSS JOIN (SELECT count(*) AS n_parts FROM {part}) np) d
+JOIN {part} p ON p.p_partkey = d.pk
 """
 
 # relative posting phrases derived from the event log
@@ -177,11 +182,24 @@ SELECT event_id,
 FROM {events}
 """
 
+# a larger taxonomy with vectors: the dictionary continued by one term per embedding
+_B_ENTRIES = """
+SELECT e.vec_id AS id,
+       CASE WHEN e.vec_id % 2 = 0 THEN 'skill' ELSE 'framework' END AS kind,
+       coalesce(k.name, concat('term ', CAST(e.vec_id AS STRING))) AS name,
+       coalesce(k.domain, 'other') AS domain,
+       CASE WHEN e.vec_id % 5 = 0 THEN 1 ELSE 0 END AS is_candidate,
+       k.user_level AS user_level,
+       e.embedding AS vec
+FROM {embeddings} e LEFT JOIN {b_keywords} k ON k.id = e.vec_id
+"""
+
 BINDINGS: dict[str, str] = {
     "b_jobs_base": _B_JOBS_BASE,
     "b_jobs": _B_JOBS,
     "b_applications": _B_APPLICATIONS,
     "b_keywords": _B_KEYWORDS,
+    "b_entries": _B_ENTRIES,
     "b_job_keywords": _B_JOB_KEYWORDS,
     "b_mentions": _B_MENTIONS,
     "b_aliases": _B_ALIASES,

@@ -13,8 +13,7 @@ MERGE_AT, DELETE_BELOW = 0.26, 0.19
 
 # every keyword's best neighbour of its kind → a verdict; merges form chains and cycles
 _PLAN_SQL = f"""
-WITH e AS (SELECT k.kind, k.id, k.name, CAST(x.embedding AS DOUBLE[]) AS v
-           FROM b_keywords k JOIN embeddings x ON x.vec_id = k.id),
+WITH e AS (SELECT kind, id, name, CAST(vec AS DOUBLE[]) AS v FROM b_entries),
 s AS (SELECT c.kind, c.id, p.id AS nid, list_cosine_similarity(c.v, p.v) AS similarity
       FROM e c JOIN e p ON c.kind = p.kind AND c.id <> p.id),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind, id ORDER BY similarity DESC, nid DESC) AS rk
@@ -24,7 +23,7 @@ plan AS (
          CASE WHEN similarity >= {MERGE_AT} THEN 'merge' WHEN similarity < {DELETE_BELOW} THEN 'delete' ELSE 'promote' END AS action,
          CASE WHEN similarity >= {MERGE_AT} THEN nid END AS into_id,
          CASE WHEN similarity >= {MERGE_AT} THEN n.name END AS into_name
-  FROM best b JOIN b_keywords k ON k.id = b.id LEFT JOIN b_keywords n ON n.id = b.nid)
+  FROM best b JOIN b_entries k ON k.id = b.id LEFT JOIN b_entries n ON n.id = b.nid)
 """
 
 _RESOLVE_SQL = _PLAN_SQL + """,
@@ -64,9 +63,8 @@ resolved AS (
 
 
 def _plan(T):
-    entries = T.keywords.join(T.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), "id")
-    best = V.knn_keywords(entries.withColumn("is_candidate", F.lit(1)), k=1)
-    return C.classify_candidates(best, T.keywords, MERGE_AT, DELETE_BELOW)
+    best = V.knn_keywords(T.entries.withColumn("is_candidate", F.lit(1)), k=1)
+    return C.classify_candidates(best, T.entries, MERGE_AT, DELETE_BELOW)
 
 
 @register("classify_candidates", _PLAN_SQL + "SELECT * FROM plan")
@@ -85,19 +83,19 @@ def plan_preview(T):
 
 
 def _jk(T):
-    return T.job_keywords.join(T.keywords.select("id", "kind"), "id").select("job_id", "kind", "id")
+    return T.job_keywords.join(T.entries.select("id", "kind"), "id").select("job_id", "kind", "id")
 
 
 @register("apply_promote", _RESOLVE_SQL + """
 SELECT k.kind, k.id, k.name, CASE WHEN r.action = 'promote' THEN 0 ELSE k.is_candidate END AS is_candidate
-FROM b_keywords k LEFT JOIN resolved r ON r.kind = k.kind AND r.id = k.id
+FROM b_entries k LEFT JOIN resolved r ON r.kind = k.kind AND r.id = k.id
 """)
 def apply_promote(T):
-    return C.apply_promote(T.keywords, C.resolve_merge_chains(_plan(T))).select("kind", "id", "name", "is_candidate")
+    return C.apply_promote(T.entries, C.resolve_merge_chains(_plan(T))).select("kind", "id", "name", "is_candidate")
 
 
 _MERGED_JK = """,
-jk AS (SELECT jk.job_id, k.kind, jk.id FROM b_job_keywords jk JOIN b_keywords k ON k.id = jk.id),
+jk AS (SELECT jk.job_id, k.kind, jk.id FROM b_job_keywords jk JOIN b_entries k ON k.id = jk.id),
 mg AS (SELECT kind, id, into_id FROM resolved WHERE action = 'merge'),
 new_jk AS (SELECT DISTINCT jk.job_id, jk.kind, coalesce(mg.into_id, jk.id) AS id
            FROM jk LEFT JOIN mg ON mg.kind = jk.kind AND mg.id = jk.id)
@@ -106,29 +104,29 @@ new_jk AS (SELECT DISTINCT jk.job_id, jk.kind, coalesce(mg.into_id, jk.id) AS id
 
 @register("apply_merge", _RESOLVE_SQL + _MERGED_JK + "SELECT job_id, kind, id FROM new_jk")
 def apply_merge(T):
-    _, _, jk = C.apply_merge(T.keywords, T.aliases, _jk(T), C.resolve_merge_chains(_plan(T)))
+    _, _, jk = C.apply_merge(T.entries, T.aliases, _jk(T), C.resolve_merge_chains(_plan(T)))
     return jk
 
 
 @register("apply_delete", _RESOLVE_SQL + """
-SELECT kind, id, name FROM b_keywords WHERE (kind, id) NOT IN (SELECT kind, id FROM resolved WHERE action = 'delete')
+SELECT kind, id, name FROM b_entries WHERE (kind, id) NOT IN (SELECT kind, id FROM resolved WHERE action = 'delete')
 """)
 def apply_delete(T):
-    kw, _ = C.apply_delete(T.keywords, _jk(T), C.resolve_merge_chains(_plan(T)))
+    kw, _ = C.apply_delete(T.entries, _jk(T), C.resolve_merge_chains(_plan(T)))
     return kw.select("kind", "id", "name")
 
 
 @register("apply_plan", _RESOLVE_SQL + _MERGED_JK + """
 SELECT n.kind, n.id, k.name, CASE WHEN r.action = 'promote' THEN 0 ELSE k.is_candidate END AS is_candidate,
        count(*) AS n_jobs
-FROM new_jk n JOIN b_keywords k ON k.kind = n.kind AND k.id = n.id
+FROM new_jk n JOIN b_entries k ON k.kind = n.kind AND k.id = n.id
 LEFT JOIN resolved r ON r.kind = n.kind AND r.id = n.id
 WHERE (n.kind, n.id) NOT IN (SELECT kind, id FROM resolved WHERE action IN ('delete', 'merge'))
 GROUP BY n.kind, n.id, k.name, CASE WHEN r.action = 'promote' THEN 0 ELSE k.is_candidate END
 """)
 def apply_plan(T):
     """Final keyword table with listing counts after the whole plan."""
-    kw, al, jk = C.apply_plan(T.keywords, T.aliases, _jk(T), _plan(T))
+    kw, al, jk = C.apply_plan(T.entries, T.aliases, _jk(T), _plan(T))
     counts = jk.groupBy("kind", "id").agg(F.count(F.lit(1)).alias("n_jobs"))
     return kw.join(counts, ["kind", "id"]).select("kind", "id", "name", "is_candidate", "n_jobs")
 

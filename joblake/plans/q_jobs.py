@@ -17,8 +17,9 @@ from joblake.sources import taxonomy as TX
 
 
 def _doc_pages(T):
-    """Listings of the documents grouped ten to a page per language (the
-    query), written the way a fetch run lands them."""
+    """Listings of the documents ten to a page and up to twelve pages to a
+    query, written the way a fetch run lands them: a query is a language and a
+    range of ids, so their number grows with the table."""
     d = T.doc_listings
     listing = F.struct(
         F.col("title"), F.col("company_name"), F.col("location"), F.col("via"),
@@ -33,9 +34,10 @@ def _doc_pages(T):
                          F.concat(F.lit("https://apply.example.org/"), F.col("seq").cast("string")).alias("link")))
         .alias("apply_options"),
         F.col("seq").cast("string").alias("job_id"))
-    return (d.select(F.col("location").alias("query_name"), (F.floor(F.col("seq") / 10) % 12 + 1).cast("int")
-                     .alias("page_no"), listing.alias("job"))
-            .groupBy("query_name", "page_no").agg(F.collect_list("job").alias("jobs_results"))
+    query = F.concat("location", F.lit("-"), F.floor(F.col("seq") / 120).cast("string")).alias("query_name")
+    return (d.select(query, (F.floor(F.col("seq") / 10) % 12 + 1).cast("int").alias("page_no"), listing.alias("job"))
+            .groupBy("query_name", "page_no").agg(F.array_sort(F.collect_list("job"), lambda x, y: F.when(
+                x["job_id"].cast("long") < y["job_id"].cast("long"), -1).otherwise(1)).alias("jobs_results"))
             .select(F.col("query_name").alias("_query_name"), F.lit(None).cast("string").alias("error"),
                     "jobs_results", F.struct(F.lit(None).cast("string").alias("next_page_token"))
                     .alias("serpapi_pagination"), "query_name", "page_no"))
@@ -87,10 +89,10 @@ def scan_taxonomy(T):
     kw = T.keywords
     (kw.select("domain", F.when(F.col("id") % 3 == 0, "").otherwise(F.col("domain")).alias("core_competency"),
                F.lit("").alias("competency"), F.col("name").alias("skill"))
-     .coalesce(1).write.option("header", True).csv(path))
+     .write.option("header", True).csv(path))
     existing = kw.where(F.col("id") % 2 == 0).select("id", "kind", "name", "domain", F.lit(None).cast("string").alias("l2"),
                                                      F.lit(None).cast("string").alias("l3"), "is_candidate", "user_level")
-    return TX.scan_taxonomy(T.spark, path, "skill", existing)
+    return TX.scan_taxonomy(T.spark, path, "skill", existing).drop("l3")
 
 
 @register("scan_aliases")
@@ -100,7 +102,7 @@ def scan_aliases(T):
     (kw.select(F.upper(F.col("name")).alias("alias"),
                F.when(F.col("id") % 4 == 0, F.concat(F.col("name"), F.lit("?"))).otherwise(F.col("name"))
                .alias("canonical_name"))
-     .coalesce(1).write.option("header", True).csv(path))
+     .write.option("header", True).csv(path))
     ok, unknown = TX.scan_aliases(T.spark, path, "skill", kw)
     return ok.select("alias", "id").unionByName(unknown.select("alias", F.lit(None).cast("long").alias("id")))
 
@@ -164,19 +166,21 @@ def report_dry_run(T):
     PG.write_page_files(_doc_pages(T).drop("query_name", "page_no"), path)
     ls = extract_fields(PG.scan_pages(T.spark, path))
     ls = ls.withColumn("extraction", F.when(F.length("description") >= 1000, F.col("extraction")))
-    return SK.report_dry_run(ls)
+    return SK.report_dry_run(ls).drop("extraction")
 
 
 def _pairs(T):
-    """(profile, listing) pairs: each conversation profile against the
-    listings sharing its id's part keywords (an equi-join, no cross product)."""
+    """(profile, listing) pairs: the listings dealt over all conversation
+    profiles; a profile's keywords are those of the listing with its id (an
+    equi-join, no cross product)."""
     jobs = T.jobs
     names = T.job_keywords.join(T.keywords.select("id", "name"), "id").groupBy("job_id").agg(
         F.collect_set("name").alias("job_keywords"))
     prof = T.conversations.groupBy(F.col("conv_id").alias("profile_id")).agg(F.count(F.lit(1)).alias("turns"))
     p = prof.join(names.select(F.col("job_id").alias("profile_id"), F.col("job_keywords").alias("profile_keywords")),
-                  "profile_id")
-    j = jobs.select("job_id", "attendance", "seniority", "salary_max", (F.col("job_id") % 100).alias("profile_id"))
+                  "profile_id", "left")
+    n = T.conversations.agg(F.count_distinct("conv_id").alias("n"))  # one row
+    j = jobs.crossJoin(F.broadcast(n)).select("job_id", "attendance", "seniority", "salary_max", (F.col("job_id") % F.col("n")).alias("profile_id"))
     return (j.join(names, "job_id").join(p, "profile_id")
             .withColumn("pref_attendance", F.lit("remote")).withColumn("pref_seniority", F.lit("senior"))
             .withColumn("pref_salary", F.lit(200000)))
@@ -194,37 +198,45 @@ def score_tier3(T):
 
 @register("batch_score")
 def batch_score(T):
-    """A user scorer (pandas) run over Arrow batches; one in a hundred
-    batches' rows carry a bad value to show failure handling."""
+    """A user scorer (pandas) run over Arrow batches. It fails on one listing
+    in a hundred; only those rows lose their score."""
     def fn(pdf):
         import pandas as pd
-        s = pd.Series([len(set(a or []) & set(b or [])) * 10.0 for a, b in
+        if (pdf["job_id"] % 100 == 7).any():
+            raise ValueError("no reply")
+        s = pd.Series([len(set(a if a is not None else []) & set(b if b is not None else [])) * 10.0 for a, b in
                        zip(pdf["job_keywords"], pdf["profile_keywords"])], index=pdf.index)
         return pd.DataFrame({"t2_score": s.clip(upper=100), "t2_explanation": "shared keywords x10"})
     return SC.batch_score(_pairs(T).select("profile_id", "job_id", "job_keywords", "profile_keywords"), fn).select(
         "profile_id", "job_id", "t2_score", "t2_explanation")
 
 
-@register("parse_score", """
+# replies of a scorer: one line, several lines, a null score, no score, a negative fraction, text, broken JSON, a list
+_REPLIES = [
+    '{"score": %d, "explanation": "good fit"}', '{\n  "score": %d.75,\n  "explanation": "over\ntwo lines"\n}',
+    '{"score": null, "explanation": "unsure"}', '{"explanation": "none given"}', '{"score": -%d.5}',
+    'model timed out', '{broken json}', '[%d]', '{"score": "%d"}', ' {"score": %d} ',
+]
+_REPLY_SQL = "CASE event_id % 10 " + " ".join(
+    f"WHEN {i} THEN replace('" + r.replace("\n", "~") + "', '%d', CAST(user_id AS @string))" for i, r in enumerate(_REPLIES)) + " END"
+
+
+@register("parse_score", f"""
+WITH r AS (SELECT event_id, replace({_REPLY_SQL.replace('@string', 'VARCHAR')}, '~', CASE WHEN event_id % 10 = 1 THEN chr(10) ELSE '~' END) AS reply FROM events),
+j AS (SELECT event_id, reply, json_valid(reply) AND json_type(TRY_CAST(reply AS JSON)) = 'OBJECT' AS ok FROM (
+        SELECT event_id, replace(reply, 'over' || chr(10) || 'two', 'over two') AS reply FROM r) x),
+s AS (SELECT event_id, ok, json_exists(CASE WHEN ok THEN reply ELSE '{{}}' END, '$.score') AS has,
+             TRY_CAST(json_extract_string(CASE WHEN ok THEN reply ELSE '{{}}' END, '$.score') AS DOUBLE) AS v,
+             json_extract_string(CASE WHEN ok THEN reply ELSE '{{}}' END, '$.explanation') AS e FROM j)
 SELECT event_id,
-  CASE WHEN reply IS NULL OR NOT regexp_matches(reply, '^\\s*\\{.*\\}\\s*$') THEN NULL
-       ELSE floor(coalesce(TRY_CAST(json_extract_string(reply, '$.score') AS DOUBLE), 0)) END AS score,
-  CASE WHEN reply IS NULL OR NOT regexp_matches(reply, '^\\s*\\{.*\\}\\s*$') THEN NULL
-       ELSE coalesce(json_extract_string(reply, '$.explanation'), '') END AS explanation
-FROM (SELECT event_id,
-        CASE event_type WHEN 'error' THEN 'model timed out'
-             WHEN 'view' THEN replace(props, '"k"', '"score"')
-             WHEN 'click' THEN replace(replace(props, '"k"', '"score"'), '}', ', "explanation": "good fit"}')
-             ELSE replace(props, '"k"', '"other"') END AS reply FROM events) e
+       CASE WHEN NOT ok THEN NULL WHEN NOT has THEN 0.0 ELSE trunc(v) END AS score,
+       CASE WHEN NOT ok OR (has AND v IS NULL) THEN NULL ELSE coalesce(e, '') END AS explanation
+FROM s
 """)
 def parse_score(T):
-    ev = T.events
-    reply = (F.when(F.col("event_type") == "error", "model timed out")
-             .when(F.col("event_type") == "view", F.replace("props", F.lit('"k"'), F.lit('"score"')))
-             .when(F.col("event_type") == "click", F.replace(F.replace("props", F.lit('"k"'), F.lit('"score"')),
-                                                             F.lit("}"), F.lit(', "explanation": "good fit"}')))
-             .otherwise(F.replace("props", F.lit('"k"'), F.lit('"other"'))))
-    return ev.select("event_id", SC.parse_score(reply).alias("p")).select("event_id", "p.score", "p.explanation")
+    r = F.replace(F.expr(_REPLY_SQL.replace("@string", "STRING")), F.lit("~"), F.when(F.col("event_id") % 10 == 1, "\n").otherwise("~"))
+    r = F.replace(r, F.lit("over\ntwo"), F.lit("over two"))
+    return T.events.select("event_id", SC.parse_score(r).alias("p")).select("event_id", "p.score", "p.explanation")
 
 
 @register("parse_deep_score")
@@ -267,26 +279,45 @@ def rescore(T):
                active_only=False, statuses=["active", "expired"]).select("job_id", "profile_id", "t3_score")
 
 
-@register("ingest_batch")
-def ingest_batch(T):
-    """Documents as one landed batch against the listing store of the job binding."""
+def _extract_some(df):
+    """Rule extraction that fails on one listing in 29, as a remote model may."""
+    return extract_fields(df).withColumn("extraction", F.when(F.col("seq") % 29 != 0, F.col("extraction")))
+
+
+def _ingest(T):
     from joblake.operators.dedup import with_hash
     from joblake.plans.ingest import ingest_batch as run
     store = with_hash(T.jobs.select("job_id", "title", "company_name", "location"))
-    listings = T.doc_listings
-    res = run(listings, store, T.keywords, T.aliases, as_of=AS_OF_DATE, fuzzy=True)
-    return res.summary
+    profile = T.spark.createDataFrame([(["ink", "paper"], "remote", "senior", 100000)],
+                                      "profile_keywords array<string>, pref_attendance string, pref_seniority string, pref_salary int")
+    return run(T.doc_listings, store, T.keywords, T.aliases, as_of=AS_OF_DATE, profile=profile, extract=_extract_some)
+
+
+@register("ingest_batch")
+def ingest_batch(T):
+    """Documents as one landed batch against the listing store of the job
+    binding: every valid listing with its outcome."""
+    return _ingest(T).outcomes
+
+
+@register("ingest_jobs")
+def ingest_jobs(T):
+    """The listings that the batch adds, with score, status and keywords."""
+    r = _ingest(T)
+    n = r.job_keywords.groupBy("seq").agg(F.count(F.lit(1)).alias("n_keywords"))
+    return r.jobs.join(n, "seq", "left").select("seq", "title", "company_name", "t2_score", "t2_explanation", "status", "skills", "frameworks",
+                                                F.size("embedding.indices").alias("n_terms"), F.coalesce("n_keywords", F.lit(0)).alias("n_keywords"))
 
 
 @register("stream_ingest")
 def stream_ingest(T):
     """Landed pages consumed by a file stream (availableNow); returns the store."""
-    from joblake.streaming.ingest_stream import STORE_SCHEMA
+    from joblake.streaming.ingest_stream import read_store
     from joblake.streaming.ingest_stream import stream_ingest as run
     spark = T.spark
     landing = scratch_path(spark, "stream_landing")
-    _doc_pages(T).drop("query_name", "page_no").write.json(landing)
+    PG.write_landing(_doc_pages(T), landing)
     store = scratch_path(spark, "stream_store")
     ckpt = scratch_path(spark, "stream_ckpt")
-    run(spark, landing, store, ckpt, T.keywords, T.aliases, as_of=AS_OF_DATE)
-    return spark.read.schema(STORE_SCHEMA).parquet(store)
+    run(spark, landing, store, ckpt, T.keywords, T.aliases, as_of=AS_OF_DATE, max_pages=12)
+    return read_store(spark, store).select("job_id", "title", "company_name", "location", "url", "date_listed", "status", "dedup_hash")

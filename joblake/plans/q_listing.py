@@ -80,7 +80,7 @@ def compose_scoring_text(T):
         "salary_period", "description", "qualifications", "responsibilities",
         F.when(F.col("job_id") % 4 == 1, None).otherwise(F.col("salary_min")).alias("salary_min"),
         F.when(F.col("job_id") % 4 == 2, 0).otherwise(F.col("salary_max")).alias("salary_max"))
-    return j.select("job_id", L.scoring_text_tier2(F.col("location")).alias("tier2_text"),
+    return j.select("job_id", L.scoring_text_tier2(F.col("location"), description_chars=1500, qualification_chars=800).alias("tier2_text"),
                     L.extraction_input_text().alias("extraction_text"))
 
 
@@ -130,16 +130,12 @@ def filter_profiles_q(T):
 @register("profile_sections")
 def profile_sections(T):
     """Profile markdown → the five embedding fields (rows-only; unit-tested)."""
-    p = _profiles(T)
-    return p.select("profile_id", L.parse_profile("text").alias("f")).select("profile_id", "f.*")
+    return L.parse_profile(_profiles(T))
 
 
 @register("compose_profile_text")
 def compose_profile_text(T):
-    p = _profiles(T).select("profile_id", L.parse_profile("text").alias("f"))
-    return p.select("profile_id", L.compose_profile_text("f.target_role", "f.qualifications_summary",
-                                                         "f.experience_summary", "f.skills",
-                                                         "f.frameworks").alias("text"))
+    return L.parse_profile(_profiles(T)).select("profile_id", L.compose_profile_text().alias("text"))
 
 
 @register("compose_embedding_text")
@@ -150,12 +146,15 @@ def compose_embedding_text(T):
                            F.col("text").alias("qualifications"), F.col("lang").alias("responsibilities"),
                            F.split(F.col("source"), "c").alias("skills"),
                            F.array(F.col("lang")).alias("frameworks"))
-    return d.select("job_id", L.compose_embedding_text().alias("text"))
+    return d.select("job_id", L.compose_embedding_text(max_tokens=L.EMBEDDING_MAX_TOKENS).alias("text"))
 
 
 @register("raw_payload")
 def raw_payload(T):
-    """Whole listing record as JSON text, read back with the same schema."""
+    """Whole listing record as JSON text, read back with the same schema: how
+    many come back unchanged."""
     j = L.raw_payload(T.jobs.select("job_id", "title", "company_name", "date_listed", "t2_score"))
     schema = "job_id BIGINT, title STRING, company_name STRING, date_listed DATE, t2_score DOUBLE"
-    return j.select("job_id", "raw_json", F.from_json("raw_json", schema).alias("back"))
+    back = F.from_json("raw_json", schema)
+    same = F.struct("job_id", "title", "company_name", "date_listed", "t2_score").eqNullSafe(back)
+    return j.agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("n_same"))

@@ -65,10 +65,10 @@ def improvement_priority(T):
 
 
 @register("sort_keywords", "SELECT * FROM (" + _market_sql(_ACTIVE_SCOPE, "k.is_candidate = 0")
-          + ") m ORDER BY avg_salary DESC NULLS LAST, kind, id LIMIT 20")
+          + ") m ORDER BY avg_salary DESC NULLS LAST, kind, id")
 def sort_keywords(T):
-    """First page (20) of the market sorted by mean salary."""
-    return A.sort_keywords(A.keyword_market(T.jobs, T.keywords, T.job_keywords), "avg_salary").limit(20)
+    """The market sorted by mean salary."""
+    return A.sort_keywords(A.keyword_market(T.jobs, T.keywords, T.job_keywords), "avg_salary")
 
 
 _USAGE_SQL = """

@@ -56,9 +56,8 @@ def batch_summary(T):
 def plan_union(T):
     """Plans made per kind and concatenated."""
     from joblake.plans.q_curation import DELETE_BELOW, MERGE_AT
-    entries = T.keywords.join(T.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), "id")
-    best = V.knn_keywords(entries.withColumn("is_candidate", F.lit(1)), k=1)
-    parts = [C.classify_candidates(best.where(F.col("kind") == k), T.keywords.where(F.col("kind") == k),
+    best = V.knn_keywords(T.entries.withColumn("is_candidate", F.lit(1)), k=1)
+    parts = [C.classify_candidates(best.where(F.col("kind") == k), T.entries.where(F.col("kind") == k),
                                    MERGE_AT, DELETE_BELOW) for k in ("skill", "framework")]
     return parts[0].unionByName(parts[1])
 
@@ -119,7 +118,7 @@ def sink_failed(T):
     from joblake.operators.extract import extract_fields
     b = L.raw_payload(D.with_hash(T.doc_listings))
     ext = extract_fields(b).where(F.length("description") < 1000)
-    return SK.sink_failed(ext)
+    return SK.sink_failed(ext).drop("raw_json")
 
 
 @register("sink_results_json")

@@ -3,13 +3,15 @@ directly (file round trips whose content is known, plan round trips)."""
 
 from __future__ import annotations
 
+from joblake.functions.text import normalise_sql
 from joblake.plans.bindings import AS_OF_DATE, with_bindings
 from joblake.plans.registry import ORACLE
 
-_PAGES = "SELECT location AS query, title, company_name, CAST(seq AS VARCHAR) AS job_id FROM b_doc_listings"
+_QUERY = "location || '-' || CAST(CAST(floor(seq / 120) AS BIGINT) AS VARCHAR)"
+_PAGES = f"SELECT {_QUERY} AS query, title, company_name, CAST(seq AS VARCHAR) AS job_id FROM b_doc_listings"
 
 ORACLE["scan_pages"] = with_bindings(_PAGES)
-ORACLE["union_pages"] = with_bindings("SELECT location AS query, CAST(seq AS VARCHAR) AS job_id FROM b_doc_listings")
+ORACLE["union_pages"] = with_bindings(f"SELECT {_QUERY} AS query, CAST(seq AS VARCHAR) AS job_id FROM b_doc_listings")
 ORACLE["flatten_highlights"] = with_bindings(
     "SELECT CAST(seq AS VARCHAR) AS job_id, location || chr(10) || via AS qualifications, '' AS responsibilities "
     "FROM b_doc_listings")
@@ -135,11 +137,11 @@ WITH names AS (
   FROM b_job_keywords jk JOIN b_keywords k ON jk.id = k.id GROUP BY jk.job_id),
 prof AS (
   SELECT c.conv_id AS profile_id, n.job_keywords AS profile_keywords
-  FROM (SELECT DISTINCT conv_id FROM conversations) c JOIN names n ON n.job_id = c.conv_id),
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN names n ON n.job_id = c.conv_id),
 pairs AS (
   SELECT p.profile_id, j.job_id, j.attendance, j.seniority, j.salary_max, n.job_keywords, p.profile_keywords,
          'remote' AS pref_attendance, 'senior' AS pref_seniority, 200000 AS pref_salary
-  FROM b_jobs j JOIN names n ON n.job_id = j.job_id JOIN prof p ON p.profile_id = j.job_id % 100),
+  FROM b_jobs j JOIN names n ON n.job_id = j.job_id JOIN prof p ON p.profile_id = j.job_id % (SELECT count(DISTINCT conv_id) FROM conversations)),
 parts AS (
   SELECT *,
     list_distinct(list_transform(coalesce(job_keywords, []), lambda x: lower(x))) AS req,
@@ -205,3 +207,90 @@ def _embedding_text_sql() -> str:
 
 
 ORACLE["compose_embedding_text"] = with_bindings(_embedding_text_sql())
+
+_PAGE_NO = "CAST(floor(seq / 10) AS BIGINT) % 12 + 1"
+# a query stops at its first failed page (7), if it has that page, and after ten pages
+ORACLE["scan_landing"] = with_bindings(f"""
+WITH l AS (SELECT {_QUERY} AS query, title, CAST(seq AS VARCHAR) AS job_id, {_PAGE_NO} AS page_no FROM b_doc_listings),
+f AS (SELECT DISTINCT query FROM l WHERE page_no = 7)
+SELECT l.query, title, job_id FROM l LEFT JOIN f ON l.query = f.query WHERE page_no <= CASE WHEN f.query IS NULL THEN 10 ELSE 6 END
+""")
+
+_EXTRACTED = ["employment_type", "attendance", "seniority", "experience_years_min", "experience_years_max", "salary_min", "salary_max"]
+_DOC_QUAL = "location || chr(10) || via"
+
+
+def _doc_extract() -> str:
+    """Field extraction over the landed documents, whose qualifications come
+    from the highlights."""
+    return (_extract_sql().replace("""SELECT job_id AS seq, title, description, qualifications FROM b_jobs
+  UNION ALL SELECT -1 - seq AS seq, title, description, '' AS qualifications FROM b_doc_listings""",
+                                   f"SELECT seq, title, description, {_DOC_QUAL} AS qualifications FROM b_doc_listings"))
+
+
+ORACLE["compose_job"] = with_bindings(f"""
+WITH e AS ({_doc_extract()})
+SELECT title, company_name, location, description, {_DOC_QUAL} AS qualifications, '' AS responsibilities,
+       'https://apply.example.org/' || CAST(d.seq AS VARCHAR) AS url,
+       CAST(DATE '{AS_OF_DATE}' - to_days(CAST(d.seq % 40 AS INTEGER)) AS DATE) AS date_listed,
+       {', '.join(f'e.{c}' for c in _EXTRACTED)}, coalesce(e.salary_currency, 'USD') AS salary_currency, e.salary_period
+FROM b_doc_listings d JOIN e ON e.seq = d.seq
+""")
+ORACLE["report_dry_run"] = with_bindings(f"""
+SELECT {_QUERY} AS query, title, company_name, location, 'https://apply.example.org/' || CAST(seq AS VARCHAR) AS url,
+       CASE WHEN length(description) >= 1000 THEN 'OK' ELSE 'FAILED' END AS status
+FROM b_doc_listings
+""")
+_DOC_HASH = (f"sha256({normalise_sql('title')} || '|' || {normalise_sql('company_name')} || '|' || {normalise_sql('location')})")
+ORACLE["sink_jobs"] = with_bindings(f"""
+SELECT min(seq) AS seq, h AS dedup_hash FROM (SELECT seq, {_DOC_HASH} AS h FROM b_doc_listings) d
+WHERE h NOT IN (SELECT {_DOC_HASH} FROM b_jobs) GROUP BY h
+""")
+ORACLE["sink_failed"] = with_bindings(f"""
+SELECT seq, {_DOC_HASH} AS dedup_hash, '(extraction failed)' AS title, '' AS url, '' AS company_name, 'extraction_failed' AS status
+FROM b_doc_listings WHERE length(description) < 1000
+""")
+ORACLE["batch_score"] = with_bindings(_PAIRS + """
+SELECT profile_id, job_id,
+       CASE WHEN job_id % 100 = 7 THEN NULL
+            ELSE least(100.0, 10.0 * len(list_filter(job_keywords, lambda x: list_contains(coalesce(profile_keywords, []), x)))) END AS t2_score,
+       CASE WHEN job_id % 100 = 7 THEN 'scoring failed: no reply' ELSE 'shared keywords x10' END AS t2_explanation
+FROM pairs""")
+ORACLE["raw_payload"] = with_bindings("SELECT count(*) AS n, count(*) AS n_same FROM b_jobs")
+
+_FIELDS = {"target_role": ["target", "objective", "role"], "qualifications_summary": ["summary", "qualif", "profile"],
+           "experience_summary": ["experience", "work", "employ"], "skills": ["skill"], "frameworks": ["framework", "tool", "technolog"]}
+
+
+def _profile_sql() -> str:
+    """The profile fields from the blocks, line by line."""
+    def rank(keys):
+        return "CASE " + " ".join(f"WHEN contains(h, '{k}') THEN {i}" for i, k in enumerate(keys)) + " END"
+
+    fields = ", ".join(f"arg_min(body, {rank(k)} * 100000000 + place) FILTER (WHERE {rank(k)} IS NOT NULL) AS {f}" for f, k in _FIELDS.items())
+    items = r"list_filter(list_transform(regexp_split_to_array(coalesce({}, ''), '[,\n•\-\*]+'), lambda x: trim(x)), lambda x: x <> '')"
+    out = ", ".join(f"{items.format(f)} AS {f}" if f in ("skills", "frameworks") else f"coalesce({f}, '') AS {f}" for f in _FIELDS)
+    return rf"""
+WITH texts AS (SELECT profile_id, string_agg(block, chr(10) ORDER BY turn) AS text FROM b_profile_blocks GROUP BY profile_id),
+lines AS (SELECT profile_id, unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS line, generate_subscripts(regexp_split_to_array(text, '\r\n|\n|\r'), 1) AS p FROM texts),
+marked AS (SELECT *, regexp_matches(line, '^#{{1,3}}\s+.') AS head,
+                  max(CASE WHEN regexp_matches(line, '^#{{1,3}}\s+.') THEN p END) OVER (PARTITION BY profile_id ORDER BY p) AS opened_at FROM lines),
+heads AS (SELECT profile_id, p AS opened_at, lower(trim(regexp_extract(line, '^#{{1,3}}\s+(.+)', 1))) AS h FROM marked WHERE head),
+opened AS (SELECT h.profile_id, h.h, h.opened_at,
+                  coalesce(string_agg(trim(m.line), ' ' ORDER BY m.p) FILTER (WHERE NOT m.head AND trim(m.line) <> '' AND NOT starts_with(trim(m.line), '<!--')), '') AS body
+           FROM heads h JOIN marked m ON m.profile_id = h.profile_id AND m.opened_at = h.opened_at GROUP BY h.profile_id, h.h, h.opened_at),
+secs AS (SELECT profile_id, h, min(opened_at) AS place, arg_max(body, opened_at) AS body FROM opened GROUP BY profile_id, h),
+found AS (SELECT t.profile_id, {fields} FROM texts t LEFT JOIN secs s ON s.profile_id = t.profile_id GROUP BY t.profile_id)
+SELECT profile_id, {out} FROM found"""
+
+
+ORACLE["profile_sections"] = with_bindings(_profile_sql())
+ORACLE["compose_profile_text"] = with_bindings(f"""
+SELECT profile_id, concat_ws(' | ', trim(target_role), trim(qualifications_summary), trim(experience_summary),
+       coalesce(array_to_string(skills, ', '), ''), coalesce(array_to_string(frameworks, ', '), '')) AS text
+FROM ({with_bindings(_profile_sql())}) p""")
+ORACLE["scan_taxonomy"] = with_bindings("""
+WITH old AS (SELECT id, kind, name, domain, NULL AS l2, is_candidate, user_level FROM b_keywords WHERE id % 2 = 0),
+new AS (SELECT row_number() OVER (ORDER BY name) + (SELECT max(id) FROM old) AS id, 'skill' AS kind, name, domain,
+               CASE WHEN id % 3 <> 0 THEN domain END AS l2, 0 AS is_candidate, NULL AS user_level FROM b_keywords WHERE id % 2 = 1)
+SELECT * FROM old UNION ALL SELECT * FROM new""")

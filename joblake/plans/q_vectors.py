@@ -46,8 +46,7 @@ def vector_search(T):
 
 
 _KNN_SQL = """
-WITH e AS (SELECT k.kind, k.id, k.is_candidate, CAST(x.embedding AS DOUBLE[]) AS v
-           FROM b_keywords k JOIN embeddings x ON x.vec_id = k.id),
+WITH e AS (SELECT kind, id, is_candidate, CAST(vec AS DOUBLE[]) AS v FROM b_entries),
 s AS (SELECT c.kind, c.id, p.id AS nid, list_cosine_similarity(c.v, p.v) AS similarity
       FROM e c JOIN e p ON c.kind = p.kind AND c.id <> p.id WHERE c.is_candidate = 1),
 knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind, id ORDER BY similarity DESC, nid DESC) AS rank
@@ -55,13 +54,9 @@ knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind, id ORDER
 """
 
 
-def _entries(T):
-    return T.keywords.join(T.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), "id")
-
-
 @register("knn_keywords", _KNN_SQL + "SELECT kind, id, nid, round(similarity, 6) AS similarity, rank FROM knn")
 def knn_keywords(T):
-    r = V.knn_keywords(_entries(T), k=8)
+    r = V.knn_keywords(T.entries, k=8)
     return r.select("kind", "id", "nid", F.round("similarity", 6).alias("similarity"), "rank")
 
 
@@ -70,7 +65,7 @@ SELECT kind, id, round(max(similarity), 6) AS best_similarity FROM knn GROUP BY
 ORDER BY best_similarity DESC, kind, id
 """)
 def rank_by_similarity(T):
-    r = V.rank_by_similarity(V.knn_keywords(_entries(T), k=8))
+    r = V.rank_by_similarity(V.knn_keywords(T.entries, k=8))
     return r.select("kind", "id", F.round("best_similarity", 6).alias("best_similarity"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at any scale: adaptive execution re-plans joins from
 # runtime sizes (checked broadcast with sort-merge fallback), splits skewed
@@ -41,14 +41,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``; only when it is unset (local runs, tests) make a
-    scratch one."""
+    ``spark.checkpoint.dir``. Only a local session, whose executors share the
+    driver's disk, gets a temporary folder when it is unset; on a cluster that
+    would be a folder no executor sees, so it is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="joblake-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -61,3 +64,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/joblake-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet into the shared scratch folder
+    and read it back. Survives lost executors, unlike cached blocks, and is
+    smaller than a checkpoint."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete the scratch folder of this library. Call it when no DataFrame
+    that came from an operator is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark).rstrip("/") + "/joblake-scratch")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

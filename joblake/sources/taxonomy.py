@@ -22,13 +22,13 @@ def scan_taxonomy(spark: SparkSession, path: str, kind: str, existing: DataFrame
     raw = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
     l2, l3, name = schema.fieldNames()[1:]
     rows = (raw.select(F.col("domain"), _blank_to_null(l2).alias("l2"), _blank_to_null(l3).alias("l3"),
-                       F.col(name).alias("name"), F.monotonically_increasing_id().alias("_pos"))
+                       F.col(name).alias("name"), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"))
             .where(F.col("name").isNotNull()))
-    first = rows.groupBy("name").agg(F.min(F.struct("_pos", "domain", "l2", "l3")).alias("_f")).select(
+    first = rows.groupBy("name").agg(F.min(F.struct("_file", "_row", "domain", "l2", "l3")).alias("_f")).select(
         "name", "_f.*")
     fresh = first.join(existing.select("name"), "name", "left_anti")
     start = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("start"))
-    numbered = dense_ids(fresh, ["_pos"], start)
+    numbered = dense_ids(fresh, ["_file", "_row"], start)
     new = numbered.select(F.col("new_id").alias("id"), F.lit(kind).alias("kind"), "name", "domain", "l2", "l3",
                           F.lit(0).alias("is_candidate"), F.lit(None).cast("string").alias("user_level"))
     return existing.unionByName(new, allowMissingColumns=True)

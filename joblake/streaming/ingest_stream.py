@@ -1,8 +1,8 @@
 """Incremental ingestion with Structured Streaming: landed page files are
 read as a file stream, each micro-batch runs the batch ingestion against the
-current store and appends the new rows. The checkpoint records which files
-were processed; the store anti-join makes a replayed batch append nothing,
-so a restarted or retried stream gives the batch result."""
+current store and appends its rows. The checkpoint records which files were
+processed; the store's hashes make a replayed batch append nothing, so a
+restarted or retried stream gives the batch result."""
 
 from __future__ import annotations
 
@@ -10,28 +10,80 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joblake.plans.ingest import ingest_batch
-from joblake.sources.pages import LANDED_PAGE, explode_listings
+from joblake.sources.pages import LANDED_PAGE, explode_listings, landed_pages
+from joblake.session import scratch_table
 
-STORE_SCHEMA = "seq long, title string, company_name string, location string, dedup_hash string, status string"
+STORE_SCHEMA = ("seq long, job_id string, title string, company_name string, location string, description string, "
+                "qualifications string, responsibilities string, url string, date_listed date, employment_type string, "
+                "attendance string, seniority string, experience_years_min int, experience_years_max int, salary_min int, "
+                "salary_max int, salary_currency string, salary_period string, raw_json string, skills array<string>, "
+                "frameworks array<string>, embedding struct<size:int,indices:array<int>,values:array<double>>, "
+                "t2_score double, t2_explanation string, status string, dedup_hash string, bucket int")
+JUNCTION_SCHEMA = "dedup_hash string, kind string, id long"
+CANDIDATE_SCHEMA = "kind string, id long, name string"
+BUCKETS = 256
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of the store; a path that does not exist yet is an empty one.
+    Any other failure to read is raised."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def read_store(spark: SparkSession, store_path: str) -> DataFrame:
+    return _read(spark, f"{store_path}/jobs", STORE_SCHEMA)
+
+
+def read_junction(spark: SparkSession, store_path: str) -> DataFrame:
+    return _read(spark, f"{store_path}/job_keywords", JUNCTION_SCHEMA)
+
+
+def read_candidates(spark: SparkSession, store_path: str) -> DataFrame:
+    return _read(spark, f"{store_path}/candidates", CANDIDATE_SCHEMA)
+
+
+def number_listings(pages: DataFrame) -> DataFrame:
+    """Listings with ``seq``, their order of arrival: query, page, place in the
+    page. The source's own id is opaque text and is kept as ``job_id``."""
+    from joblake.operators.keywords import dense_ids
+
+    rows = explode_listings(pages, positions=True)
+    return dense_ids(rows.withColumn("_row", F.xxhash64(F.to_json(F.struct(*rows.columns)))), ["query", "page_no", "position", "_row"], 0).withColumnRenamed("new_id", "seq").drop("_row", "position", "page_no")
 
 
 def stream_ingest(spark: SparkSession, landing: str, store_path: str, checkpoint: str, keywords: DataFrame,
-                  aliases: DataFrame, *, as_of, fuzzy: bool = False, max_files_per_trigger: int = 100) -> None:
+                  aliases: DataFrame, *, as_of, fuzzy: bool = True, max_pages: int = 10,
+                  max_files_per_trigger: int = 100, **options) -> None:
     """Process every page file under ``landing`` not yet seen, then stop
-    (``availableNow``). ``store_path`` is a parquet table of listings."""
+    (``availableNow``). The store under ``store_path`` has listings
+    (partitioned by a bucket of their hash), junction rows and keyword
+    candidates. The pages of one query's run land in one file, so the page
+    rules (first failed page, ``max_pages``) see them together."""
     pages = (spark.readStream.schema(LANDED_PAGE).option("multiLine", False)
              .option("maxFilesPerTrigger", max_files_per_trigger).json(landing))
 
     def run(batch: DataFrame, epoch: int) -> None:
-        listings = explode_listings(batch).withColumn("seq", F.col("job_id").cast("long"))
-        try:
-            store = spark.read.schema(STORE_SCHEMA).parquet(store_path)
-        except Exception:  # noqa: BLE001 - first batch: empty store
-            store = spark.createDataFrame([], STORE_SCHEMA)
-        res = ingest_batch(listings, store, keywords, aliases, as_of=as_of, fuzzy=fuzzy)
-        new = (res.jobs.select("seq", "title", "company_name", "location", "dedup_hash", "status")
-               .join(store.select("dedup_hash"), "dedup_hash", "left_anti"))
-        new.write.mode("append").parquet(store_path)
+        listings = scratch_table(number_listings(landed_pages(batch, max_pages)), "micro-batch")
+        store = read_store(spark, store_path)
+        known = keywords.unionByName(read_candidates(spark, store_path), allowMissingColumns=True)
+        start = store.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("s")).first()["s"]
+        listings = listings.withColumn("seq", F.col("seq") + F.lit(start))
+        ids = listings.select("seq", "job_id")
+        res = ingest_batch(listings, store, known, aliases, as_of=as_of, fuzzy=fuzzy, **options)
+        bucket = F.pmod(F.xxhash64("dedup_hash"), F.lit(BUCKETS)).cast("int").alias("bucket")
+        new = res.jobs.join(ids, "seq", "left").unionByName(res.quarantine, allowMissingColumns=True).select("*", bucket)
+        new = scratch_table(new.join(store.select("dedup_hash"), "dedup_hash", "left_anti"), "new-listings")
+        junction = res.job_keywords.join(new.select("seq", "dedup_hash"), "seq").select("dedup_hash", "kind", "id")
+        # listings last: a batch that failed before this is replayed in full
+        had = read_junction(spark, store_path)
+        junction.join(had, ["dedup_hash", "kind", "id"], "left_anti").write.mode("append").parquet(f"{store_path}/job_keywords")
+        res.candidates.write.mode("append").parquet(f"{store_path}/candidates")
+        schema = spark.createDataFrame([], STORE_SCHEMA).schema
+        (new.select(*[(F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+         .write.mode("append").partitionBy("bucket").parquet(f"{store_path}/jobs"))
 
     q = (pages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

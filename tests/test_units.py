@@ -2,6 +2,7 @@
 sequential loops."""
 
 import json
+import os
 import random
 import re
 
@@ -231,63 +232,185 @@ def test_update_application_sparse(spark):
 def test_profile_sections(spark):
     md = "\n".join(["# Target Role", "Data engineer", "<!-- comment -->", "## Skills", "SQL, Spark",
                     "- Airflow", "### Tools", "dbt • Kafka", "# Skills", "Python"])
-    r = spark.createDataFrame([(md,)], "t string").select(L.parse_profile("t").alias("p")).first().p
-    assert r.target_role == "Data engineer"
-    assert r.skills == ["Python"]  # a repeated heading restarts its section
-    assert r.frameworks == ["dbt", "Kafka"]
+    rows = L.parse_profile(spark.createDataFrame([(1, md), (2, None), (3, "no heading")], "profile_id long, text string")).collect()
+    r = {x.profile_id: x for x in rows}
+    assert len(rows) == 3 and r[1].target_role == "Data engineer"
+    assert r[1].skills == ["Python"]  # a repeated heading restarts its section
+    assert r[1].frameworks == ["dbt", "Kafka"]
+    assert r[2].skills == r[3].skills == [] and r[2].target_role == ""
 
 
 def test_embedding_text_budget(spark):
     df = spark.createDataFrame([("t " * 10, "q " * 300, "r " * 200, ["s"] * 50, ["f"] * 50)],
                                "title string, qualifications string, responsibilities string, "
                                "skills array<string>, frameworks array<string>")
-    text = df.select(L.compose_embedding_text().alias("x")).first().x
+    text = df.select(L.compose_embedding_text(max_tokens=L.EMBEDDING_MAX_TOKENS).alias("x")).first().x
     parts = text.split(" | ")
     assert len(parts[0].split()) == 10 and len(parts[1].split()) == 300
     assert len(parts[2].split()) == 384 - 10 - 12 - 300 and parts[3] == "" and parts[4] == ""
+    whole = df.select(L.compose_embedding_text().alias("x")).first().x.split(" | ")
+    assert [len(p.split()) for p in whole] == [10, 300, 200, 50, 50]
 
 
-@pytest.mark.parametrize("kind", ["skill"])
-def test_stream_equals_batch(spark, entry, kind):
-    from joblake.plans.bindings import Tables
+def _pages_lines(tmp_path, pages):
+    folder = tmp_path / "landing"
+    folder.mkdir()
+    for i, batch in enumerate(pages):
+        (folder / f"{i}.json").write_text("\n".join(json.dumps(p) for p in batch))
+        os.utime(folder / f"{i}.json", (1_000_000 + i, 1_000_000 + i))  # the order of arrival
+    return str(folder)
+
+
+def _listing(i, title, company, text):
+    return {"title": title, "company_name": company, "location": "X", "via": "v", "description": text, "job_id": f"eyJ{i}==",
+            "detected_extensions": {"posted_at": "2 days ago"}}
+
+
+def _landing(tmp_path):
+    body = "Works with spark in Big Harbour Tools daily. " * 40
+    page = lambda q, n, rows, err=None: {"query_name": q, "page_no": n, "error": err, "jobs_results": rows}
+    return _pages_lines(tmp_path, [
+        [page("a", 1, [_listing(1, "data engineer", "Acme", body), _listing(2, "数据工程师", "Acme", body)]),
+         page("a", 2, [_listing(3, "data engineering", "Acme Inc", body), _listing(4, "会计", "Acme", body)]),
+         page("a", 3, [_listing(5, "late", "Late", body)], "rate limited"), page("a", 4, [_listing(6, "later", "Later", body)])],
+        [page("b", 1, [_listing(7, "data engineering lead", "Acme", body), _listing(8, "data engineer", "", body),
+                       _listing(9, "data engineer", None, body), _listing(10, "Data Engineer", "Acme", body), _listing(11, "short", "S", "few")])]])
+
+
+def test_stream_equals_batch(spark, tmp_path):
     from joblake.plans.ingest import ingest_batch
-    from joblake.plans.q_jobs import _doc_pages
-    from joblake.session import scratch_path
-    from joblake.streaming.ingest_stream import STORE_SCHEMA, stream_ingest
+    from joblake.streaming import ingest_stream as S
+    kw = spark.createDataFrame([(1, "framework", "Spark", None, 0, None)], "id long, kind string, name string, domain string, is_candidate int, user_level string")
+    al = spark.createDataFrame([], "kind string, alias string, id long")
+    landing = _landing(tmp_path)
+    store, ckpt = str(tmp_path / "store"), str(tmp_path / "ckpt")
+    S.stream_ingest(spark, landing, store, ckpt, kw, al, as_of="2001-08-01", max_files_per_trigger=1)
+    got = {r.job_id: r for r in S.read_store(spark, store).collect()}
+
+    pages = PG.landed_pages(PG.read_pages(spark, landing, PG.LANDED_PAGE, multiline=False), 10)
+    batch = ingest_batch(S.number_listings(pages), spark.createDataFrame([], S.STORE_SCHEMA), kw, al, as_of="2001-08-01")
+    assert {r.dedup_hash for r in got.values()} == {r.dedup_hash for r in batch.jobs.collect()}
+    # greedy in order of arrival; other scripts and empty companies are kept, pages after a failed one and short texts are not read
+    assert set(got) == {f"eyJ{i}==" for i in (1, 2, 4, 7, 8)}
+    one = got["eyJ1=="]
+    assert one.date_listed.isoformat() == "2001-07-30" and one.frameworks == ["Spark"] and one.skills == ["Big Harbour Tools"]
+    assert json.loads(one.raw_json)["title"] == "data engineer" and len(one.embedding["indices"]) > 5
+    assert {(r.kind, r.id) for r in S.read_junction(spark, store).where(F.col("dedup_hash") == one.dedup_hash).collect()} == {("framework", 1), ("skill", 2)}
+    assert [(r.kind, r.id, r.name) for r in S.read_candidates(spark, store).collect()] == [("skill", 2, "Big Harbour Tools")]
+    # a replay of the same files appends nothing
+    S.stream_ingest(spark, landing, store, str(tmp_path / "ckpt2"), kw, al, as_of="2001-08-01")
+    assert S.read_store(spark, store).count() == len(got) and S.read_junction(spark, store).count() == 2 * len(got)
+
+
+def test_stream_raises_on_a_broken_store(spark, tmp_path):
+    from joblake.streaming import ingest_stream as S
+    (tmp_path / "store" / "jobs").mkdir(parents=True)
+    (tmp_path / "store" / "jobs" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        S.read_store(spark, str(tmp_path / "store")).count()
+    assert S.read_store(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_ingest_accounts_for_every_listing(spark, entry):
+    from joblake.plans.bindings import Tables
+    from joblake.plans.q_jobs import _ingest
     T = Tables(spark, "/root/testdata/sf0.001")
-    landing, store, ckpt = (scratch_path(spark, n) for n in ("l", "s", "c"))
-    _doc_pages(T).drop("query_name", "page_no").write.json(landing)
-    stream_ingest(spark, landing, store, ckpt, T.keywords, T.aliases, as_of="2001-08-01", max_files_per_trigger=1)
-    streamed = {r.dedup_hash for r in spark.read.schema(STORE_SCHEMA).parquet(store).collect()}
-    listings = PG.explode_listings(PG.read_pages(spark, landing, PG.LANDED_PAGE, multiline=False)).withColumn(
-        "seq", F.col("job_id").cast("long"))
-    empty = spark.createDataFrame([], STORE_SCHEMA)
-    batch = ingest_batch(listings, empty, T.keywords, T.aliases, as_of="2001-08-01", fuzzy=False)
-    assert streamed == {r.dedup_hash for r in batch.jobs.collect()}
-    # replaying the same files appends nothing
-    stream_ingest(spark, landing, store, ckpt, T.keywords, T.aliases, as_of="2001-08-01")
-    assert spark.read.schema(STORE_SCHEMA).parquet(store).count() == len(streamed)
-
-
-def test_vector_paths_chunked_equal_single(spark):
-    """Above the broadcast bound the small side is split by hash; the answer
-    must not change."""
+    r = _ingest(T)
+    valid = L.filter_valid_listing(T.doc_listings)
+    out = r.outcomes.collect()
+    assert sorted(x.seq for x in out) == sorted(x.seq for x in valid.select("seq").collect())
+    s = r.summary.first()
+    assert s.inserted + s.duplicates + s.failed == len(out) and s.failed > 0 and s.inserted == r.jobs.count()
+    assert r.quarantine.count() == s.failed and all(json.loads(x.raw_json)["description"] for x in r.quarantine.collect())
+    assert r.jobs.where("t2_score is null or embedding is null").count() == 0
+    assert r.tier3.join(r.jobs.where("status = 'active'"), "seq").count() == r.tier3.count()
+
+
+def test_reprocess_replaces_embedding_last_wins(spark):
+    jobs = spark.createDataFrame([(1, "h1", "old", [1.0]), (2, "h2", "old", [2.0])], "job_id long, dedup_hash string, description string, embedding array<double>")
+    upd = spark.createDataFrame([("h1", "z first", [5.0], 1), ("h1", "a last", [6.0], 2)], "dedup_hash string, description string, embedding array<double>, at int")
+    jk = spark.createDataFrame([(1, "skill", 3), (2, "skill", 4)], "job_id long, kind string, id long")
+    new = spark.createDataFrame([("h1", "skill", 9)], "dedup_hash string, kind string, id long")
+    out, jk2 = CH.reprocess_upsert(jobs, upd, jk, new, ["description", "embedding"], order="at")
+    assert {r.job_id: (r.description, r.embedding) for r in out.collect()} == {1: ("a last", [6.0]), 2: ("old", [2.0])}
+    assert {tuple(r) for r in jk2.collect()} == {(1, "skill", 9), (2, "skill", 4)}
+
+
+def test_repeated_changes_do_not_repeat_rows(spark):
+    jobs = spark.createDataFrame([(1, "active", None, None)], "job_id long, status string, t2_score double, t2_explanation string")
+    sc = spark.createDataFrame([(1, 40.0, "a", 1), (1, 30.0, "b", 2)], "job_id long, t2_score double, t2_explanation string, at int")
+    assert [(r.t2_score, r.t2_explanation) for r in CH.write_tier2(jobs, sc, order="at").collect()] == [(30.0, "b")]
+    st = spark.createDataFrame([(1, "closed"), (1, "applied")], "job_id long, status string")
+    assert CH.update_status(jobs, st, "2001-01-01")[0].count() == 1
+    kw = spark.createDataFrame([("skill", 1, None)], "kind string, id long, user_level string")
+    lv = spark.createDataFrame([("skill", 1, "Novice"), ("skill", 1, "Expert")], "kind string, id long, level string")
+    assert C.set_level(kw, lv)[0].count() == 1
+
+
+def test_dedup_fuzzy_keeps_what_it_cannot_compare(spark):
+    rows = [(0, "数据工程师", "Acme"), (1, "会计", "Acme"), (2, "数据工程师", "Acme"), (3, "data engineer", ""), (4, "data engineer", None),
+            (5, "data engineer", "--"), (6, "data engineer", "--"), (7, "", "Acme"), (8, None, "Acme")]
+    df = spark.createDataFrame(rows, "seq long, title string, company_name string")
+    out = D.dedup_fuzzy(df, spark.createDataFrame([("data engineer", "")], "title string, company_name string")).collect()
+    assert {r.seq: r.keep for r in out} == {0: True, 1: True, 2: False, 3: True, 4: True, 5: True, 6: True, 7: True, 8: False}
+
+
+def test_greedy_follows_long_chains_in_few_rounds(spark):
+    n = 400
+    edges = spark.createDataFrame([(i, i - 1) for i in range(1, n)] + [(1000, -1), (1001, 1000)], "r long, c long")
+    stats = {}
+    dropped = {r.r for r in D.greedy_drops(edges, stats).collect()}
+    assert dropped == set(range(1, n, 2)) | {1000} and stats["rounds"] <= 4
+
+
+def test_scorer_failure_costs_one_row(spark):
+    from joblake.operators import scoring as SC
+
+    def fn(pdf):
+        if (pdf["x"] == 13).any():
+            raise ValueError("bad")
+        return pd.DataFrame({"t2_score": pdf["x"] * 1.0, "t2_explanation": "ok"}, index=pdf.index)
+    import pandas as pd
+    out = SC.batch_score(spark.range(1000).select(F.col("id").alias("x")), fn).collect()
+    assert len(out) == 1000 and [r.x for r in out if r.t2_score is None] == [13]
+    assert all(r.t2_score == r.x for r in out if r.x != 13)
+
+
+def test_parse_score_replies(spark):
+    from joblake.operators import scoring as SC
+    cases = {'{"score": 7, "explanation": "x"}': (7.0, "x"), '{\n "score": 7.9\n}': (7.0, ""), '{"score": -1.5}': (-1.0, ""), '{"explanation": "y"}': (0.0, "y"),
+             '{"score": null}': (None, None), '{broken json}': (None, None), "text": (None, None), "[1]": (None, None), "": (None, None), '{"score": "8"}': (8.0, "")}
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "r string")
+    got = {r.r: (r.p.score, r.p.explanation) for r in df.select("r", SC.parse_score("r").alias("p")).collect()}
+    assert got == {**cases, None: (None, None)}
+    zero = {r.r: r.p.score for r in df.select("r", SC.parse_score("r", "zero").alias("p")).collect()}
+    assert zero["text"] == 0 and zero['{"score": null}'] == 0 and zero['{"score": "8"}'] == 8
+
+
+def test_block_product_does_not_depend_on_blocks(spark):
     from joblake.operators import vectors as V
     from joblake.plans.bindings import Tables
     T = Tables(spark, "/root/testdata/sf0.001")
     jobs = T.embeddings.select(F.col("vec_id").alias("job_id"), F.col("embedding").alias("vec"))
     q = T.embeddings.where("label = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
 
-    def run(**kw):
+    def run(jobs=jobs, q=q, **kw):
         r = V.top_k_by_dot(jobs, q, large_key="job_id", small_key="query_id", k=5, **kw)
         return {tuple(x) for x in r.select("query_id", "job_id", "rank").collect()}
 
-    assert run() == run(max_small=8)
-    ent = T.keywords.join(T.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), "id")
-    cands = ent.where("kind = 'skill'").select("id", V.unit("vec").alias("vec"))
-    pool = ent.where("kind = 'skill'").select(F.col("id").alias("nid"), V.unit("vec").alias("vec"))
+    assert run() == run(query_block=8, large_block=50)
+    as_sparse = F.struct(F.size("vec").alias("size"), F.sequence(F.lit(0), F.size("vec") - 1).alias("indices"), F.col("vec").alias("values"))
+    assert run() == run(jobs.withColumn("vec", as_sparse), q.withColumn("vec", as_sparse))
+
+
+def test_dense_ids_in_order(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"), F.lit("y").alias("y"))
+    got = {r.x: r.new_id for r in K.dense_ids(df, ["x"], spark.range(1).select(F.lit(10).alias("s"))).collect()}
+    assert got == {x: x + 11 for x in range(1000)}
 
-    def knn(**kw):
-        return {tuple(x) for x in V._knn_one_kind(cands, pool, 4, **kw).select("id", "nid", "rank").collect()}
 
-    assert knn() == knn(max_small=12)
+def test_unknown_names(spark):
+    kw = spark.createDataFrame([(1, "skill", "Known Tool")], "id long, kind string, name string")
+    al = spark.createDataFrame([], "kind string, alias string, id long")
+    df = spark.createDataFrame([(1, "We use Blue Harbour and Known Tool. This starts a sentence, with Blue Harbour again")], "job_id long, text string")
+    assert [(r.pos, r.raw_name) for r in K.unknown_names(df, kw, al).collect()] == [(0, "Blue Harbour")]
