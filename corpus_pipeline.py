@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from joblake.llm.common import table, written
+from joblake.llm.common import table
 from joblake.llm.decontaminate import decontaminate
 from joblake.llm.langid import identify_languages, learn_languages
 from joblake.llm.line_dedup import drop_repeated_lines
 from joblake.llm.mixing import mix_sources
 from joblake.llm.ngram_join import one_per_group
+from joblake.session import scratch_table as written
 
 #: Least share of a document's trigrams that must belong to its language.
 MIN_LANGUAGE_SCORE = 0.2

@@ -8,22 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from joblake.session import scratch_path
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared scratch folder
-    and read it back. Survives lost executors, unlike cached blocks."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bit_table(bits: DataFrame, n_bits: int) -> np.ndarray:
     """A bit array of ``n_bits`` (a power of two) in which every value of the
     long column ``bit`` is set, built by the executors; at most ``n_bits / 64``
@@ -66,30 +55,3 @@ def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Itera
 
 def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of the links ``(a, b)`` (longs), as ``(node, label)``
-    with the smallest node of the component as its label, for every node that
-    has a link.
-
-    Alternating large-star and small-star steps: every step is one grouped
-    minimum and one join, so links stay on the executors, a node with very many
-    links is pre-aggregated, and a path shortens geometrically.
-    """
-    e = written(edges.where("a <> b").select("a", "b").distinct(), "links")
-    seen = None
-    while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = (down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        e = written(small, "links")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
-            break
-        seen = tuple(now)
-    return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from joblake.llm.common import batches, bit_table, has_bit, written
+from joblake.llm.common import batches, bit_table, has_bit
 from joblake.llm.hashing import chunks, gram_hashes, word_hashes
+from joblake.session import scratch_table as written
 
 BLOOM_BITS = 1 << 24
 _GRAMS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n_words", pa.int64()), ("pos", pa.int64()), ("gram", pa.int64())])

@@ -33,7 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from joblake.llm.common import written
+from joblake.session import scratch_table as written
 
 BLOCK = 4096
 MAX_LEAVES = 1 << 15

@@ -38,8 +38,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from joblake.llm.common import batches, bloom_bits, bloom_has, components, has_bit, written
+from joblake.llm.common import batches, bloom_bits, bloom_has, has_bit
 from joblake.llm.hashing import chunks, mix, shingle_sets
+from joblake.operators.graph import components
+from joblake.session import scratch_table as written
 
 MAX_FREQUENT = 1 << 18
 BUFFER = 1 << 20
