@@ -73,11 +73,24 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_scratch(*tables: DataFrame) -> None:
+    """Delete tables that :func:`scratch_table` returned, once everything made
+    from them has itself been written."""
+    for t in tables:
+        _delete(t.sparkSession, t._scratch_path)
 
 
 def clean_scratch(spark: SparkSession) -> None:
     """Delete the scratch folder of this library. Call it when no DataFrame
     that came from an operator is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark).rstrip("/") + "/joblake-scratch")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, ensure_checkpoint_dir(spark).rstrip("/") + "/joblake-scratch")
