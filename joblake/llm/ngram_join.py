@@ -21,10 +21,10 @@ orders' prefixes are intersected where the pair's sets meet.
   (a star, linear in the group). After the components of those links are known,
   only pairs of different components remain, which drops the pairs inside a
   family of near copies without losing a component.
-* Before any whole sets are moved, a pair must pass the size bound and two parity
-  sketches, of 256 bits and, for larger sets, of 2,048: each shingle flips one
-  bit, so the sketches of two sets differ in at most as many bits as the sets
-  differ in shingles (an exact bound).
+* Before any whole sets are moved, a pair must pass the size bound and parity
+  sketches, of 256 bits and, for larger sets, of 2,048 and 16,384: each shingle
+  flips one bit, so the sketches of two sets differ in at most as many bits as
+  the sets differ in shingles (an exact bound).
 
 Edge cases: null or empty text and text without words give an empty set,
 ``n_shingles`` 0, linked with nothing. Fewer than ``k`` words are one shingle.
@@ -41,18 +41,19 @@ from pyspark.sql import DataFrame, functions as F
 from joblake.llm.common import batches, bloom_bits, bloom_has, has_bit
 from joblake.llm.hashing import chunks, mix, shingle_sets
 from joblake.operators.graph import components
-from joblake.session import scratch_table as written
+from joblake.session import drop_scratch, scratch_table as written
 
 MAX_FREQUENT = 1 << 18
 BUFFER = 1 << 20
 BLOOM_BITS = 1 << 24
-WIDE_FROM = 400
+# set size from which a class has a sketch of so many bits
+SKETCHES = {"wide": (400, 2048), "widest": (1600, 16384)}
 ORDER_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
 _SETS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()),
                    ("s0", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("s3", pa.int64()),
-                   ("prefix", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64()))])
-_SETS_DDL = "key long, doc_id long, n long, cls long, s0 long, s1 long, s2 long, s3 long, prefix array<long>, wide array<long>"
+                   ("prefix", pa.list_(pa.int64())), *((c, pa.list_(pa.int64())) for c in SKETCHES)])
+_SETS_DDL = "key long, doc_id long, n long, cls long, s0 long, s1 long, s2 long, s3 long, prefix array<long>, wide array<long>, widest array<long>"
 
 
 def _row_key():
@@ -131,6 +132,7 @@ def _frequent(docs: DataFrame, k: int) -> Orders:
             break
         least, total = f, total + n
     top = counts.where(F.col("f") >= least).toPandas()
+    drop_scratch(counts)
     t = top["t"].to_numpy(np.int64).view(np.uint64)
     o = np.argsort(t)
     return Orders(t[o], top["f"].to_numpy(np.int64)[o])
@@ -150,14 +152,14 @@ def document_sets(docs: DataFrame, k: int, threshold: int, orders) -> DataFrame:
                 for s in shingle_sets(part, k):
                     if len(s):
                         c = class_of(s)
-                        prefix = wide = None
+                        prefix, wide = None, [None] * len(SKETCHES)
                         if c not in seen:
                             seen.add(c)
                             prefix = orders.value.prefix(s, prefix_length(len(s), threshold), 0).view(np.int64)
-                            wide = sketch(s, 2048) if len(s) >= WIDE_FROM else None
-                        yield (keys[at], ids[at], len(s), c, *sketch(s, 256), prefix, wide)
+                            wide = [sketch(s, bits) if len(s) >= least else None for least, bits in SKETCHES.values()]
+                        yield (keys[at], ids[at], len(s), c, *sketch(s, 256), prefix, *wide)
                     else:
-                        yield (keys[at], ids[at], 0, None, 0, 0, 0, 0, None, None)
+                        yield (keys[at], ids[at], 0, None, 0, 0, 0, 0, None, *[None] * len(SKETCHES))
                     at += 1
 
     return docs.select(_row_key(), F.col("doc_id").cast("long"), "text").mapInArrow(lambda it: batches(rows(it), _SETS), _SETS_DDL)
@@ -187,9 +189,12 @@ def _whole_sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int) -> D
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, wide: DataFrame, orders, k: int, threshold: int) -> DataFrame:
     """The candidate pairs that pass the wide sketch, share a prefix shingle in
     the other orders too, and whose whole sets are similar enough."""
-    x, y = (reps.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}")).join(wide.withColumnRenamed("cls", c), c, "left").withColumnRenamed("wide", f"w{c}") for c in "ab")
-    differ = F.expr("aggregate(zip_with(wa, wb, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)")
-    near = F.col("wa").isNull() | F.col("wb").isNull() | (differ * (100 + threshold) <= (100 - threshold) * (F.col("na") + F.col("nb")))
+    x, y = (reps.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"))
+            .join(wide.select(F.col("cls").alias(c), *[F.col(w).alias(f"{w}_{c}") for w in SKETCHES]), c, "left") for c in "ab")
+    near = F.lit(True)
+    for w in SKETCHES:
+        differ = F.expr(f"aggregate(zip_with({w}_a, {w}_b, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)")
+        near &= F.col(f"{w}_a").isNull() | F.col(f"{w}_b").isNull() | (differ * (100 + threshold) <= (100 - threshold) * (F.col("na") + F.col("nb")))
     kept = written(pairs.join(x, "a").join(y, "b").where(near).select("a", "b"), "candidates")
     sets = written(_whole_sets(docs, kept, reps, k), "sets")
 
@@ -207,7 +212,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, wide: DataFram
 
     both = (kept.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("x")), "a")
             .join(sets.select(F.col("cls").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y"))
-    return written(both.mapInArrow(check, "a long, b long").distinct(), "links")
+    links = written(both.mapInArrow(check, "a long, b long").distinct(), "links")
+    drop_scratch(kept, sets)
+    return links
 
 
 def _may_link(threshold: int):
@@ -229,7 +236,7 @@ def ngram_jaccard_classes(docs: DataFrame, k: int = 5, threshold: int = 80) -> D
     rest = ["n", "s0", "s1", "s2", "s3"]
     reps = written(sets.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", *rest)).alias("r"))
                    .select("cls", F.col("r.doc_id").alias("id"), "r.key", *[f"r.{c}" for c in rest]), "classes")
-    wide = sets.where("wide is not null").select("cls", "wide").dropDuplicates(["cls"])
+    wide = sets.where("wide is not null").select("cls", *SKETCHES).dropDuplicates(["cls"])
     small = reps.select("cls", "n", "s0", "s1", "s2", "s3")
 
     spread = sets.select(F.explode("prefix").alias("token"), "cls").repartition("token")
@@ -246,11 +253,12 @@ def ngram_jaccard_classes(docs: DataFrame, k: int = 5, threshold: int = 80) -> D
     placed = (rows.drop("pivot").join(label.withColumnRenamed("node", "cls"), "cls", "left")
               .select("token", "cls", F.coalesce("label", "cls").alias("label")))
     open_ = placed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    rest = written(placed.join(open_, "token", "left_semi").join(small, "cls"), "open")
-    cross = (rest.alias("a").join(rest.alias("b"), F.expr("a.token = b.token and a.cls < b.cls and a.label <> b.label") & _may_link(threshold))
+    rest_rows = written(placed.join(open_, "token", "left_semi").join(small, "cls"), "open")
+    cross = (rest_rows.alias("a").join(rest_rows.alias("b"), F.expr("a.token = b.token and a.cls < b.cls and a.label <> b.label") & _may_link(threshold))
              .select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct())
     links = first.unionByName(_verified(cross, docs, reps, wide, orders, k, threshold))
     label = written(components(links), "components").withColumnRenamed("node", "cls")
+    drop_scratch(rows, rest_rows)
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
 
     member = reps.select("cls", "id", "key").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls")).join(degree, "cls", "left")
