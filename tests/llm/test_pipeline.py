@@ -5,8 +5,8 @@ import corpus_pipeline as cp
 from pyspark.sql import functions as F
 
 from joblake.llm import decontaminate, line_dedup, ngram_join
-from test_models import brute_tiles
-from test_ngram_join import brute
+from .test_models import brute_tiles
+from .test_ngram_join import brute
 
 SF = "/root/testdata/sf0.001"
 
