@@ -14,7 +14,7 @@ from joblake.functions.scores import decimal_round, level_weight
 from joblake.operators.filters import keyword_entry_predicate, keyword_job_predicate
 from joblake.schemas import CANDIDATE_MIN_JOBS
 
-# sort keys of the keyword view: (column, nullable)
+# fixed values: sort keys of the keyword view (column, nullable)
 KEYWORD_SORTS = {
     "improvement_priority": True,
     "avg_salary": True,

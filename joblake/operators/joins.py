@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 JOB_ROW = ["job_id", "title", "company_name", "location", "attendance", "seniority",
            "employment_type", "salary_min", "salary_max", "salary_currency", "salary_period",
-           "date_listed", "status", "url", "t2_score", "t3_score", "application_id"]
+           "date_listed", "status", "url", "t2_score", "t2_explanation", "t3_score", "application_id"]
 
 
 def jobs_with_application(jobs: DataFrame, apps: DataFrame) -> DataFrame:

@@ -134,6 +134,9 @@ def _thousands(c: Column) -> Column:
     return F.regexp_replace(F.format_number(c, 0), r"\.0*$", "")
 
 
+# The labels and separators of the composed texts below are fixed values.
+
+
 def scoring_text_tier2(profile, jobcol_prefix: str = "", description_chars: int | None = None,
                        qualification_chars: int | None = None) -> Column:
     """Tier-2 prompt body: salary only when min and max are both set.
