@@ -60,6 +60,7 @@ SELECT o.o_orderkey AS job_id,
             WHEN o.o_orderstatus = 'F' THEN 'expired' ELSE 'applied' END AS status,
        CASE WHEN o.o_orderkey % 11 = 0 THEN NULL
             ELSE CAST((o.o_orderkey * 37) % 101 AS DOUBLE) END AS t2_score,
+       CASE WHEN o.o_orderkey % 11 <> 0 THEN concat('scored ', CAST((o.o_orderkey * 37) % 101 AS STRING)) END AS t2_explanation,
        CASE WHEN o.o_orderkey % 3 = 0 THEN NULL
             ELSE CAST(1 + (o.o_orderkey * 7) % 100 AS DOUBLE) END AS t3_qualification,
        CASE WHEN o.o_orderkey % 3 = 0 THEN NULL
