@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from joblake.llm.common import batches, bit_table, has_bit
-from joblake.llm.hashing import chunks, gram_hashes, word_hashes
+from joblake.llm.hashing import chunks, gram_hashes, texts_of, word_hashes
 from joblake.session import scratch_table as written
 
 BLOOM_BITS = 1 << 24
@@ -51,7 +51,7 @@ def _grams(rows: DataFrame, k: int, bloom=None) -> DataFrame:
         for batch in it:
             keys, ids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             at = 0
-            for part in chunks(batch.column(2).to_pylist()):
+            for part in chunks(texts_of(batch.column(2))):
                 words, off = word_hashes(part)
                 grams = gram_hashes(words, k)
                 start = np.arange(len(grams))

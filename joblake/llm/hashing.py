@@ -37,6 +37,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
+def texts_of(column) -> Iterator[str | None]:
+    """The texts of an Arrow column, some at a time."""
+    for i in range(0, len(column), 128):
+        yield from column.slice(i, 128).to_pylist()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)

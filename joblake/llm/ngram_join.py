@@ -39,12 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from joblake.llm.common import batches, bloom_bits, bloom_has, has_bit
-from joblake.llm.hashing import chunks, mix, shingle_sets
+from joblake.llm.hashing import chunks, mix, shingle_sets, texts_of
 from joblake.operators.graph import components
 from joblake.session import drop_scratch, scratch_table as written
 
 MAX_FREQUENT = 1 << 18
-BUFFER = 1 << 20
+BUFFER = 1 << 21
 BLOOM_BITS = 1 << 24
 # set size from which a class has a sketch of so many bits
 SKETCHES = {"wide": (400, 2048), "widest": (1600, 16384)}
@@ -100,7 +100,7 @@ class Orders:
 
 def _frequent(docs: DataFrame, k: int) -> Orders:
     """The most frequent shingles and the power of two of their frequency. A
-    task counts a buffer of shingles at a time and passes on those of four or
+    task counts a buffer of shingles at a time and passes on those of three or
     more documents; the sums are made by Spark."""
 
     def count(it):
@@ -108,11 +108,11 @@ def _frequent(docs: DataFrame, k: int) -> Orders:
 
         def flush():
             u, c = np.unique(np.concatenate(held), return_counts=True)
-            keep = c >= 4
+            keep = c >= 3
             return pa.RecordBatch.from_arrays([pa.array(u[keep].view(np.int64)), pa.array(c[keep].astype(np.int64))], names=["t", "c"])
 
         for batch in it:
-            for part in chunks(batch.column(0).to_pylist()):
+            for part in chunks(texts_of(batch.column(0))):
                 for s in shingle_sets(part, k):
                     if len(s):
                         held.append(s)
@@ -146,9 +146,9 @@ def document_sets(docs: DataFrame, k: int, threshold: int, orders) -> DataFrame:
     def rows(it):
         seen: set[int] = set()
         for batch in it:
-            keys, ids, texts = (c.to_pylist() for c in batch.columns)
+            keys, ids = (batch.column(i).to_pylist() for i in (0, 1))
             at = 0
-            for part in chunks(texts):
+            for part in chunks(texts_of(batch.column(2))):
                 for s in shingle_sets(part, k):
                     if len(s):
                         c = class_of(s)
@@ -176,7 +176,7 @@ def _whole_sets(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int) -> D
     def rows(it):
         for batch in it:
             ok = has_bit(bits.value, batch.column(1).to_numpy()) & has_bit(bits.value, batch.column(2).to_numpy())
-            for part in chunks(batch.column(0).filter(pa.array(ok)).to_pylist()):
+            for part in chunks(texts_of(batch.column(0).filter(pa.array(ok)))):
                 for s in shingle_sets(part, k):
                     if len(s):
                         yield class_of(s), s.tobytes()
