@@ -137,7 +137,7 @@ SELECT p_partkey AS seq,
        concat(CASE p_partkey % 4 WHEN 0 THEN 'Sr. ' WHEN 1 THEN 'senior ' WHEN 2 THEN 'Jr ' ELSE '' END,
               p_name, ' ', p_type) AS title,
        CASE WHEN p_partkey % 37 = 0 THEN '' WHEN p_partkey % 41 = 0 THEN NULL
-            ELSE concat(substr(md5(CAST(p_partkey % 499 AS STRING)), 1, 7), ' ', substr(md5(p_brand), 3, 4),
+            ELSE concat(substr(md5(CAST(CAST(floor(p_partkey / 7) AS BIGINT) AS STRING)), 1, 9),
                         CASE WHEN p_partkey % 2 = 0 THEN ', Inc.' ELSE '' END) END AS company_name,
        CASE p_partkey % 3 WHEN 0 THEN 'EUROPE' WHEN 1 THEN 'ASIA' ELSE NULL END AS location
 FROM {part}
