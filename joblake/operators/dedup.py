@@ -78,14 +78,14 @@ def similar_company(names: DataFrame, threshold: float = TRIGRAM_THRESHOLD, col:
     n = F.size("grams")
     plen = n - F.ceil(F.lit(threshold) * n) + 1
     pre = _prefix_tokens(comp, "name", "grams", plen).join(comp.select("name", n.alias("n")), "name")
+    sizes = F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n")
     if left is None:
-        pre = pre.withColumn("lead", F.lit(True))
-    else:
-        lead = left.select(F.col(col).alias("name")).where(F.col("name").isNotNull()).distinct().withColumn("lead", F.lit(True))
-        pre = pre.join(lead, "name", "left").withColumn("lead", F.coalesce("lead", F.lit(False)))
-    cand = (pre.alias("x").join(pre.alias("y"), F.expr(
-        "x.tok = y.tok and x.name < y.name and (x.lead or y.lead)") & (F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n")))
-        .select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct())
+        lead, other = pre, F.expr("x.tok = y.tok and x.name < y.name")
+    else:  # only the names of left look for partners; the others never meet each other
+        lead = pre.join(left.select(F.col(col).alias("name")).distinct(), "name", "left_semi")
+        other = F.expr("x.tok = y.tok and x.name <> y.name")
+    cand = (lead.alias("x").join(pre.alias("y"), other & sizes)
+            .select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b")).distinct())
     ga = comp.select(F.col("name").alias("a"), F.col("grams").alias("ga"))
     gb = comp.select(F.col("name").alias("b"), F.col("grams").alias("gb"))
     scored = cand.join(ga, "a").join(gb, "b")
