@@ -7,9 +7,15 @@ slot ``ceil((j + 1) / w)``. One block runs per slot: of the released blocks the
 one with the earliest deadline (ties: smaller source name). Release times keep
 a source from running ahead and deadlines from lagging, so after every slot
 each source has had its share to within less than one block. The schedule
-repeats after ``W`` slots, so one period is worked out (in one row, by
-``aggregate``), and a block's slot is that of its place in the period plus its
-number of periods. DataFrame functions only.
+repeats after ``W`` slots, so one period is worked out, and a block's slot is
+that of its place in the period plus its number of periods. DataFrame functions
+only.
+
+Sources of equal share have the same release times and deadlines, so they run
+in turn, by name: the ``q``-th block of such a class of ``m`` sources is block
+``q div m`` of its source ``q mod m``. The schedule is therefore stepped with
+one counter per distinct share, however many sources there are, and the slots
+are gathered in short lists of ``_STEP``.
 
 Every document keeps a place: when a source runs out, its slots stay empty and
 the others keep their order. ``in_mix`` marks the blocks before the first
@@ -18,8 +24,8 @@ source's end, up to where the target weights hold.
 Within a source documents are ordered by the MD5 of their id (a fixed shuffle;
 of the text where the id is null), ties by id and text. Their ranks come from counts per leading digits of the MD5,
 so a source with a third of all rows is ranked in many tasks. A null source is
-a source of its own. The number of sources is bounded by ``MAX_SOURCES`` and a
-period by ``MAX_PERIOD`` slots; more raise an error. An empty table gives an
+a source of its own. Neither the
+number of sources nor the length of a period is bounded. An empty table gives an
 empty result; extra columns are kept.
 """
 
@@ -27,8 +33,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-MAX_SOURCES = 4096
-MAX_PERIOD = 1 << 14
+_STEP = 512
 _DIGITS = 3
 
 
@@ -41,20 +46,22 @@ def size_shares(scale: int = 64) -> Column:
 def schedule(shares: DataFrame) -> DataFrame:
     """``shares(source, share)`` (one row per source) to one period:
     ``(source, k, share, period, slot)``, block ``k`` of the source at ``slot``."""
-    one = (shares.agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNotNull().alias("known"), "source", F.col("share").cast("long").alias("share")))).alias("src"))
-           .select("src", F.expr("aggregate(src, 0L, (n, x) -> n + x.share)").alias("period")))
-    one = one.where(F.when((F.size("src") > MAX_SOURCES) | (F.col("period") > MAX_PERIOD), F.raise_error(F.lit("too many sources or slots in a period"))).otherwise(F.size("src") > 0))
-    # state: blocks placed so far per source, and the source of every slot so far
-    step = """aggregate(sequence(0L, period - 1),
-        named_struct('done', transform(src, x -> 0L), 'pick', cast(array() as array<int>)),
-        (st, t) -> named_struct(
-            'done', transform(st.done, (c, i) -> if(i = {next}, c + 1, c)),
-            'pick', concat(st.pick, array({next}))))"""
-    nxt = """array_min(filter(transform(st.done, (c, i) -> if((c * period) div src[i].share <= t,
-                named_struct('due', ((c + 1) * period + src[i].share - 1) div src[i].share, 'i', i), null)), x -> x is not null)).i"""
-    picked = one.select("src", "period", F.expr(step.format(next=nxt)).alias("st")).select("src", "period", F.posexplode("st.pick").alias("slot", "i"))
-    at = F.element_at("src", F.col("i") + 1)
-    return (picked.select(at["source"].alias("source"), at["share"].alias("share"), "period", F.col("slot").cast("long").alias("slot"))
+    src = F.array_sort(F.collect_list(F.struct(F.col("source").isNotNull().alias("known"), "source", F.col("share").cast("long").alias("share"))))
+    numbered = shares.agg(src.alias("src")).select(F.posexplode("src").alias("i", "x")).select("i", "x.source", "x.share")
+    one = (numbered.groupBy("share").agg(F.array_sort(F.collect_list("i")).alias("members"))
+           .agg(F.array_sort(F.collect_list(F.struct("share", "members", F.size("members").cast("long").alias("m")))).alias("cls"))
+           .withColumn("period", F.expr("aggregate(cls, 0L, (n, x) -> n + x.share * x.m)")).where("period > 0"))
+    # of the classes' next blocks, those released by slot t: the first deadline, then the first source
+    due = """array_min(transform(st.done, (q, c) -> if((q div cls[c].m) * period div cls[c].share <= t,
+        named_struct('due', ((q div cls[c].m + 1) * period + cls[c].share - 1) div cls[c].share, 'i', cls[c].members[cast(q % cls[c].m as int)], 'c', c), null)))"""
+    # state: blocks placed so far per class, and the source of every slot of this step
+    step = f"""aggregate(sequence(lo, least(lo + {_STEP}, period) - 1), named_struct('done', all.done, 'pick', cast(array() as array<int>)),
+        (st, t) -> transform(array({due}), n -> named_struct('done', transform(st.done, (q, c) -> if(c = n.c, q + 1, q)), 'pick', concat(st.pick, array(n.i))))[0])"""
+    walk = f"""aggregate(sequence(0L, period - 1, {_STEP}L), named_struct('done', transform(cls, x -> 0L), 'picks', cast(array() as array<array<int>>)),
+        (all, lo) -> transform(array({step}), r -> named_struct('done', r.done, 'picks', concat(all.picks, array(r.pick))))[0])"""
+    picked = (one.select("period", F.expr(walk).getField("picks").alias("picks")).select("period", F.posexplode("picks").alias("step", "pick"))
+              .select("period", "step", F.posexplode("pick").alias("at", "i")).withColumn("slot", F.col("step").cast("long") * _STEP + F.col("at")))
+    return (picked.join(numbered, "i").select("source", "share", "period", "slot")
             .withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("slot")).cast("long") - 1))
 
 
@@ -75,8 +82,7 @@ def mix_sources(docs: DataFrame, shares: DataFrame | None = None, block_rows: in
     sizes = part.groupBy("s").agg(F.sum("c").alias("n"), F.first("source").alias("source"))
     if shares is None:
         shares = sizes.crossJoin(F.broadcast(sizes.agg(F.max("n").alias("top")))).select("source", size_shares().alias("share"))  # one row, one column
-    plan = schedule(shares).select(key, "k", "share", "period", F.col("slot").alias("at"))
-    per = plan.groupBy("s").agg(F.max("share").alias("share"), F.max("period").alias("period"))
+    per = shares.select(key, F.col("share").cast("long").alias("share")).crossJoin(F.broadcast(shares.agg(F.sum("share").cast("long").alias("period"))))
     # slots before the first source has no block left
     end = (sizes.join(per, "s").select(F.expr(f"((n + {block_rows - 1}) div {block_rows}) * period div share").alias("e"))
            .agg(F.min("e").alias("end")))
@@ -84,9 +90,11 @@ def mix_sources(docs: DataFrame, shares: DataFrame | None = None, block_rows: in
     rank = F.col("o") + F.row_number().over(Window.partitionBy("s", "p").orderBy("m", "d.doc_id", F.md5(F.coalesce("d.text", F.lit(""))))) - 1
     ranked = (rows.join(offset, ["s", "p"]).withColumn("r", rank)
               .withColumn("block", F.expr(f"r div {block_rows}")).withColumn("place", (F.col("r") % block_rows).cast("int")))
-    # at most MAX_SOURCES rows, MAX_PERIOD rows, and one
-    placed = ranked.join(F.broadcast(per), "s").withColumn("k", F.expr("block % share")).join(F.broadcast(plan.select("s", "k", "at")), ["s", "k"])
-    out = placed.withColumn("slot", F.expr("(block div share) * period + at")).crossJoin(F.broadcast(end))
+    # one row per source, eight bytes per slot; and one row
+    plan = (schedule(shares).select(key, "share", "period", F.struct("k", "slot").alias("x"))
+            .groupBy("s", "share", "period").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["slot"]).alias("at")))
+    placed = ranked.join(F.broadcast(plan), "s")
+    out = placed.withColumn("slot", F.expr("(block div share) * period + at[cast(block % share as int)]")).crossJoin(F.broadcast(end))
     return out.select(*[F.col(f"d.`{c}`") for c in names], "block", "slot", "place", (F.col("slot") < F.col("end")).alias("in_mix"))
 
 

@@ -1,6 +1,7 @@
 """Line de-duplication, chat formatting and mixing: DataFrame functions only,
 checked against plain Python and against their SQL."""
 
+import heapq
 import random
 from fractions import Fraction
 
@@ -157,3 +158,34 @@ def test_mix_keeps_all_rows_and_weights(spark, make_docs):
     assert mixing.mix_sources(make_docs([])).count() == 0
     given = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), (None, 1)], "source string, share long")
     assert mixing.mix_sources(docs, given, 4).count() == len(sources)
+
+
+def test_schedule_of_many_sources(spark, make_docs):
+    for n in (300, 4096):  # periods of 19,200 and 262,144 slots
+        df = spark.range(n).select(F.format_string("s%04d", "id").alias("source"), F.lit(64).alias("share"))
+        rows = mixing.schedule(df).agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last"),
+                                       F.sum((F.col("slot") != F.col("k") * n + F.substring("source", 2, 4).cast("int")).cast("int")).alias("wrong")).first()
+        assert tuple(rows) == (64 * n, 64 * n, 64 * n - 1, 0)
+        docs = make_docs(["x"] * (2 * n), sources=[f"s{i % n:04d}" for i in range(2 * n)])
+        out = mixing.mix_sources(docs, block_rows=1)
+        no_python(out)
+        got = sorted((r.slot, r.source, r.in_mix) for r in out.collect())
+        assert got == [(i, f"s{i % n:04d}", True) for i in range(2 * n)]
+
+
+def test_schedule_of_many_shares_is_earliest_deadline_first(spark):
+    rng = random.Random(11)
+    shares = [rng.randrange(1, 65) for _ in range(600)]
+    total = sum(shares)
+    assert total > 1 << 14
+    released, ready, want = {}, [], []
+    for i, s in enumerate(shares):
+        for k in range(s):
+            released.setdefault(k * total // s, []).append((-(-(k + 1) * total // s), i, k))
+    for t in range(total):
+        for x in released.get(t, []):
+            heapq.heappush(ready, x)
+        _, i, k = heapq.heappop(ready)
+        want.append((t, f"s{i:03d}", k))
+    df = spark.createDataFrame([(f"s{i:03d}", s) for i, s in enumerate(shares)], "source string, share long")
+    assert sorted((r.slot, r.source, r.k) for r in mixing.schedule(df).collect()) == want
