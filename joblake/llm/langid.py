@@ -7,7 +7,7 @@ trigram belongs to every language in which its share is at least ``ratio`` of
 its largest share in any language.
 
 The filter is one Bloom filter per language, bit-sliced: word ``w`` of the
-table holds bit ``w`` of all languages' filters, so the ``HASHES`` words of a
+table holds bit ``w`` of all languages' filters, so the words (``HASHES`` at most) of a
 trigram, and-ed, give all languages that contain it at once. A document's score
 for a language is the number of its trigrams that the language contains, less
 the false positives expected from how full the language's filter is. The best
@@ -19,8 +19,11 @@ labelled row was given. Letters of which no trigram is known give the language
 with the most training text, score 0. Rows with a null language are not learned
 from. Extra columns are ignored; repeated rows are answered alike.
 
-The filters hold at most ``MAX_GRAMS`` trigrams per language (the most
-frequent), which bounds the broadcast; the counts cover all training rows.
+The filters hold every trigram that passes ``ratio`` and was seen more than
+once. The executors set their bits, and the table grows with the largest
+language up to ``MAX_WORDS`` words of 64 languages. From there on the filters
+only get fuller, with fewer hashes, and the false positives taken off a score
+account for it.
 """
 
 from __future__ import annotations
@@ -29,12 +32,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from joblake.llm.hashing import mix
 
-MAX_GRAMS = 1 << 15
-MAX_LANGUAGES = 512
+MAX_WORDS = 1 << 22
 HASHES = 4
 BUFFER = 1 << 21
 _LETTER: list[np.ndarray] = []
@@ -84,6 +86,18 @@ def _parts(texts: list[str | None], limit: int = 1 << 20):
         yield start, len(texts)
 
 
+def _places(codes: np.ndarray, n_words: int, hashes: int):
+    """The words of a table of ``n_words`` (a power of two) that trigrams set,
+    one array per hash."""
+    m = np.uint64(n_words - 1)
+    h = mix(codes)
+    step = h >> np.uint64(33) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        for _ in range(hashes):
+            yield (h & m).astype(np.int64)
+            h = h + step
+
+
 @dataclass
 class LanguageFilters:
     """Bit-sliced Bloom filters: ``table[w]`` has one bit per language."""
@@ -92,17 +106,13 @@ class LanguageFilters:
     table: np.ndarray  # (words, slabs) uint64
     false_positive: np.ndarray
     most_common: int
+    hashes: int = HASHES
 
-    def masks(self, codes: np.ndarray) -> np.ndarray:
-        m = np.uint64(len(self.table) - 1)
-        h = mix(codes)
-        step = h >> np.uint64(33) | np.uint64(1)
+    def masks(self, codes: np.ndarray, slabs: slice = slice(None)) -> np.ndarray:
         out = None
-        with np.errstate(over="ignore"):
-            for _ in range(HASHES):
-                hit = self.table[(h & m).astype(np.int64)]
-                out = hit if out is None else out & hit
-                h = h + step
+        for at in _places(codes, len(self.table), self.hashes):
+            hit = self.table[at, slabs]
+            out = hit if out is None else out & hit
         return out
 
     def identify(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -110,16 +120,15 @@ class LanguageFilters:
         codes, doc, has = trigrams(texts)
         if not self.languages:
             return ["und"] * n, np.zeros(n)
-        masks = self.masks(codes)
         total = np.bincount(doc, minlength=n)
-        score = np.empty((n, len(self.languages)))
-        for l in range(len(self.languages)):
-            bit = masks[:, l >> 6] >> np.uint64(l & 63) & np.uint64(1)
-            score[:, l] = np.bincount(doc, weights=bit, minlength=n)
-        score = np.maximum(0.0, (score - total[:, None] * self.false_positive) / (1.0 - self.false_positive))
-        best = np.argmax(score, axis=1)
-        top = score[np.arange(n), best]
-        best = np.where(top > 0, best, self.most_common)
+        best, top = np.full(n, self.most_common), np.zeros(n)
+        for l, false in enumerate(self.false_positive):
+            if l & 63 == 0:
+                masks = self.masks(codes, slice(l >> 6, (l >> 6) + 1))[:, 0]
+            bit = masks >> np.uint64(l & 63) & np.uint64(1)
+            score = (np.bincount(doc, weights=bit, minlength=n) - total * false) / max(1.0 - false, 1e-9)
+            better = score > top
+            best[better], top[better] = l, score[better]
         return ([self.languages[b] if ok else "und" for b, ok in zip(best, has)],
                 np.where(has, np.minimum(1.0, top / np.maximum(total, 1)), 0.0))
 
@@ -154,33 +163,37 @@ def learn_languages(train: DataFrame, ratio: float = 0.5) -> LanguageFilters:
     train = train.where("lang is not null and text is not null").select("text", "lang")
     counts = train.mapInArrow(count, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c")).persist()
     try:
-        sizes = [(r.lang, r.n) for r in counts.groupBy("lang").agg(F.sum("c").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-        if len(sizes) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        totals = counts.groupBy("lang").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 1).alias("m"))
+        sizes = totals.orderBy("lang").collect()
         if not sizes:
             return LanguageFilters([], np.zeros((1, 1), np.uint64), np.zeros(0), 0)
-        share = F.col("c") / F.create_map(*[x for l, n in sizes for x in (F.lit(l), F.lit(float(n)))])[F.col("lang")]
-        shares = counts.withColumn("p", share)
+        names = [r.lang for r in sizes]
+        number = {x: l for l, x in enumerate(names)}
+        slabs = -(-len(names) // 64)
+        # eight words per trigram of the largest language, as far as they go
+        most = max(16, *(r.m for r in sizes))
+        n_words = max(1 << 12, min(1 << int(np.ceil(np.log2(8 * most))), 1 << int(np.log2(max(1, MAX_WORDS // slabs)))))
+        hashes = int(np.clip(round(np.log(2) * n_words / most), 1, HASHES))
+
+        def bits(it):
+            for batch in it:
+                lang = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
+                codes = batch.column(1).to_numpy()
+                v = pa.array(np.left_shift(np.uint64(1), (lang & 63).astype(np.uint64)).view(np.int64))
+                for at in _places(codes, n_words, hashes):
+                    yield pa.RecordBatch.from_arrays([pa.array(at * slabs + (lang >> 6)), v], names=["w", "v"])
+
+        shares = counts.join(totals, "lang").select("lang", "g", "c", (F.col("c") / F.col("n").cast("double")).alias("p"))
         top = shares.groupBy("g").agg(F.max("p").alias("most"))
-        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "g"))
-        chosen = (shares.join(top, "g").where((F.col("p") >= ratio * F.col("most")) & (F.col("c") > 1))
-                  .withColumn("r", rank).where(F.col("r") <= MAX_GRAMS).select("lang", "g").toPandas())
+        chosen = shares.join(top, "g").where((F.col("p") >= ratio * F.col("most")) & (F.col("c") > 1)).select("lang", "g")
+        rows = chosen.mapInArrow(bits, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
     finally:
         counts.unpersist()
-    names = [l for l, _ in sizes]
-    slabs = -(-len(names) // 64)
-    most = max(16, int(chosen.groupby("lang").size().max()) if len(chosen) else 16)
-    n_words = max(1 << 12, 1 << int(np.ceil(np.log2(8 * most))))
-    table = np.zeros((n_words, slabs), np.uint64)
-    for l, name in enumerate(names):
-        h = mix(chosen.loc[chosen["lang"] == name, "g"].to_numpy(np.int64))
-        step = h >> np.uint64(33) | np.uint64(1)
-        with np.errstate(over="ignore"):
-            for _ in range(HASHES):
-                table[(h & np.uint64(n_words - 1)).astype(np.int64), l >> 6] |= np.uint64(1 << (l & 63))
-                h = h + step
+    table = np.zeros(n_words * slabs, np.uint64)
+    table[rows["w"].to_numpy()] = rows["v"].to_numpy().view(np.uint64)
+    table = table.reshape(n_words, slabs)
     fill = np.array([(table[:, l >> 6] >> np.uint64(l & 63) & np.uint64(1)).mean() for l in range(len(names))])
-    return LanguageFilters(names, table, fill ** HASHES, int(np.argmax([n for _, n in sizes])))
+    return LanguageFilters(names, table, fill ** hashes, int(np.argmax([r.n for r in sizes])), hashes)
 
 
 def identify_languages(docs: DataFrame, model: LanguageFilters, keep: list[str | Column] = ("doc_id",)) -> DataFrame:

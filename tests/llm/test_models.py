@@ -52,6 +52,36 @@ def test_language_held_out_accuracy(spark):
     assert got.count() == lang.count()
 
 
+def test_language_of_very_many_trigrams(spark, make_docs):
+    rng = random.Random(6)
+    words = ["".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(3)) for _ in range(60000)]
+    texts = [" ".join(words[i:i + 200]) for i in range(0, len(words), 200)] * 2
+    docs = make_docs(texts, langs=["zh"] * len(texts))
+    told = langid.identify_languages(docs, langid.learn_languages(docs)).collect()
+    assert len(told) == len(texts) and all(r.lang_pred == "zh" and r.score > 0.95 for r in told)
+
+
+def test_full_filters_keep_the_score(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_WORDS", 1 << 13)
+    rng = random.Random(7)
+    words = ["".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(3)) for _ in range(6000)]
+    other = ["".join(chr(rng.randrange(0xAC00, 0xD7A0)) for _ in range(3)) for _ in range(1500)]
+    texts = [" ".join(w[i:i + 300]) for w in (words, other) for i in range(0, len(w), 300)] * 2
+    docs = make_docs(texts, langs=(["zh"] * 20 + ["ko"] * 5) * 2)
+    model = langid.learn_languages(docs)
+    assert len(model.table) == 1 << 13 and model.hashes == 1 and model.false_positive.max() > 0.8
+    told = langid.identify_languages(docs, model, ["lang"]).collect()
+    assert all(r.lang_pred == r.lang and r.score > 0.9 for r in told)
+
+
+def test_more_than_512_languages(spark, make_docs):
+    langs = [f"l{i:03d}" for i in range(600)]
+    texts = [" ".join("".join(chr(0x4E00 + 30 * i + 3 * j + k) for k in range(3)) for j in range(10)) for i in range(600)]
+    docs = make_docs(texts * 2, langs=langs * 2)
+    told = langid.identify_languages(docs, langid.learn_languages(docs), ["lang"]).collect()
+    assert len(told) == 1200 and all(r.lang_pred == r.lang and r.score > 0.9 for r in told)
+
+
 def test_identify_keeps_clashing_columns(spark, make_docs):
     docs = make_docs(["the cat", None, ""], clash=True)
     m = langid.learn_languages(docs)
