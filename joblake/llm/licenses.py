@@ -13,6 +13,12 @@ covers at least ``threshold`` of the template's words.
   subsequence that increases in both are the anchors; the gaps between anchors
   are aligned in the same way.
 
+* Templates of one family (a license and its notice, versions of a license, the
+  GNU licenses) can cover the same words. A place of which another template of
+  its family that aligns better covers half or more does not count; the better
+  one has more words matched, less the words of its template and of its span
+  that are not.
+
 Words are runs of ASCII letters, digits and non-ASCII bytes, lower-cased A-Z.
 Null and empty texts carry nothing. A license that a text holds several times
 is one row with its number of places (windows that reach the threshold and do
@@ -25,6 +31,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,36 +39,28 @@ from pyspark.sql import Column, DataFrame
 
 from joblake.llm.hashing import chunks, gram_hashes, hash_words
 
-# License statements and notices, as published.
+_TEXTS = Path(__file__).with_name("license_texts")
+# Statements of one line; whole license texts, as published, and
+# the notices that they ask to be put into files. Titles and copyright lines of
+# the short licenses, which every project fills in, are left out. The AGPL-3.0
+# is the GPL-3.0 with the AGPL's own preamble, sections and end.
 TEMPLATES = {
     "Apache-2.0 statement": "Licensed under the Apache License, Version 2.0.",
     "MIT statement": "Released under the MIT License.",
     "GPL-3.0 statement": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0 statement": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0 statement": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
-compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
-Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
-"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
-language governing permissions and limitations under the License.""",
-    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
-to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
-whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission
-notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
-WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
-PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
-    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-granted, provided that the above copyright notice and this permission notice appear in all copies.""",
-    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
-that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of
-conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list
-of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
-    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
-Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
-version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
-warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    **{p.name[:-4]: p.read_text("utf-8") for p in sorted(_TEXTS.glob("*.txt"))},
 }
+# Templates that may cover the same words of a text.
+FAMILIES = {"GPL": "GNU", "LGPL": "GNU", "AGPL": "GNU", "CC0": "CC"}
+
+
+def family(name: str) -> str:
+    """What a license's name begins with, the GNU licenses as one."""
+    first = name.split(" ")[0].split("-")[0]
+    return FAMILIES.get(first, first)
+
 
 _BLANK = np.ones(256, bool)
 _BLANK[48:58] = _BLANK[65:91] = _BLANK[97:123] = _BLANK[128:] = False
@@ -139,6 +138,11 @@ class Templates:
             rows.sort()
             self.grams[k] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1:] for r in rows], np.int64).reshape(-1, 2))
         self.vocabulary = [Counter(w) for w in self.words]
+        self.known = np.unique(np.array([x for w in self.words for x in w], np.uint64))
+        # which words each template has; the last column stands for all others
+        self.member = np.zeros((len(self.words), len(self.known) + 1), bool)
+        for t, w in enumerate(self.words):
+            self.member[t, np.searchsorted(self.known, np.array(w, np.uint64))] = True
 
     def seeds(self, words: np.ndarray):
         """``(place, template, place in template)`` of all seeds."""
@@ -153,32 +157,58 @@ class Templates:
                     yield int(p), int(rows[j, 0]), int(rows[j, 1])
                     j += 1
 
-    def windows(self, words: list[int], seeds: list[tuple[int, int, int]]):
+    def windows(self, words: list[int], number: np.ndarray, seeds: list[tuple[int, int, int]]):
         """Per template the windows of a text in which it may be, as
-        ``(template, start, end)``; near diagonals share one."""
+        ``(template, start, end)``; near diagonals share one. ``number`` are
+        the words' columns of ``member``."""
         by: dict[int, set[int]] = {}
         for p, t, i in seeds:
             by.setdefault(t, set()).add(p - i)
         for t, diagonals in by.items():
-            held = None
+            held = known = None
             for d in sorted(diagonals):
                 if held is not None and d - held <= self.slack[t] // 2:
                     continue
                 held = d
                 start, end = max(0, d - self.slack[t]), min(len(words), d + len(self.words[t]) + self.slack[t])
-                if start < end and sum((Counter(words[start:end]) & self.vocabulary[t]).values()) >= self.least[t]:
+                if end - start < self.least[t]:
+                    continue
+                if known is None:  # words of the template's vocabulary so far
+                    known = np.concatenate(([0], np.cumsum(self.member[t][number])))
+                if known[end] - known[start] >= self.least[t] and sum((Counter(words[start:end]) & self.vocabulary[t]).values()) >= self.least[t]:
                     yield t, start, end
 
+    def best(self, found: dict[int, list[tuple[int, int, int]]], n_words: int) -> dict[int, list[tuple[int, int, int]]]:
+        """The places left when better ones of the same family are kept."""
+        families: dict[str, list[int]] = {}
+        for t in found:
+            families.setdefault(family(self.names[t]), []).append(t)
+        out: dict[int, list[tuple[int, int, int]]] = {}
+        for ts in families.values():
+            if len(ts) == 1:
+                out[ts[0]] = found[ts[0]]
+                continue
+            owner = np.full(n_words, -1)
+            hits = [(3 * n - len(self.words[t]) - (e - s + 1), t, s, e, n) for t in ts for s, e, n in found[t]]
+            for _, t, s, e, n in sorted(hits, key=lambda h: (-h[0], h[1:])):
+                span = owner[s : e + 1]
+                if 2 * np.count_nonzero((span >= 0) & (span != t)) < len(span):
+                    span[span < 0] = t
+                    out.setdefault(t, []).append((s, e, n))
+        return out
+
     def licenses(self, words: np.ndarray, seeds: list[tuple[int, int, int]]) -> list[tuple[str, float, int, int, int]]:
         """``(license, coverage, places, first word, last word)``."""
         text = words.tolist()
+        at = np.searchsorted(self.known, words)
+        number = np.where(self.known[np.minimum(at, len(self.known) - 1)] == words, at, len(self.known))
         found: dict[int, list[tuple[int, int, int]]] = {}
-        for t, start, end in self.windows(text, seeds):
+        for t, start, end in self.windows(text, number, seeds):
             pairs = patience(text[start:end], self.words[t])
             if len(pairs) >= self.least[t]:
                 found.setdefault(t, []).append((start + pairs[0][0], start + pairs[-1][0], len(pairs)))
         out = []
-        for t, hits in sorted(found.items()):
+        for t, hits in sorted(self.best(found, len(text)).items()):
             places, last = 0, -1
             for s, e, _ in sorted(hits, key=lambda h: (h[1], h[0])):
                 if s > last:

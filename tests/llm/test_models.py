@@ -178,6 +178,17 @@ def test_licenses_found_in_edited_texts(spark, make_docs):
     assert licenses.scan_licenses(make_docs([])).count() == 0
 
 
+def test_whole_texts_and_families(spark, make_docs):
+    t = licenses.TEMPLATES
+    least = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "Unlicense", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause",
+             "Apache-2.0 notice", "GPL-2.0 notice", "GPL-3.0 notice", "AGPL-3.0 notice", "LGPL-2.1 notice", "LGPL-3.0 notice", "MPL-2.0 notice"]
+    assert t["MIT"].strip().endswith("OTHER DEALINGS IN THE SOFTWARE.") and "POSSIBILITY OF SUCH DAMAGE" in t["BSD-2-Clause"] and "END OF TERMS" in t["GPL-3.0"]
+    got = licenses.scan_licenses(make_docs(["Some words before. " + t[x] + " and some after" for x in least])).collect()
+    assert sorted((r.doc_id, r.license, r.coverage) for r in got) == [(i, x, 1.0) for i, x in enumerate(least)]
+    both = licenses.scan_licenses(make_docs([t["BSD-2-Clause"] + " other words here " * 90 + t["BSD-3-Clause"]])).collect()
+    assert sorted((r.license, r.places) for r in both) == [("BSD-2-Clause", 1), ("BSD-3-Clause", 1)]
+
+
 # quality
 
 def test_forward_backward_equals_enumeration():
