@@ -14,7 +14,8 @@ order, so a reordered passage is caught like a verbatim one.
   of ``min_match`` words is left.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, lower-cased A-Z. Null or empty texts, on
-either side, and items with fewer than ``min_match`` words share nothing.
+either side, share nothing. An item with fewer than ``min_match`` words is one seed of
+its own length, so a verbatim copy of it is found (its first place counts).
 Repeated rows (same id and text) are one document or one item; null ids are
 carried as they are. Extra columns of the documents are kept.
 """
@@ -42,9 +43,11 @@ def _bits(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple((g >> np.uint64(s) & np.uint64(BLOOM_BITS - 1)).astype(np.int64) for s in (3, 37))
 
 
-def _grams(rows: DataFrame, k: int, bloom=None) -> DataFrame:
+def _grams(rows: DataFrame, k: int, bloom=None, short: Iterable[int] = ()) -> DataFrame:
     """``rows(key, id, text)`` to one row per seed (that may be the
-    benchmark's, with ``bloom``)."""
+    benchmark's, with ``bloom``). ``short`` are lengths under ``k``: with
+    ``bloom`` their seeds are taken too, once per text, else a text of such a
+    length is one seed."""
 
     def run(it):
         table = bloom.value if bloom is not None else None
@@ -53,19 +56,26 @@ def _grams(rows: DataFrame, k: int, bloom=None) -> DataFrame:
             at = 0
             for part in chunks(texts_of(batch.column(2))):
                 words, off = word_hashes(part)
-                grams = gram_hashes(words, k)
-                start = np.arange(len(grams))
-                doc = np.searchsorted(off, start, side="right") - 1
-                keep = start + k <= off[doc + 1]
-                if table is not None:
-                    one, two = _bits(grams)
-                    keep &= has_bit(table, one)
-                    keep[keep] = has_bit(table, two[keep])
-                start, doc = start[keep], doc[keep]
-                if len(start):
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(keys[at + doc]), ids.take(pa.array(at + doc)), pa.array(off[doc + 1] - off[doc]),
-                        pa.array(start - off[doc]), pa.array(grams[keep].view(np.int64))], schema=_GRAMS)
+                for n in (k, *short):
+                    grams = gram_hashes(words, n)
+                    start = np.arange(len(grams))
+                    doc = np.searchsorted(off, start, side="right") - 1
+                    keep = start + n <= off[doc + 1]
+                    if table is not None:
+                        one, two = _bits(grams)
+                        keep &= has_bit(table, one)
+                        keep[keep] = has_bit(table, two[keep])
+                    elif n < k:
+                        keep &= off[doc + 1] - off[doc] == n
+                    start, doc, grams = start[keep], doc[keep], grams[keep]
+                    if n < k and len(start):
+                        order = np.lexsort((start, grams, doc))
+                        new = np.append(True, (np.diff(doc[order]) != 0) | (grams[order][1:] != grams[order][:-1]))
+                        start, doc, grams = start[order][new], doc[order][new], grams[order][new]
+                    if len(start):
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(keys[at + doc]), ids.take(pa.array(at + doc)), pa.array(off[doc + 1] - off[doc]),
+                            pa.array(start - off[doc]), pa.array(grams.view(np.int64))], schema=_GRAMS)
                 at += len(part)
 
     return rows.mapInArrow(run, _GRAMS_DDL)
@@ -116,11 +126,12 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, th
     ``tiles`` lists ``place in document:place in item:words``."""
     key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").where("text is not null").distinct()
-    items = _grams(items.select(F.xxhash64(F.col("id").isNull(), "id", "text").alias("key"), "id", "text"), min_match)
+    items = _grams(items.select(F.xxhash64(F.col("id").isNull(), "id", "text").alias("key"), "id", "text"), min_match, short=range(1, min_match))
     items = written(items, "item-seeds")
+    short = sorted(r.n_words for r in items.where(F.col("n_words") < min_match).select("n_words").distinct().collect())
     spread = F.explode(F.array(*[F.shiftrightunsigned("gram", s).bitwiseAND(F.lit(BLOOM_BITS - 1)) for s in (3, 37)])).alias("bit")
     bloom = docs.sparkSession.sparkContext.broadcast(bit_table(items.select(spread), BLOOM_BITS))
-    seeds = _grams(docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("id"), "text"), min_match, bloom)
+    seeds = _grams(docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("id"), "text"), min_match, bloom, short)
     item = items.select("gram", F.col("key").alias("item"), F.col("id").alias("item_id"), F.col("n_words").alias("m"), F.col("pos").alias("at"))
     met = seeds.select("key", F.col("id").alias("doc_id"), "pos", "gram").join(item, "gram")
 
@@ -129,7 +140,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, th
 
     def judged(group, seeds) -> Iterator[tuple]:
         key, _, doc_id, item_id, m = group
-        found = tiles(seeds, min_match)
+        found = tiles(seeds, min(min_match, m))
         covered = sum(t[2] for t in found)
         if covered >= threshold * m:
             yield key, doc_id, item_id, m, covered, covered / m, ",".join(f"{d}:{i}:{n}" for d, i, n in sorted(found))

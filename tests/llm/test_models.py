@@ -142,6 +142,14 @@ def test_all_verbatim_items_are_found(spark):
     assert inside.count() > 0 and inside.subtract(found).count() == 0
 
 
+def test_short_items_are_found_verbatim(spark, make_docs):
+    docs = make_docs(["Who wrote  Hamlet? who wrote hamlet? By whom", "who wrote", "x y", "well, x y z", "who wrote it: hamlet?", "a b c d e f", "", None])
+    items = spark.createDataFrame([(0, "who wrote hamlet?"), (1, "x Y"), (2, "b c d e f"), (3, ""), (4, None)], "item_id long, text string")
+    got = dc.contaminations(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id, r.coverage, r.tiles) for r in got) == [(0, 0, 1.0, "0:0:3"), (2, 1, 1.0, "0:0:2"), (3, 1, 1.0, "1:0:2"), (5, 2, 1.0, "1:0:5")]
+    assert sorted(r.doc_id for r in dc.decontaminate(docs, items).collect()) == [1, 4, 6, 7]
+
+
 # license scans
 
 def test_patience_is_an_alignment():
