@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from joblake.llm import chat, decontaminate, langid, licenses, line_dedup, mixing, nearest, quality, secrets
+from joblake.llm import chat, decontaminate, langid, lattice, lexical, licenses, line_dedup, mixing, nearest, quality, secrets
 from joblake.llm.common import table
 from joblake.llm.ngram_join import ngram_jaccard_classes
 
@@ -88,3 +88,16 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op10_mix_sources"] = mixing.oracle(16)
+
+
+@query
+def op12_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op13_ranked_search"] = lexical.oracle(10)
