@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from joblake.llm import chat, decontaminate, langid, lattice, lexical, licenses, line_dedup, mixing, nearest, quality, secrets
+from joblake.llm import alignment, chat, decontaminate, langid, lattice, lexical, licenses, line_dedup, mixing, nearest, quality, secrets
 from joblake.llm.common import table
 from joblake.llm.ngram_join import ngram_jaccard_classes
 
@@ -90,6 +90,15 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op10_mix_sources"] = mixing.oracle(16)
 
 
+TOKENIZERS = "/opt/tokenizers"
+
+
+@query
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align_tokenizers(docs, f"{folder}/byte_bpe_50k.json", f"{folder}/piece_bpe_32k.model").drop("groups")
+
+
 @query
 def op12_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
