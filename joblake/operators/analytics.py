@@ -44,8 +44,8 @@ def keyword_market(jobs: DataFrame, keywords: DataFrame, job_keywords: DataFrame
     entries = entries.select("kind", "id", "name", "user_level")
 
     actionable = (F.col("t3_qualification") >= 50) & (F.col("t3_qualification") < 80)
-    grouped = (job_keywords.select("job_id", "id")
-               .join(entries, "id")
+    grouped = (job_keywords.select("job_id", "kind", "id")
+               .join(entries, ["kind", "id"])
                .join(scope, "job_id")
                .groupBy("kind", "id", "name", "user_level")
                .agg(F.count(F.lit(1)).alias("raw_count"),
@@ -106,10 +106,10 @@ def application_stats(apps: DataFrame) -> DataFrame:
 
 def candidate_usage(keywords: DataFrame, job_keywords: DataFrame) -> DataFrame:
     """Candidates with the number of listings naming them; unused ones count 0.
-    The junction is pre-aggregated per id before it meets the candidates."""
-    per_id = job_keywords.groupBy("id").agg(F.count("job_id").alias("job_count"))
+    The junction is pre-aggregated per entry before it meets the candidates."""
+    per_id = job_keywords.groupBy("kind", "id").agg(F.count("job_id").alias("job_count"))
     cands = keywords.where(F.col("is_candidate") == 1).select("kind", "id", "name")
-    return (cands.join(per_id, "id", "left")
+    return (cands.join(per_id, ["kind", "id"], "left")
             .select("kind", "id", "name", F.coalesce("job_count", F.lit(0)).cast("bigint").alias("job_count")))
 
 

@@ -29,7 +29,7 @@ def job_detail(jobs: DataFrame, apps: DataFrame, keywords: DataFrame,
                     "interviews", "offer")
     base = jobs.join(a, "application_id", "left")
     canon = keywords.where(F.col("is_candidate") == 0).select("id", "kind", "name")
-    names = (job_keywords.select("job_id", "id").join(canon, "id")
+    names = (job_keywords.select("job_id", "kind", "id").join(canon, ["kind", "id"])
              .groupBy("job_id")
              .agg(F.array_sort(F.collect_list(F.when(F.col("kind") == "skill", F.col("name"))))
                   .alias("skills"),
@@ -50,9 +50,9 @@ def applications_with_job(apps: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def keyword_jobs(keywords: DataFrame, job_keywords: DataFrame, jobs: DataFrame) -> DataFrame:
-    """keywords ⨝ junction ⨝ listings."""
-    return (job_keywords.select("job_id", "id")
-            .join(keywords.select("kind", "id", "name", "is_candidate", "user_level"), "id")
+    """keywords ⨝ junction (job_id, kind, id) ⨝ listings."""
+    return (job_keywords.select("job_id", "kind", "id")
+            .join(keywords.select("kind", "id", "name", "is_candidate", "user_level"), ["kind", "id"])
             .join(jobs, "job_id"))
 
 

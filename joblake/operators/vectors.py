@@ -10,12 +10,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF, Normalizer, NGram, RegexTokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, NGram, RegexTokenizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from joblake.session import scratch_table
 
 
 def unit(col) -> F.Column:
@@ -195,29 +194,6 @@ def embed_short(df: DataFrame, text_col: str = "name", out: str = "vec", num_fea
     return res.withColumn(out, vector_to_array("_unit")).drop("_chars", "_grams", "_tf", "_unit")
 
 
-def vector_search_approx(jobs: DataFrame, queries: DataFrame, k: int = 10, bucket_length: float = 0.8,
-                         num_tables: int = 8, seed: int = 7) -> DataFrame:
-    """Approximate neighbours by random-projection LSH on unit vectors
-    (Euclidean distance d relates to cosine by cos = 1 - d^2/2): the candidates
-    that share a bucket, top k per query. Unit vectors are never further apart
-    than 2, so no candidate is cut by distance; a query whose buckets hold fewer
-    than k rows gets the rest by exact search."""
-    a = jobs.select("job_id", array_to_vector(unit("vec")).alias("v")).where(F.col("v").isNotNull())
-    b = queries.select("query_id", array_to_vector(unit("vec")).alias("v")).where(F.col("v").isNotNull())
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed)
-    model = lsh.fit(a)
-    pairs = model.approxSimilarityJoin(a, b, 2.001, distCol="dist")
-    res = pairs.select(F.col("datasetA.job_id").alias("job_id"), F.col("datasetB.query_id").alias("query_id"),
-                       (1 - F.col("dist") * F.col("dist") / 2).alias("similarity"))
-    near = top_k_per_group(res, "query_id", [F.col("similarity").desc(), F.col("job_id")], k, salt_key="job_id")
-    near = scratch_table(near.select("query_id", "job_id", "similarity", "rank"), "lsh")
-    full = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")
-    short = queries.join(full, "query_id", "left_anti")
-    exact = top_k_by_dot(jobs, short, large_key="job_id", small_key="query_id", k=k)
-    return near.join(full, "query_id", "left_semi").unionByName(exact.select("query_id", "job_id", "similarity", "rank"))
-
-
 def top_k_per_group(df: DataFrame, group: str, order: list, k: int, salt_key: str, salts: int = 64) -> DataFrame:
     """k best rows per group without ranking a whole hot group in one task:
     first per (group, salt) — salt from a hash of ``salt_key`` — then per

@@ -111,7 +111,7 @@ FROM (SELECT p_name, row_number() OVER (ORDER BY p_name) AS rn
 """
 
 _B_JOB_KEYWORDS = """
-SELECT DISTINCT l.l_orderkey AS job_id, k.id AS id
+SELECT DISTINCT l.l_orderkey AS job_id, k.kind AS kind, k.id AS id
 FROM {lineitem} l
 JOIN {part} p ON l.l_partkey = p.p_partkey
 JOIN {b_keywords} k ON p.p_name = k.name

@@ -83,7 +83,7 @@ def plan_preview(T):
 
 
 def _jk(T):
-    return T.job_keywords.join(T.entries.select("id", "kind"), "id").select("job_id", "kind", "id")
+    return T.job_keywords.select("job_id", "id").join(T.entries.select("id", "kind"), "id").select("job_id", "kind", "id")
 
 
 @register("apply_promote", _RESOLVE_SQL + """

@@ -61,6 +61,30 @@ def scan_landing(T):
     return PG.scan_landing(T.spark, path, max_pages=10).select("query", "title", "job_id")
 
 
+@register("quarantine_pages", """
+WITH l AS (SELECT CAST(seq AS VARCHAR) AS job_id, location || '-' || CAST(CAST(floor(seq / 120) AS BIGINT) AS VARCHAR) AS query_name,
+                  CAST(floor(seq / 10) AS BIGINT) % 12 + 1 AS page_no FROM b_doc_listings),
+p AS (SELECT DISTINCT query_name, page_no FROM l)
+SELECT 'listing' AS outcome, CAST(NULL AS VARCHAR) AS reason, job_id, 1 AS n FROM l WHERE page_no NOT IN (2, 3, 5, 6)
+UNION ALL SELECT 'rejected', reason, NULL, count(*) FROM (
+  SELECT CASE page_no WHEN 2 THEN 'not an object' WHEN 6 THEN 'jobs_results is of another type' ELSE 'not JSON' END AS reason FROM p WHERE page_no IN (2, 3, 5, 6))
+GROUP BY reason
+""")
+def quarantine_pages(T):
+    """A landing folder in which some lines are cut off, no JSON, no object, of
+    another type, or have fields that are not known: listings, and rejected
+    lines by reason."""
+    path = scratch_path(T.spark, "landing_bad")
+    pages = _doc_pages(T).withColumn("unknown_field", F.col("page_no"))
+    line = F.to_json(F.struct(*pages.columns))
+    bad = (F.when(F.col("page_no") == 2, F.concat(F.lit("["), line, F.lit("]"))).when(F.col("page_no") == 3, F.expr("left(line, cast(length(line) / 2 as int))"))
+           .when(F.col("page_no") == 5, "<html>Service unavailable</html>").when(F.col("page_no") == 6, F.regexp_replace("line", '"jobs_results":.*', '"jobs_results":"none"}')))
+    pages.withColumn("line", line).select(F.coalesce(bad, "line").alias("value")).write.text(path)
+    good, rejected = PG.read_landing(T.spark, path)
+    return (PG.explode_listings(good).select(F.lit("listing").alias("outcome"), F.lit(None).cast("string").alias("reason"), "job_id", F.lit(1).cast("long").alias("n"))
+            .unionByName(rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).select(F.lit("rejected").alias("outcome"), "reason", F.lit(None).cast("string").alias("job_id"), "n")))
+
+
 @register("union_pages")
 def union_pages(T):
     a = scratch_path(T.spark, "pages_a")
@@ -174,7 +198,7 @@ def _pairs(T):
     profiles; a profile's keywords are those of the listing with its id (an
     equi-join, no cross product)."""
     jobs = T.jobs
-    names = T.job_keywords.join(T.keywords.select("id", "name"), "id").groupBy("job_id").agg(
+    names = T.job_keywords.join(T.keywords.select("kind", "id", "name"), ["kind", "id"]).groupBy("job_id").agg(
         F.collect_set("name").alias("job_keywords"))
     prof = T.conversations.groupBy(F.col("conv_id").alias("profile_id")).agg(F.count(F.lit(1)).alias("turns"))
     p = prof.join(names.select(F.col("job_id").alias("profile_id"), F.col("job_keywords").alias("profile_keywords")),
@@ -250,7 +274,7 @@ def parse_deep_score(T):
 
 
 def _match_inputs(T):
-    names = T.job_keywords.join(T.keywords.select("id", "kind", "name"), "id")
+    names = T.job_keywords.join(T.keywords.select("id", "kind", "name"), ["kind", "id"])
     kw = names.groupBy("job_id").agg(
         F.array_sort(F.collect_set(F.when(F.col("kind") == "skill", F.col("name")))).alias("skills"),
         F.array_sort(F.collect_set(F.when(F.col("kind") == "framework", F.col("name")))).alias("frameworks"))

@@ -79,7 +79,7 @@ def reprocess_upsert(T):
     upd = jobs.where(F.col("status") == "extraction_failed").select(
         "dedup_hash", F.concat(F.lit("reprocessed: "), F.col("description")).alias("description"),
         F.lit("active").alias("status"))
-    jk = T.job_keywords.join(T.keywords.select("id", "kind"), "id").select("job_id", "kind", "id")
+    jk = T.job_keywords
     new_kw = (jobs.where(F.col("status") == "extraction_failed")
               .select("dedup_hash", F.lit("skill").alias("kind"), F.lit(2).cast("long").alias("id")))
     out, jk2 = CH.reprocess_upsert(jobs, upd, jk, new_kw, ["description", "status"])

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from joblake.operators import graph_index as GI
+from joblake.operators import neighbour_graph as NG
 from joblake.operators import vectors as V
 from joblake.plans.registry import register
+from joblake.session import scratch_table
 
 # query vectors: one centroid per label, computed from the whole table
 _CENTROIDS_SQL = """
@@ -71,10 +74,24 @@ def rank_by_similarity(T):
 
 @register("vector_search_approx")
 def vector_search_approx(T):
-    """LSH neighbours of the label centroids (rows-only; recall is tested)."""
+    """Nearest active listings of the label centroids from the graph index, with
+    each query's recall against the exact search over all rows. A second run
+    reads the index that the first has written."""
     jobs = _jobs(T).where(F.col("status") == "active").select("job_id", F.col("embedding").alias("vec"))
     q = _centroids(T).select("query_id", F.col("embedding").alias("vec"))
-    return V.vector_search_approx(jobs, q, k=10)
+    found = scratch_table(GI.open_index(jobs, "listings").search(q, k=10), "approx")
+    recall = GI.recall_of(found, V.top_k_by_dot(jobs, q, large_key="job_id", small_key="query_id", k=10))
+    return found.join(recall, "query_id")
+
+
+@register("knn_keywords_descent")
+def knn_keywords_descent(T):
+    """The neighbours of ``knn_keywords`` from an NN-descent graph, with each
+    entry's recall against that exact result."""
+    found = scratch_table(NG.knn_keywords_descent(T.entries, k=8), "descent-knn")
+    exact = V.knn_keywords(T.entries, k=8).select(F.col("id").alias("query_id"), F.col("nid").alias("job_id"))
+    recall = GI.recall_of(found.select(F.col("id").alias("query_id"), F.col("nid").alias("job_id")), exact)
+    return found.join(recall.withColumnRenamed("query_id", "id"), "id").select("kind", "id", "nid", "similarity", "rank", "recall")
 
 
 @register("embed_jobs")

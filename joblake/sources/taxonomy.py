@@ -16,8 +16,8 @@ def _blank_to_null(c: str) -> F.Column:
 
 def scan_taxonomy(spark: SparkSession, path: str, kind: str, existing: DataFrame) -> DataFrame:
     """Seed rows of one kind appended to ``existing`` keywords: empty
-    hierarchy fields (not the domain) become NULL; a name already present is
-    skipped; new ids continue after the largest one in file order."""
+    hierarchy fields (not the domain) become NULL; a name that its kind already
+    has is skipped (the other kind may have it too); new ids continue after the largest one in file order."""
     schema = SKILL_CSV if kind == "skill" else FRAMEWORK_CSV
     raw = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
     l2, l3, name = schema.fieldNames()[1:]
@@ -26,7 +26,7 @@ def scan_taxonomy(spark: SparkSession, path: str, kind: str, existing: DataFrame
             .where(F.col("name").isNotNull()))
     first = rows.groupBy("name").agg(F.min(F.struct("_file", "_row", "domain", "l2", "l3")).alias("_f")).select(
         "name", "_f.*")
-    fresh = first.join(existing.select("name"), "name", "left_anti")
+    fresh = first.join(existing.where(F.col("kind") == kind).select("name"), "name", "left_anti")
     start = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("start"))
     numbered = dense_ids(fresh, ["_file", "_row"], start)
     new = numbered.select(F.col("new_id").alias("id"), F.lit(kind).alias("kind"), "name", "domain", "l2", "l3",
