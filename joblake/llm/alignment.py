@@ -9,17 +9,18 @@ bytes: its entries are the overlap links, its values the bytes shared. Offsets a
 which tokens of both end cut the text into groups; the incidences of tokens and
 groups give, by the same product, the shared-group links.
 
-Corpus-wide, a link's pair of ids counts how many links hold it. Texts are taken
-in chunks of about ``chunk_bytes``; a chunk keeps a matrix of its documents by
-its different id pairs and adds its pairs' counts up before the shuffle. The
-corpus-wide counts come back to each chunk as one vector, sorted to its rows, and
-a product of matrix and vector gives every document's sums. Nothing is broadcast
-but the ids' bytes and one row per B id.
-
-Long texts are cut for the tokenizers at a blank between an ASCII letter or
-digit and a small ASCII letter: neither tokenizer's tokens reach over it (for B this is
-looked up in its pieces; a model that has such pieces gets whole texts). So no
-encoding is larger than a piece, save for texts without such a place.
+No token of either tokenizer reaches over a blank between a visible character and
+a letter or digit (for B this is looked up in its pieces; a model that has such
+pieces gets whole texts). Texts are cut there, and as pieces repeat, each
+different piece of a chunk of about ``chunk_bytes`` is encoded and aligned once.
+The documents by pieces and the pieces by id pairs are matrices too, and their
+product says how often each document links each pair.
+
+Corpus-wide, a link's pair of ids counts how many links hold it. A chunk adds its
+pairs' counts up before the shuffle. The corpus-wide counts come back to each
+chunk as one vector, sorted to its rows, and a product of matrix and vector gives
+every document's sums. Nothing is broadcast but one row per B id. A very long
+text is taken a window at a time and costs its different pieces.
 
 Null and empty texts, and texts whose A or B bytes differ from the space and the
 text (normalised, or holding B's blank sign), have no tokens: zeros and an empty
@@ -30,6 +31,7 @@ document of its own. Extra columns are ignored; an empty table gives an empty re
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -45,9 +47,9 @@ from joblake.llm.common import batches
 from joblake.llm.hashing import texts_of
 from joblake.session import drop_scratch, scratch_table as written
 
-_CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[a-z])")
-_PIECE = 1 << 14  # characters given to a tokenizer at a time
-_BATCH = 1 << 17  # bytes aligned at a time
+_CUT = re.compile(r"(?<=\S) (?=[^\W_])")
+_WINDOW = 1 << 18  # characters cut at a time
+_BATCH = 1 << 17  # characters encoded and aligned at a time
 _ROWS = 1 << 16  # rows of a product at a time
 _LIST = 4096  # pairs in a row of the written table
 
@@ -135,6 +137,7 @@ class Encoders:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        self._encode_a = getattr(self.a, "encode_batch_fast", self.a.encode_batch)  # without offsets, where there is one
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
         # an id in decimals and what follows it in a group: a comma, a bar or a semicolon
         self.words = [f"{i}{c}" for i in range(max(len(self.a_bytes), len(self.b_bytes))) for c in ",|;"]
@@ -146,43 +149,76 @@ class Encoders:
             cls._loaded[a_path, b_path] = cls(a_path, b_path)
         return cls._loaded[a_path, b_path]
 
-    def _cut(self, text: str) -> list[str]:
-        """The text in pieces that both tokenizers encode independently; a piece
-        but the first lacks the blank before it."""
-        out, at = [], 0
-        while self.cuts and len(text) - at > _PIECE:
-            m = _CUT.search(text, at + _PIECE)
+    def pieces(self, text: str | None) -> Iterator[list[str]]:
+        """The text in pieces that both tokenizers encode independently, some at
+        a time; every piece stands for a blank and itself."""
+        at = 0
+        while text and self.cuts and len(text) - at > _WINDOW:
+            m = _CUT.search(text, at + _WINDOW)
             if m is None:
                 break
-            out.append(text[at : m.start()])
+            yield _CUT.split(text[at : m.start()])
             at = m.end()
-        return [*out, text[at:]]
-
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The ids of A and of B for every text; none where they do not spell it."""
-        parts = [self._cut(t) if t else [] for t in texts]
-        flat = [p for ps in parts for p in ps]
-        a = [e.ids for e in self.a.encode_batch([" " + p for p in flat], add_special_tokens=False)]
-        b = self.b.encode(flat, num_threads=1) if flat else []
-        out, at = [], 0
-        for text, ps in zip(texts, parts):
-            x, y = ([i for ids in side[at : at + len(ps)] for i in ids] for side in (a, b))
-            at += len(ps)
-            whole = b" " + text.encode("utf-8", "surrogatepass") if text else b""
-            if b"".join(map(self.a_bytes.__getitem__, x)) != whole or b"".join(map(self.b_bytes.__getitem__, y)) != whole:
-                x = y = []
-            out.append((np.array(x, np.int64), np.array(y, np.int64)))
-        return out
+        if text:
+            yield _CUT.split(text[at:] if at else text) if self.cuts else [text]
+
+    def _ids_of_a(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of A, and how many each piece has. Pieces that begin and end
+        as cuts do are encoded as one text and told apart by their bytes."""
+        inner = [i for i, p in enumerate(pieces) if self.cuts and p[0].isalnum() and not p[-1].isspace()]
+        size = np.array([len(pieces[i].encode("utf-8", "surrogatepass")) + 1 for i in inner], np.int64)
+        ids = np.array(self._encode_a(["".join([" " + pieces[i] for i in inner])], add_special_tokens=False)[0].ids if inner else [], np.int64)
+        ends = np.cumsum(self.a_size[ids])
+        count = np.zeros(len(pieces), np.int64)
+        if inner and int(ends[-1]) == int(size.sum()):
+            count[inner] = np.diff(np.append(0, np.searchsorted(ends, np.cumsum(size), side="right")))
+            rest = np.setdiff1d(np.arange(len(pieces)), inner).tolist()
+        else:
+            ids, inner, rest = ids[:0], [], list(range(len(pieces)))
+        if not rest:
+            return ids, count
+        other = [e.ids for e in self._encode_a([" " + pieces[i] for i in rest], add_special_tokens=False)]
+        count[rest] = [len(x) for x in other]
+        first = np.append(0, np.cumsum(count))
+        out = np.empty(first[-1], np.int64)
+        own = np.zeros(len(out), bool)
+        for i, x in zip(rest, other):
+            out[first[i] : first[i + 1]] = x
+            own[first[i] : first[i + 1]] = True
+        out[~own] = ids
+        return out, count
+
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(spelled, a, n_a, b, n_b)``: the ids of A and of B, one piece after the
+        other, and how many each has; none for a piece that they do not spell."""
+        a, n_a = self._ids_of_a(pieces)
+        lists = self.b.encode(pieces, num_threads=1) if pieces else []
+        b, n_b = np.fromiter(itertools.chain.from_iterable(lists), np.int64), np.array([len(x) for x in lists], np.int64)
+        whole = [b" " + p.encode("utf-8", "surrogatepass") for p in pieces]
+        size, joined, ok = np.array([len(w) for w in whole], np.int64), b"".join(whole), np.ones(len(pieces), bool)
+        for ids, n, sizes, table in ((a, n_a, self.a_size, self.a_bytes), (b, n_b, self.b_size, self.b_bytes)):
+            spelled = b"".join(map(table.__getitem__, ids.tolist()))
+            got = np.diff(np.append(0, np.cumsum(sizes[ids]))[np.append(0, np.cumsum(n))])
+            if spelled != joined or (got != size).any():
+                ends = np.cumsum(got).tolist()
+                ok &= [spelled[s:e] == w for s, e, w in zip([0, *ends], ends, whole)]
+        return ok, a[np.repeat(ok, n_a)], n_a * ok, b[np.repeat(ok, n_b)], n_b * ok
+
+    def encode_text(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of A and of B for a whole text."""
+        parts = [self.encode(pieces) for pieces in self.pieces(text)]
+        none = [np.empty(0, np.int64)]
+        if not all(x[0].all() for x in parts):
+            return none[0], none[0]
+        return np.concatenate(none + [x[1] for x in parts]), np.concatenate(none + [x[3] for x in parts])
 
 
 class Alignment:
     """The tokens of some texts, one after the other, and their matrices."""
 
-    def __init__(self, enc: Encoders, tokens: list[tuple[np.ndarray, np.ndarray]]):
-        self.n_a, self.n_b = (np.array([len(t[i]) for t in tokens], np.int64) for i in (0, 1))
-        none = np.empty(0, np.int64)
-        self.a, self.b = (np.concatenate([none, *(t[i] for t in tokens)]) for i in (0, 1))
-        self.doc_a = np.repeat(np.arange(len(tokens)), self.n_a)
+    def __init__(self, enc: Encoders, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray):
+        self.a, self.n_a, self.b, self.n_b = a, n_a, b, n_b
+        self.doc_a = np.repeat(np.arange(len(n_a)), n_a)
         self.a_ends, self.b_ends = np.cumsum(enc.a_size[self.a]), np.cumsum(enc.b_size[self.b])
         self.group_ends = np.intersect1d(self.a_ends, self.b_ends)
         self.a_group, self.b_group = (np.searchsorted(self.group_ends, e) for e in (self.a_ends, self.b_ends))
@@ -202,8 +238,8 @@ class Alignment:
         first = np.append(True, self.a_group[1:] != self.a_group[:-1]) if len(self.a_group) else np.empty(0, bool)
         return np.bincount(self.doc_a, weights=first, minlength=len(self.n_a)).astype(np.int64)
 
-    def spelled(self) -> Iterator[Iterator[str]]:
-        """Per text its groups as ``a1,a2|b1;a3|b2,b3``, in parts."""
+    def spelled(self) -> list[str]:
+        """Each text's groups as ``a1,a2|b1;a3|b2,b3``."""
         n = len(self.group_ends)
         in_a, in_b = (np.searchsorted(g, np.arange(n + 1)) for g in (self.a_group, self.b_group))
         word = np.empty(len(self.a) + len(self.b), np.int64)
@@ -211,34 +247,20 @@ class Alignment:
         last_b = np.append(self.b_group[1:] != self.b_group[:-1], True) if len(self.b) else np.empty(0, bool)
         word[np.arange(len(self.a)) + in_b[self.a_group]] = self.a * 3 + last_a
         word[np.arange(len(self.b)) + in_a[self.b_group + 1]] = self.b * 3 + 2 * last_b
-        ends = np.cumsum(self.n_a + self.n_b)
-        for s, e in zip(ends - self.n_a - self.n_b, ends):
-            yield self._parts(word[s:e])
-
-    def _parts(self, word: np.ndarray) -> Iterator[str]:
-        for i in range(0, len(word), _ROWS):
-            part = "".join(map(self._words.__getitem__, word[i : i + _ROWS].tolist()))
-            yield part if i + _ROWS < len(word) else part[:-1]
+        words = list(map(self._words.__getitem__, word.tolist()))
+        ends = np.cumsum(self.n_a + self.n_b).tolist()
+        return ["".join(words[s:e])[:-1] for s, e in zip([0, *ends], ends)]
 
 
-def _sha256(parts: Iterator[str]) -> str:
-    h, some = hashlib.sha256(), False
-    for p in parts:
-        h.update(p.encode())
-        some = True
-    return h.hexdigest() if some else ""
-
-
-def _some(texts: Iterator[str | None], limit: int = _BATCH) -> Iterator[list[str | None]]:
+def _some(texts: list[str], limit: int = _BATCH) -> Iterator[list[str]]:
     """Consecutive texts of about ``limit`` characters, or one longer text."""
     out, size = [], 0
     for t in texts:
-        n = len(t or "")
-        if out and (size + n > limit or len(out) >= 4096):
+        if out and size + len(t) > limit:
             yield out
             out, size = [], 0
         out.append(t)
-        size += n
+        size += len(t)
     if out:
         yield out
 
@@ -254,17 +276,13 @@ def token_links(docs: DataFrame, a_path: str, b_path: str, groups: bool = False)
     def rows(it):
         enc = Encoders.of(a_path, b_path)
         for batch in it:
-            ids, at = batch.column(0).to_pylist(), 0
-            for texts in _some(texts_of(batch.column(1))):
-                x = Alignment(enc, enc.encode(texts))
-                first_a, first_b = np.cumsum(x.n_a) - x.n_a, np.cumsum(x.n_b) - x.n_b
+            for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+                a, b = enc.encode_text(text)
+                x = Alignment(enc, a, np.array([len(a)]), b, np.array([len(b)]))
                 for i, j, v in (x.group_links() if groups else x.overlap_links()):
-                    doc = x.doc_a[i]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[at + d] for d in doc.tolist()], pa.int64()), pa.array(i - first_a[doc]), pa.array(x.a[i].astype(np.int32)),
-                         pa.array(j - first_b[doc]), pa.array(x.b[j].astype(np.int32)), pa.array(v.astype(np.int32))],
+                        [pa.array([doc] * len(i), pa.int64()), pa.array(i), pa.array(x.a[i].astype(np.int32)), pa.array(j), pa.array(x.b[j].astype(np.int32)), pa.array(v.astype(np.int32))],
                         names=["doc_id", "a_pos", "a_id", "b_pos", "b_id", "n_bytes"])
-                at += len(texts)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, _LINKS)
 
@@ -277,6 +295,74 @@ _CHUNK_DDL = ("chunk long, doc_id long, n_a long, n_b long, n_groups long, n_lin
 _DOCUMENT = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]
 
 
+class Chunk:
+    """Some documents as rows of different pieces."""
+
+    def __init__(self, enc: Encoders):
+        self.enc, self.number, self.ids, self.rows, self.size = enc, {}, [], [], 0
+
+    def add(self, doc_id: int | None, text: str | None) -> None:
+        number, row = self.number, [np.empty(0, np.int64)]
+        for pieces in self.enc.pieces(text):
+            row.append(np.array([number.setdefault(p, len(number)) for p in pieces], np.int64))
+        self.ids.append(doc_id)
+        self.rows.append(np.concatenate(row))
+        self.size += len(text or "")
+
+    def _aligned(self):
+        """Per piece: whether it is spelled, its counts of A and B tokens and of
+        groups, its groups as text; and the matrix of pieces by id pairs."""
+        ok, counts, spelled, of, pair, first = [np.empty(0, bool)], [], [], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        for part in _some(list(self.number)):
+            spells, *tokens = self.enc.encode(part)
+            ok.append(spells)
+            x = Alignment(self.enc, *tokens)
+            counts.append(np.stack([x.n_a, x.n_b, x.n_groups()]))
+            spelled += x.spelled()
+            for i, j, _ in x.overlap_links():
+                of.append(first + x.doc_a[i])
+                pair.append(x.a[i] << 32 | x.b[j])
+            first += len(part)
+        pairs, col = np.unique(np.concatenate(pair), return_inverse=True)
+        of = np.concatenate(of)
+        links = Csr(np.searchsorted(of, np.arange(first + 1)), col, np.ones(len(col), np.int64), len(pairs))
+        return np.concatenate(ok), np.concatenate([np.zeros((3, 0), np.int64), *counts], axis=1), spelled, links, pairs
+
+    def finished(self, chunk: int, keep_groups: bool) -> Iterator[tuple]:
+        """The rows of the written table."""
+        ok, counts, spelled, links, pairs = self._aligned()
+        rows = [r if ok[r].all() else r[:0] for r in self.rows]
+        held = [np.unique(r, return_counts=True) for r in rows]
+        none = np.empty(0, np.int64)
+        docs = Csr(np.append(0, np.cumsum([len(c) for c, _ in held])), np.concatenate([none, *(c for c, _ in held)]), np.concatenate([none, *(n for _, n in held)]), len(ok))
+        n_a, n_b, n_groups, n_links = (docs.times(v) for v in (*counts, np.diff(links.start)))
+        total, d = np.zeros(len(pairs), np.int64), 0
+        at, times = [none], [none]  # of document d, so far
+
+        def row():
+            r = rows[d].tolist()
+            digest = hashlib.sha256()
+            for s in range(0, len(r), _ROWS):
+                digest.update((";" * (s > 0) + ";".join([spelled[i] for i in r[s : s + _ROWS]])).encode())
+            return (chunk, self.ids[d], int(n_a[d]), int(n_b[d]), int(n_groups[d]), int(n_links[d]), ";".join([spelled[i] for i in r]) if keep_groups else None,
+                    digest.hexdigest() if r else "", np.concatenate(at), np.concatenate(times), None, None, None)
+
+        for i, j, n in gustavson(docs, links):
+            np.add.at(total, j, n)
+            edge = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+            for s, e in zip(edge.tolist(), [*edge[1:].tolist(), len(i)]):
+                while d < i[s]:
+                    yield row()
+                    d, at, times = d + 1, [none], [none]
+                at.append(j[s:e])
+                times.append(n[s:e])
+        while d < len(rows):
+            yield row()
+            d, at, times = d + 1, [none], [none]
+        for s in range(0, len(pairs), _LIST):
+            yield (chunk, *[None] * 9, s, pairs[s : s + _LIST], total[s : s + _LIST])
+
+
 def _chunks(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int, keep_groups: bool) -> DataFrame:
     """Rows of two kinds. Of a document: its counts and its row of the matrix of
     documents by id pairs (``at``, ``times``). Of a chunk: its different pairs
@@ -284,44 +370,16 @@ def _chunks(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int, keep_gr
 
     def rows(it):
         enc = Encoders.of(a_path, b_path)
-        chunk = TaskContext.get().partitionId() << 32
-        held, size = [], 0
+        number = TaskContext.get().partitionId() << 32
+        chunk = Chunk(enc)
         for batch in it:
-            ids, at = batch.column(0).to_pylist(), 0
-            for texts in _some(texts_of(batch.column(1))):
-                x = Alignment(enc, enc.encode(texts))
-                of, pair = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-                for i, j, _ in x.overlap_links():
-                    of.append(x.doc_a[i])
-                    pair.append(x.a[i] << 32 | x.b[j])
-                of, pair = np.concatenate(of), np.concatenate(pair)
-                order = np.lexsort((pair, of))
-                of, pair = of[order], pair[order]
-                new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (pair[1:] != pair[:-1]))) if len(of) else np.empty(0, np.int64)
-                times, start = np.diff(np.append(new, len(of))), np.searchsorted(of[new], np.arange(len(texts) + 1))
-                n_links, n_groups = np.bincount(of, minlength=len(texts)), x.n_groups()
-                for d, parts in enumerate(x.spelled()):
-                    text = "".join(parts) if keep_groups else None
-                    sha = _sha256(parts) if text is None else _sha256(iter([text] if text else []))
-                    s = slice(start[d], start[d + 1])
-                    held.append(((ids[at + d], int(x.n_a[d]), int(x.n_b[d]), int(n_groups[d]), int(n_links[d]), text, sha), pair[new][s], times[s]))
-                at += len(texts)
-                size += sum(len(t or "") for t in texts)
-                if size >= chunk_bytes:
-                    yield from emit(chunk, held)
-                    held, size, chunk = [], 0, chunk + 1
-        if held:
-            yield from emit(chunk, held)
-
-    def emit(chunk, held):
-        pairs, where = np.unique(np.concatenate([h[1] for h in held]), return_inverse=True)
-        counts = np.bincount(where, weights=np.concatenate([h[2] for h in held]), minlength=len(pairs)).astype(np.int64)
-        at = 0
-        for own, pair, times in held:
-            yield (chunk, *own, where[at : at + len(pair)], times, None, None, None)
-            at += len(pair)
-        for s in range(0, len(pairs), _LIST):
-            yield (chunk, *[None] * 9, s, pairs[s : s + _LIST], counts[s : s + _LIST])
+            for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+                chunk.add(doc, text)
+                if chunk.size >= chunk_bytes:
+                    yield from chunk.finished(number, keep_groups)
+                    chunk, number = Chunk(enc), number + 1
+        if chunk.ids:
+            yield from chunk.finished(number, keep_groups)
 
     return (docs.select(F.col("doc_id").cast("long"), "text")
             .mapInArrow(lambda it: batches(rows(it), _CHUNK, 200), _CHUNK_DDL))
