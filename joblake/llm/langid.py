@@ -19,8 +19,8 @@ labelled row was given. Letters of which no trigram is known give the language
 with the most training text, score 0. Rows with a null language are not learned
 from. Extra columns are ignored; repeated rows are answered alike.
 
-The filters hold every trigram that passes ``ratio`` and was seen more than
-once. The executors set their bits, and the table grows with the largest
+The filters hold every trigram that passes ``ratio``, however seldom it was seen,
+so a language with little text keeps its own. The executors set their bits, and the table grows with the largest
 language up to ``MAX_WORDS`` words of 64 languages. From there on the filters
 only get fuller, with fewer hashes, and the false positives taken off a score
 account for it.
@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from joblake.llm.hashing import mix
+from joblake.session import drop_scratch, scratch_table as written
 
 MAX_WORDS = 1 << 22
 HASHES = 4
@@ -161,9 +162,10 @@ def learn_languages(train: DataFrame, ratio: float = 0.5) -> LanguageFilters:
             yield pa.RecordBatch.from_arrays([pa.array([names[l]] * len(u), pa.string()), pa.array(u), pa.array(c)], names=["lang", "g", "c"])
 
     train = train.where("lang is not null and text is not null").select("text", "lang")
-    counts = train.mapInArrow(count, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c")).persist()
+    counts = train.mapInArrow(count, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
+    counts = written(counts, "trigrams")
     try:
-        totals = counts.groupBy("lang").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 1).alias("m"))
+        totals = counts.groupBy("lang").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("m"))
         sizes = totals.orderBy("lang").collect()
         if not sizes:
             return LanguageFilters([], np.zeros((1, 1), np.uint64), np.zeros(0), 0)
@@ -185,10 +187,10 @@ def learn_languages(train: DataFrame, ratio: float = 0.5) -> LanguageFilters:
 
         shares = counts.join(totals, "lang").select("lang", "g", "c", (F.col("c") / F.col("n").cast("double")).alias("p"))
         top = shares.groupBy("g").agg(F.max("p").alias("most"))
-        chosen = shares.join(top, "g").where((F.col("p") >= ratio * F.col("most")) & (F.col("c") > 1)).select("lang", "g")
+        chosen = shares.join(top, "g").where(F.col("p") >= ratio * F.col("most")).select("lang", "g")
         rows = chosen.mapInArrow(bits, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
     finally:
-        counts.unpersist()
+        drop_scratch(counts)
     table = np.zeros(n_words * slabs, np.uint64)
     table[rows["w"].to_numpy()] = rows["v"].to_numpy().view(np.uint64)
     table = table.reshape(n_words, slabs)

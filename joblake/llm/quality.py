@@ -8,11 +8,13 @@ Forward-backward gives each line's marginal probability of being good, and the
 mean of the marginals, weighted by line length, is the document's quality. A
 logistic curve over that mean turns it into the probability of label 1.
 
-The field is fitted on a documented, bounded sample: of the ``max_docs`` labels
-with the smallest hash of their document's id, those whose document has at most
-``MAX_LINES`` lines. Only the labels are sampled before the join, so the join
-broadcasts at most ``max_docs`` rows and no text is moved. A document's label is the label of all its lines. Scoring covers every line of
-every document.
+The field is fitted on a documented, bounded sample: the ``max_docs`` labels with
+the smallest hash of their document's id, and of a document with more than
+``run_lines`` lines one run of so many, its place by a hash of the text. So the
+sample has at most ``max_docs * run_lines`` lines, and no document is left out for
+its size. Only the labels are sampled before the join, so the join broadcasts at
+most ``max_docs`` rows and no text is moved. A document's label is the label of
+all its lines. Scoring covers every line of every document.
 
 Lines are ``text`` split at newlines. Null and empty texts have one empty line
 and are scored like any other. Without both labels in the sample every score
@@ -22,6 +24,7 @@ alike; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +33,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from joblake.llm.hashing import chunks, hash_words, mix
 
-MAX_LINES = 2000
 _OWN = 14
 N_FEATURES = 3 * _OWN + 3
 _CLASS = np.zeros((256,), np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 usual punctuation, 5 other symbol, 6 not ASCII
@@ -179,7 +181,7 @@ def fit_field(x: np.ndarray, size: np.ndarray, off: np.ndarray, label: np.ndarra
     return field
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 6000) -> LineField:
+def fit_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, run_lines: int = 200) -> LineField:
     """``docs(doc_id, text)`` and ``labels(doc_id, label)`` with label 0 or 1."""
 
     def features(it):
@@ -189,14 +191,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 6000) -> Lin
             for part in chunks(batch.column(0).to_pylist()):
                 x, size, off = line_features(part)
                 for i in range(len(part)):
-                    s = slice(off[i], off[i + 1])
+                    lines = int(off[i + 1] - off[i])
+                    first = off[i] + (zlib.crc32(part[i]) % (lines - run_lines + 1) if lines > run_lines else 0)
+                    s = slice(first, first + min(lines, run_lines))
                     yield pa.RecordBatch.from_arrays([pa.array([x[s].astype(np.float32).tobytes()]), pa.array([size[s].tobytes()]), pa.array([int(label[at + i])], pa.int32())], names=["x", "size", "label"])
                 at += len(part)
 
     chosen = (labels.where(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_docs))
-    short = F.length("text") - F.length(F.translate("text", "\n", "")) < MAX_LINES
-    sample = docs.where(F.col("text").isNotNull() & short).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    sample = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
     rows = sample.mapInArrow(features, "x binary, size binary, label int").toPandas()
     if not len(rows):
         return fit_field(np.zeros((0, N_FEATURES)), np.zeros(0), np.zeros(1, int), np.zeros(0))

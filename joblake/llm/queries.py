@@ -35,8 +35,8 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(4) == 2)
-    model = langid.learn_languages(docs.where("not coalesce(held_out, false)"))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(fold(4) == 2, F.lit(False)))
+    model = langid.learn_languages(docs.where(fold(4) != 2))  # a document without an id is in no fold
     return langid.identify_languages(docs, model, ["doc_id", "held_out"])
 
 
@@ -58,7 +58,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where((fold(5) != 0) & F.col("quality").isNotNull())
     model = quality.fit_quality(docs, labels.select("doc_id", F.col("quality").alias("label")))
-    scored = quality.score_quality(docs, model, ["doc_id", (fold(5) == 0).alias("held_out")])
+    scored = quality.score_quality(docs, model, ["doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out")])
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 

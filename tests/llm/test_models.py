@@ -44,6 +44,58 @@ def test_filters_return_every_language_of_a_gram(spark, make_docs):
     assert langid.learn_languages(train.limit(0)).identify(["abc"])[0] == ["und"]
 
 
+def test_a_language_of_one_short_text_keeps_its_trigrams(spark, make_docs):
+    m = langid.learn_languages(make_docs(["quick brown fox jumped", "schnell und wild"], langs=["en", "de"]))
+    lang, score = m.identify(["schnell und wild", "quick brown fox jumped", "wild schnell", "fox"])
+    assert lang == ["de", "en", "de", "en"] and min(score) > 0.9
+
+
+def plain_decision(train, texts, ratio):
+    """Languages by counting trigrams in sets, without any filter."""
+    count = {}
+    for t, l in train:
+        for g in plain_trigrams(t):
+            count.setdefault(l, {}).setdefault(g, 0)
+            count[l][g] += 1
+    share = {l: {g: n / sum(c.values()) for g, n in c.items()} for l, c in count.items()}
+    most = {}
+    for c in share.values():
+        for g, p in c.items():
+            most[g] = max(most.get(g, 0), p)
+    own = {l: {g for g, p in c.items() if p >= ratio * most[g]} for l, c in share.items()}
+    return [{l: sum(g in s for g in plain_trigrams(t)) for l, s in own.items()} for t in texts]
+
+
+def test_decision_equals_counting_without_filters(spark, make_docs):
+    rng = random.Random(12)
+    words = {l: ["".join(rng.choice(a) for _ in range(rng.randrange(2, 7))) for _ in range(60)] for l, a in (("aa", "abcde"), ("bb", "bcdef"), ("cc", "éñaio"))}
+    text = lambda l, n: " ".join(rng.choice(words[l]) for _ in range(n))
+    train = [(text(l, 40), l) for l in words for _ in range(15)]
+    model = langid.learn_languages(make_docs([t for t, _ in train], langs=[l for _, l in train]))
+    asked = [text(l, rng.randrange(1, 12)) for l in words for _ in range(40)]
+    lang, score = model.identify(asked)
+    for t, l, s, scores in zip(asked, lang, score, plain_decision(train, asked, 0.5)):
+        assert scores[l] == max(scores.values()) or abs(s - max(scores.values()) / len(plain_trigrams(t))) < 0.05
+        assert abs(s - max(scores.values()) / len(plain_trigrams(t))) < 0.05
+
+
+def test_documents_without_an_id_are_in_no_fold(spark, tmp_path, make_docs):
+    docs = make_docs(["the cat and the dog", "der hund und die katze", "the cat"] * 4, ids=[None if i % 3 == 2 else i for i in range(12)], langs=["en", "de", "xx"] * 4)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = QUERIES["op3_language_id"](spark, str(tmp_path)).collect()
+    assert all(r.held_out is not None for r in got) and "xx" not in {r.lang_pred for r in got}
+    assert all(r.held_out is not None for r in QUERIES["op6_quality"](spark, str(tmp_path)).collect())
+
+
+def test_quality_learns_from_long_documents_too(spark, make_docs):
+    good, bad = "\n".join(["A calm line of plain words, well made."] * 3000), "\n".join(["$$ ## 11 !! %% @@ ^^ 99"] * 3000)
+    docs = make_docs([good, bad] * 5)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(10)], "doc_id long, label int")
+    scored = {r.doc_id: r.score for r in quality.score_quality(docs, quality.fit_quality(docs, labels)).collect()}
+    assert all((s > 0.5) == (i % 2 == 0) for i, s in scored.items())
+
+
 def test_language_held_out_accuracy(spark):
     got = QUERIES["op3_language_id"](spark, SF)
     lang = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
