@@ -15,7 +15,9 @@ Sources of equal share have the same release times and deadlines, so they run
 in turn, by name: the ``q``-th block of such a class of ``m`` sources is block
 ``q div m`` of its source ``q mod m``. The schedule is therefore stepped with
 one counter per distinct share, however many sources there are, and the slots
-are gathered in short lists of ``_STEP``.
+are gathered in short lists of ``_STEP``. A common divisor of all shares is taken
+out first, which changes no slot: the schedule repeats that much sooner. The
+schedule is broadcast up to ``_SLOTS`` slots and joined beyond.
 
 Every document keeps a place: when a source runs out, its slots stay empty and
 the others keep their order. ``in_mix`` marks the blocks before the first
@@ -33,7 +35,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from joblake.session import scratch_table as written
+
 _STEP = 512
+_SLOTS = 1 << 20
 _DIGITS = 3
 
 
@@ -65,6 +70,14 @@ def schedule(shares: DataFrame) -> DataFrame:
             .withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("slot")).cast("long") - 1))
 
 
+def reduced(shares: DataFrame) -> DataFrame:
+    """The same weights in the smallest integers."""
+    divisor = shares.where("share > 0").groupBy("share").agg(F.count(F.lit(1))).agg(F.collect_list(F.col("share").cast("long")).alias("s"))  # one row
+    gcd = F.expr("""aggregate(s, 0L, (a, b) -> aggregate(sequence(1, 96), named_struct('a', a, 'b', b),
+        (x, i) -> if(x.b = 0, x, named_struct('a', x.b, 'b', x.a % x.b))).a)""")
+    return shares.crossJoin(F.broadcast(divisor.select(F.greatest(gcd, F.lit(1)).alias("gcd")))).select("source", F.expr("cast(share as long) div gcd").alias("share"))
+
+
 def mix_sources(docs: DataFrame, shares: DataFrame | None = None, block_rows: int = 16) -> DataFrame:
     """``docs(doc_id, text, source, ...)`` with ``block`` (number within its
     source), ``slot`` (its block's place in the mix), ``place`` (within the
@@ -91,9 +104,10 @@ def mix_sources(docs: DataFrame, shares: DataFrame | None = None, block_rows: in
     ranked = (rows.join(offset, ["s", "p"]).withColumn("r", rank)
               .withColumn("block", F.expr(f"r div {block_rows}")).withColumn("place", (F.col("r") % block_rows).cast("int")))
     # one row per source, eight bytes per slot; and one row
-    plan = (schedule(shares).select(key, "share", "period", F.struct("k", "slot").alias("x"))
+    slots = written(schedule(reduced(shares)), "schedule")
+    plan = (slots.select(key, "share", "period", F.struct("k", "slot").alias("x"))
             .groupBy("s", "share", "period").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["slot"]).alias("at")))
-    placed = ranked.join(F.broadcast(plan), "s")
+    placed = ranked.join(F.broadcast(plan) if slots.count() <= _SLOTS else plan, "s")
     out = placed.withColumn("slot", F.expr("(block div share) * period + at[cast(block % share as int)]")).crossJoin(F.broadcast(end))
     return out.select(*[F.col(f"d.`{c}`") for c in names], "block", "slot", "place", (F.col("slot") < F.col("end")).alias("in_mix"))
 
