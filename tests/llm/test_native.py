@@ -3,6 +3,7 @@ checked against plain Python and against their SQL."""
 
 import heapq
 import random
+import re
 from fractions import Fraction
 
 import duckdb
@@ -27,8 +28,8 @@ def in_duck(df, sql, **tables):
 def brute_lines(rows, min_words):
     """Every pair of places, extended line by line."""
     docs = sorted({(i is None, i if i is not None else 0, t) for i, t in rows if t is not None})
-    seqs = [[(p, l) for p, l in enumerate(t.split("\n")) if l.strip(" ")] for _, _, t in docs]
-    words = lambda l: l.count(" ") + 1
+    seqs = [[(p, l) for p, l in enumerate(t.split("\n")) if re.search(r"[^\x20\x09-\x0D]", l)] for _, _, t in docs]
+    words = lambda l: len(re.findall(r"[^\x20\x09-\x0D]+", l))
     gone = [set() for _ in docs]
     for a in range(len(docs)):
         for b in range(a + 1):
@@ -50,7 +51,7 @@ def brute_lines(rows, min_words):
 @pytest.mark.parametrize("seed", range(3))
 def test_repeated_lines(spark, make_docs, seed):
     rng = random.Random(seed)
-    pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([1, 2, 5, 12]))) for _ in range(14)] + ["", "  "]
+    pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([1, 2, 5, 12]))) for _ in range(13)] + ["", "  ", "\t \r", "a\tb\tc\td\te\x0bf", "    x"]
     runs = [[rng.choice(pool) for _ in range(rng.randrange(2, 7))] for _ in range(4)]
     rows = []
     for i in range(25):
@@ -76,6 +77,22 @@ def test_line_dedup_empty_and_long(spark, make_docs):
     assert out == {0: long, 1: "x y"}
 
 
+def test_tables_and_indents_count_words(spark, make_docs):
+    tab = "\n".join("\t".join(f"c{r}{c}" for c in range(6)) for r in range(4))  # 24 words, hardly a blank
+    code = "\n".join(" " * 12 + f"x{i}" for i in range(9))  # nine words behind many blanks
+    docs = make_docs(["one\n" + tab, "two\n" + tab, "three\n" + code, "four\n" + code])
+    got = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs, 20).collect()}
+    assert got == {0: "one\n" + tab, 1: "two", 2: "three\n" + code, 3: "four\n" + code}
+
+
+def test_many_runs_in_a_very_long_text(spark, make_docs):
+    block = ["alpha beta gamma delta", "epsilon zeta eta theta"]
+    long = [x for i in range(50000) for x in (*block, f"only {i}")]
+    docs = make_docs(["\n".join(block), "\n".join(long)])
+    got = {r.doc_id: (r.text, r.n_removed, len(r.removed_runs or [])) for r in line_dedup.drop_repeated_lines(docs, 8).collect()}
+    assert got[0][1] == 0 and got[1] == ("\n".join(f"only {i}" for i in range(50000)), 100000, 50000)
+
+
 def conversations(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
@@ -173,6 +190,26 @@ def test_schedule_of_many_sources(spark, make_docs):
         assert got == [(i, f"s{i % n:04d}", True) for i in range(2 * n)]
 
 
+def test_common_divisor_changes_no_slot(spark, make_docs):
+    shares = [("a", 12), ("b", 6), ("c", 18), (None, 6)]
+    df = spark.createDataFrame(shares, "source string, share long")
+    small = mixing.reduced(df)
+    assert sorted((r.source or "", r.share) for r in small.collect()) == [("", 1), ("a", 2), ("b", 1), ("c", 3)]
+    whole, part = (sorted((r.slot, r.source or "") for r in mixing.schedule(x).collect()) for x in (df, small))
+    assert whole == [(s + 7 * i, x) for i in range(6) for s, x in part]
+    assert mixing.reduced(df.limit(0)).count() == 0
+    n = 20000  # equal sources: one slot each
+    docs = make_docs(["x"] * n, sources=[f"s{i:05d}" for i in range(n)])
+    assert mixing.mix_sources(docs, block_rows=1).where("slot <> cast(substring(source, 2) as int)").count() == 0
+
+
+def test_a_long_schedule_is_joined(spark, make_docs, monkeypatch):
+    docs = make_docs(["x"] * 200, sources=[f"s{i % 7}" for i in range(200)])
+    want = sorted(map(tuple, mixing.mix_sources(docs, block_rows=4).select("doc_id", "slot", "place").collect()))
+    monkeypatch.setattr(mixing, "_SLOTS", 0)
+    assert sorted(map(tuple, mixing.mix_sources(docs, block_rows=4).select("doc_id", "slot", "place").collect())) == want
+
+
 def test_schedule_of_many_shares_is_earliest_deadline_first(spark):
     rng = random.Random(11)
     shares = [rng.randrange(1, 65) for _ in range(600)]
