@@ -20,7 +20,10 @@ orders' prefixes are intersected where the pair's sets meet.
 * Within a prefix shingle's documents, all are first compared with one of them
   (a star, linear in the group). After the components of those links are known,
   only pairs of different components remain, which drops the pairs inside a
-  family of near copies without losing a component.
+  family of near copies without losing a component. Two near copies share many
+  prefix shingles; of shingles that the very same classes share (compared by two
+  64-bit hashes and their number) only one is joined, and a pair comes out at the
+  first shingle it shares, as far as the ``FIRST`` first shingles of both show it.
 * Before any whole sets are moved, a pair must pass the size bound and parity
   sketches, of 256 bits and, for larger sets, of 2,048 and 16,384: each shingle
   flips one bit, so the sketches of two sets differ in at most as many bits as
@@ -36,7 +39,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from joblake.llm.common import batches, bloom_bits, bloom_has, has_bit
 from joblake.llm.hashing import chunks, mix, shingle_sets, texts_of
@@ -46,6 +49,7 @@ from joblake.session import drop_scratch, scratch_table as written
 MAX_FREQUENT = 1 << 18
 BUFFER = 1 << 21
 BLOOM_BITS = 1 << 24
+FIRST = 32
 # set size from which a class has a sketch of so many bits
 SKETCHES = {"wide": (400, 2048), "widest": (1600, 16384)}
 ORDER_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
@@ -226,10 +230,9 @@ def _may_link(threshold: int):
 
 def ngram_jaccard_classes(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """``docs(doc_id, text, ...)`` to one row per row of ``docs``: ``(key,
-    doc_id, n_shingles, component_id, class_id, n_links, leader)``. ``threshold`` is the least
+    doc_id, n_shingles, component_id, class_id, leader)``. ``threshold`` is the least
     Jaccard similarity in percent, ``class_id`` the smallest id of the
-    documents with the same set; ``n_links`` counts the verified links to other
-    classes that the components rest on. ``key`` hashes id and text; ``leader`` is the key
+    documents with the same set. ``key`` hashes id and text; ``leader`` is the key
     of the component's document with the smallest id."""
     orders = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k))
     sets = written(document_sets(docs, k, threshold, orders), "doc-sets")
@@ -252,23 +255,30 @@ def ngram_jaccard_classes(docs: DataFrame, k: int = 5, threshold: int = 80) -> D
     label = components(first)
     placed = (rows.drop("pivot").join(label.withColumnRenamed("node", "cls"), "cls", "left")
               .select("token", "cls", F.coalesce("label", "cls").alias("label")))
-    open_ = placed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    rest_rows = written(placed.join(open_, "token", "left_semi").join(small, "cls"), "open")
-    cross = (rest_rows.alias("a").join(rest_rows.alias("b"), F.expr("a.token = b.token and a.cls < b.cls and a.label <> b.label") & _may_link(threshold))
+    # of the shingles that the same classes share, one
+    open_ = (placed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c"),
+                                         *[F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"x{i}") for i in range(2)])
+             .where("lo <> hi").groupBy("c", "x0", "x1").agg(F.min("token").alias("token")).select("token"))
+    left = written(placed.join(open_, "token", "left_semi"), "open-classes")
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("token"))
+    first_of = left.select("cls", "token").withColumn("r", place).where(F.col("r") <= FIRST).groupBy("cls").agg(F.collect_list("token").alias("low"))
+    rest_rows = written(left.join(small.join(first_of, "cls"), "cls"), "open")
+    # a smaller shingle in both lists is where the pair came out
+    meet = (F.expr("a.token = b.token and a.cls < b.cls and a.label <> b.label") & _may_link(threshold)
+            & F.expr("not arrays_overlap(filter(a.low, x -> x < a.token), b.low)"))
+    cross = (rest_rows.alias("a").join(rest_rows.alias("b"), meet)
              .select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct())
     links = first.unionByName(_verified(cross, docs, reps, wide, orders, k, threshold))
     label = written(components(links), "components").withColumnRenamed("node", "cls")
-    drop_scratch(rows, rest_rows)
-    degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
+    drop_scratch(rows, left, rest_rows)
 
-    member = reps.select("cls", "id", "key").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls")).join(degree, "cls", "left")
+    member = reps.select("cls", "id", "key").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     lowest = member.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("low"))
-    member = member.join(lowest, "label").select("cls", F.col("low.id").alias("component_id"), F.col("low.key").alias("leader"), F.col("id").alias("class_id"), "n_links")
+    member = member.join(lowest, "label").select("cls", F.col("low.id").alias("component_id"), F.col("low.key").alias("leader"), F.col("id").alias("class_id"))
     own = sets.select("key", "doc_id", "n", "cls").join(member, "cls", "left")
     some = F.col("n") > 0
     return own.select("key", "doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-                      F.when(some, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                      F.when(some, F.col("leader")).otherwise(F.col("key")).alias("leader"))
+                      F.when(some, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(some, F.col("leader")).otherwise(F.col("key")).alias("leader"))
 
 
 def one_per_group(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
@@ -277,4 +287,4 @@ def one_per_group(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame
     groups = ngram_jaccard_classes(docs.select("doc_id", "text"), k, threshold)
     lead = groups.where("key = leader").select("key").distinct()
     rows = docs.select(_row_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
-    return rows.join(lead, "key", "left_semi").dropDuplicates(["key"]).select("d.*")
+    return rows.join(lead, "key", "left_semi").withColumn("id", F.col("d.doc_id")).dropDuplicates(["key", "id"]).select("d.*")
