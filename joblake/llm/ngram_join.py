@@ -263,6 +263,7 @@ def ngram_jaccard_classes(docs: DataFrame, k: int = 5, threshold: int = 80) -> D
     place = F.row_number().over(Window.partitionBy("cls").orderBy("token"))
     first_of = left.select("cls", "token").withColumn("r", place).where(F.col("r") <= FIRST).groupBy("cls").agg(F.collect_list("token").alias("low"))
     rest_rows = written(left.join(small.join(first_of, "cls"), "cls"), "open")
+    drop_scratch(rows, left)
     # a smaller shingle in both lists is where the pair came out
     meet = (F.expr("a.token = b.token and a.cls < b.cls and a.label <> b.label") & _may_link(threshold)
             & F.expr("not arrays_overlap(filter(a.low, x -> x < a.token), b.low)"))
@@ -270,7 +271,7 @@ def ngram_jaccard_classes(docs: DataFrame, k: int = 5, threshold: int = 80) -> D
              .select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct())
     links = first.unionByName(_verified(cross, docs, reps, wide, orders, k, threshold))
     label = written(components(links), "components").withColumnRenamed("node", "cls")
-    drop_scratch(rows, left, rest_rows)
+    drop_scratch(rest_rows)
 
     member = reps.select("cls", "id", "key").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     lowest = member.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("low"))
