@@ -239,12 +239,14 @@ def ngram_jaccard_classes(docs: DataFrame, k: int = 5, threshold: int = 80) -> D
     rest = ["n", "s0", "s1", "s2", "s3"]
     reps = written(sets.where("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", *rest)).alias("r"))
                    .select("cls", F.col("r.doc_id").alias("id"), "r.key", *[f"r.{c}" for c in rest]), "classes")
-    wide = sets.where("wide is not null").select("cls", *SKETCHES).dropDuplicates(["cls"])
+    wide = written(sets.where("wide is not null").select("cls", *SKETCHES).dropDuplicates(["cls"]), "sketches")
+    member_of = written(sets.select("key", "doc_id", "n", "cls"), "members")
     small = reps.select("cls", "n", "s0", "s1", "s2", "s3")
 
     spread = sets.select(F.explode("prefix").alias("token"), "cls").repartition("token")
     shared = spread.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other")).where("pivot <> other").drop("other")
     rows = written(spread.join(shared, "token").distinct(), "shared")
+    drop_scratch(sets)
 
     star = rows.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
     a, b = small.alias("a"), small.alias("b")
@@ -262,21 +264,22 @@ def ngram_jaccard_classes(docs: DataFrame, k: int = 5, threshold: int = 80) -> D
     left = written(placed.join(open_, "token", "left_semi"), "open-classes")
     place = F.row_number().over(Window.partitionBy("cls").orderBy("token"))
     first_of = left.select("cls", "token").withColumn("r", place).where(F.col("r") <= FIRST).groupBy("cls").agg(F.collect_list("token").alias("low"))
-    rest_rows = written(left.join(small.join(first_of, "cls"), "cls"), "open")
+    rest_rows = written(left.join(small.join(first_of, "cls"), "cls").withColumn("low", F.expr("filter(low, x -> x < token)")), "open")
     drop_scratch(rows, left)
-    # a smaller shingle in both lists is where the pair came out
+    # a smaller shingle in both lists is where the pair came out; the condition treats
+    # both sides alike, so that they are one shuffle
     meet = (F.expr("a.token = b.token and a.cls < b.cls and a.label <> b.label") & _may_link(threshold)
-            & F.expr("not arrays_overlap(filter(a.low, x -> x < a.token), b.low)"))
+            & F.expr("not arrays_overlap(a.low, b.low)"))
     cross = (rest_rows.alias("a").join(rest_rows.alias("b"), meet)
              .select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct())
     links = first.unionByName(_verified(cross, docs, reps, wide, orders, k, threshold))
     label = written(components(links), "components").withColumnRenamed("node", "cls")
-    drop_scratch(rest_rows)
+    drop_scratch(rest_rows, wide)
 
     member = reps.select("cls", "id", "key").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     lowest = member.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("low"))
     member = member.join(lowest, "label").select("cls", F.col("low.id").alias("component_id"), F.col("low.key").alias("leader"), F.col("id").alias("class_id"))
-    own = sets.select("key", "doc_id", "n", "cls").join(member, "cls", "left")
+    own = member_of.join(member, "cls", "left")
     some = F.col("n") > 0
     return own.select("key", "doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
                       F.when(some, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(some, F.col("leader")).otherwise(F.col("key")).alias("leader"))
