@@ -54,6 +54,12 @@ def keyword_market(jobs: DataFrame, keywords: DataFrame, job_keywords: DataFrame
                     F.avg("t3_qualification").alias("_qual"),
                     F.avg(yearly).alias("_salary"))
                .where(F.col("raw_count") >= min_jobs))
+    return finish_market(grouped, global_salary)
+
+
+def finish_market(grouped: DataFrame, global_salary) -> DataFrame:
+    """Rounded means and the priority from one row per keyword with the plain
+    means ``_fit``, ``_qual`` and ``_salary``."""
     # the fallback is bound once to a column, so the subquery is planned once
     grouped = grouped.withColumn("_sal", F.coalesce(F.col("_salary"), global_salary))
     salary = F.col("_sal")

@@ -8,8 +8,10 @@ from joblake.functions.scores import age_label
 from joblake.operators import analytics as A
 from joblake.operators.filters import filter_canonical, job_predicate
 from joblake.operators.joins import keyword_jobs
+from joblake.operators.market_state import KeptMarket
 from joblake.plans.bindings import AS_OF_DATE
 from joblake.plans.registry import register
+from joblake.session import scratch_path
 
 _LEVEL_SQL = ("CASE user_level WHEN 'Unskilled' THEN 5 WHEN 'Novice' THEN 4 WHEN 'Intermediate' THEN 3 "
               "WHEN 'Advanced' THEN 2 WHEN 'Expert' THEN 1 ELSE 5 END")
@@ -54,6 +56,20 @@ def keyword_market(T):
     return A.keyword_market(T.jobs, T.keywords, T.job_keywords)
 
 
+@register("keyword_market_kept", _market_sql(_ACTIVE_SCOPE, "k.is_candidate = 0"))
+def keyword_market_kept(T):
+    """The same market from kept sums: all listings as they come in, active; then
+    a batch that takes those to their present status; then both folded."""
+    state = KeptMarket(T.jobs.sparkSession, scratch_path(T.jobs.sparkSession, "market"))
+    incoming = T.jobs.withColumn("status", F.lit("active"))
+    state.apply(0, incoming.where(F.lit(False)), incoming, T.job_keywords)
+    moved = ~F.col("now").eqNullSafe("active")
+    state.apply(1, T.jobs.withColumn("now", F.col("status")).withColumn("status", F.lit("active")).where(moved),
+                T.jobs.withColumn("now", F.col("status")).where(moved), T.job_keywords)
+    state.fold()
+    return state.market(T.keywords)
+
+
 @register("improvement_priority",
           _market_sql(_ALL_SCOPE, "k.name ILIKE '%e%'", min_jobs=5))
 def improvement_priority(T):
