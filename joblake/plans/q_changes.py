@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from joblake.operators import changes as CH
 from joblake.plans.registry import register
+from joblake.session import scratch_path
+from joblake.sources.bucket_store import BucketStore
 
 _NOW = "2001-08-01 12:00:00"
 
@@ -29,23 +31,40 @@ def expire_applications(T):
     return CH.expire_applications(T.applications, "2001-08-01").select("application_id", "state")
 
 
-@register("update_status", f"""
+_STATUS_SQL = f"""
 WITH ch AS (SELECT job_id, CASE job_id % 20 WHEN 0 THEN 'closed' WHEN 1 THEN 'bogus' ELSE 'bad_fit' END AS status
             FROM b_jobs WHERE job_id % 10 = 0 OR job_id % 20 = 1),
 ok AS (SELECT * FROM ch WHERE status IN ('active', 'applied', 'expired', 'closed', 'bad_listing', 'bad_fit'))
 SELECT j.job_id, coalesce(ok.status, j.status) AS status,
        CASE WHEN ok.status IS NOT NULL THEN TIMESTAMP '{_NOW}' END AS date_updated
 FROM b_jobs j LEFT JOIN ok ON j.job_id = ok.job_id
-""")
-def update_status(T):
-    jobs = T.jobs.select("job_id", "status")
-    ch = jobs.where((F.col("job_id") % 10 == 0) | (F.col("job_id") % 20 == 1)).select(
+"""
+
+
+def _status_changes(jobs):
+    return jobs.where((F.col("job_id") % 10 == 0) | (F.col("job_id") % 20 == 1)).select(
         "job_id", F.when(F.col("job_id") % 20 == 0, "closed").when(F.col("job_id") % 20 == 1, "bogus")
         .otherwise("bad_fit").alias("status"))
-    out, _ = CH.update_status(jobs, ch, _NOW)
+
+
+@register("update_status", _STATUS_SQL)
+def update_status(T):
+    jobs = T.jobs.select("job_id", "status")
+    out, _ = CH.update_status(jobs, _status_changes(jobs), _NOW)
     return out.select("job_id", "status", "date_updated")
 
 
+@register("update_status_stored", _STATUS_SQL)
+def update_status_stored(T):
+    """The same change on a stored table: only the buckets touched are rewritten."""
+    jobs = T.jobs.select("job_id", "status", F.lit(None).cast("timestamp").alias("date_updated"))
+    store = BucketStore(jobs.sparkSession, scratch_path(jobs.sparkSession, "listings"), "job_id")
+    store.create(jobs)
+    changes = _status_changes(jobs)
+    store.update(changes, lambda rows: CH.update_status(rows, changes, _NOW)[0])
+    return store.read().select("job_id", "status", "date_updated")
+
+
 @register("write_tier2", """
 SELECT j.job_id, coalesce(s.t2_score, j.t2_score) AS t2_score, s.t2_explanation
 FROM b_jobs j LEFT JOIN (
