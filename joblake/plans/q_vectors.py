@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from joblake.operators import graph_index as GI
+from joblake.operators import latent as LT
 from joblake.operators import neighbour_graph as NG
 from joblake.operators import vectors as V
 from joblake.plans.registry import register
@@ -102,15 +103,30 @@ def embed_jobs(T):
     return V.embed(model, docs).select("job_id", "vec")
 
 
+def _profiles(T):
+    return T.conversations.groupBy(F.col("conv_id").alias("profile_id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]),
+                     "\n").alias("text"))
+
+
 @register("embed_profiles")
 def embed_profiles(T):
     """Profiles embedded with the model fitted on the listings: one space."""
-    docs = T.documents.select("text")
-    model = V.text_features().fit(docs)
-    prof = T.conversations.groupBy(F.col("conv_id").alias("profile_id")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]),
-                     "\n").alias("text"))
-    return V.embed(model, prof).select("profile_id", "vec")
+    model = V.text_features().fit(T.documents.select("text"))
+    return V.embed(model, _profiles(T)).select("profile_id", "vec")
+
+
+@register("embed_jobs_learned")
+def embed_jobs_learned(T):
+    """Dense unit vectors of every document in the subspace learned from all of them."""
+    docs = T.documents.select(F.col("doc_id").alias("job_id"), "text")
+    return LT.fit_latent(docs).embed(docs).select("job_id", "vec")
+
+
+@register("embed_profiles_learned")
+def embed_profiles_learned(T):
+    """Profiles in the subspace learned from the listings."""
+    return LT.fit_latent(T.documents.select("text")).embed(_profiles(T)).select("profile_id", "vec")
 
 
 @register("embed_short")
