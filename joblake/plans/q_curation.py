@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from joblake.operators import clustering as CL
 from joblake.operators import curation as C
+from joblake.operators import neighbour_graph as NG
 from joblake.operators import vectors as V
 from joblake.plans.registry import register
 
@@ -72,6 +74,12 @@ def classify_candidates(T):
     return _plan(T)
 
 
+@register("classify_by_clusters")
+def classify_by_clusters(T):
+    """Verdicts of every candidate from constrained clusters of the neighbour graph."""
+    return CL.classify_by_clusters(NG.knn_keywords_descent(T.entries, k=8), T.entries, MERGE_AT, DELETE_BELOW)
+
+
 @register("resolve_merge_chains", _RESOLVE_SQL + "SELECT * FROM resolved")
 def resolve_merge_chains(T):
     return C.resolve_merge_chains(_plan(T))
