@@ -8,7 +8,8 @@ ordinary identifiers; when the log-likelihood ratio of the two is at least
 ``markov``.
 
 The models are trained from labelled samples: random strings are the values
-that the base rules find, ordinary identifiers all other tokens. Character
+that the base rules find, ordinary identifiers all other tokens, and to both
+come the labelled strings that the caller hands in. Character
 pairs are counted over all documents in every task and summed by Spark; the
 result is one table of fixed size. Without a single random sample no span is
 added.
@@ -26,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from joblake.llm.hashing import chunks
@@ -45,6 +47,9 @@ _ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=
 _N = len(_ALPHABET) + 1
 _CODE = np.zeros(256, np.int64)  # 0: outside a token
 _CODE[list(_ALPHABET)] = np.arange(1, _N)
+# Classes of characters: upper, lower, digits, the others. A pair seldom seen falls back on its classes.
+_CLASS = np.repeat(np.arange(4), [26, 26, 10, len(_ALPHABET) - 62])
+_PRIOR = 8.0
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -99,8 +104,26 @@ class MarkovModels:
         return float(self.ratio[np.concatenate(([0], c[:-1])), c].sum())
 
 
-def learn_secrets(docs: DataFrame) -> MarkovModels:
-    """``docs(text)``: the two models, from all documents."""
+def conditional(counts: np.ndarray) -> np.ndarray:
+    """Pair counts (row: the character before, 0 for the start) to probabilities.
+    A pair falls back, with the weight of ``_PRIOR`` sightings, on the share of its
+    class after the class before times the character's share of its class, and
+    these on equal shares. So a few numbers in prose already tell that digits are
+    followed by digits, whichever digits they were."""
+    of = np.eye(4)[_CLASS]  # character × class
+    before = np.concatenate([np.eye(5)[:1], np.eye(5)[_CLASS + 1]])  # the start is a class of its own
+    turn = before.T @ counts @ of
+    turn = (turn + 1 / 4) / (turn.sum(1, keepdims=True) + 1)
+    single = counts.sum(0)
+    within = (single + 0.5) / ((single @ of)[_CLASS] + 0.5 * of.sum(0)[_CLASS])
+    back = (before @ turn)[:, _CLASS] * within
+    return (counts + _PRIOR * back) / (counts.sum(1, keepdims=True) + _PRIOR)
+
+
+def learn_secrets(docs: DataFrame, samples: DataFrame | None = None) -> MarkovModels:
+    """``docs(text)``: the two models, from all documents. ``samples(value string,
+    random boolean)`` are further labelled strings, counted in the model that
+    ``random`` names; nulls are left out."""
 
     def count(it):
         total = np.zeros((2, _N * _N), np.int64)
@@ -116,17 +139,25 @@ def learn_secrets(docs: DataFrame) -> MarkovModels:
             at = np.flatnonzero(total[label])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), label)), pa.array(at), pa.array(total[label][at])], names=["label", "pair", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "label long, pair long, n long").groupBy("label", "pair").agg(F.sum("n").alias("n")).toPandas()
+    def count_samples(it):
+        for batch in it:
+            for label in (0, 1):
+                own = batch.filter(pc.equal(batch.column(1), bool(label))).column(0).to_pylist()
+                total = _pairs(b"\n" + b"\n".join(v.encode("utf-8", "surrogatepass") for v in own) + b"\n")
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), label)), pa.array(at), pa.array(total[at])], names=["label", "pair", "n"])
+
+    form = "label long, pair long, n long"
+    counted = docs.select("text").mapInArrow(count, form)
+    if samples is not None:
+        counted = counted.unionByName(samples.select("value", "random").where("value is not null and random is not null").mapInArrow(count_samples, form))
+    rows = counted.groupBy("label", "pair").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros((2, _N * _N))
     n[rows["label"].to_numpy(int), rows["pair"].to_numpy(int)] = np.maximum(rows["n"].to_numpy(float), 0)
     n = n.reshape(2, _N, _N)[:, :, 1:]
     if not n[1].sum():
         return MarkovModels(None)
-    # a character seldom seen after another falls back on how often it is seen at all
-    p = []
-    for m in n:
-        single = (m.sum(0) + 0.5) / (m.sum() + 0.5 * (_N - 1))
-        p.append((m + 8 * single) / (m.sum(1, keepdims=True) + 8))
+    p = [conditional(m) for m in n]
     return MarkovModels(np.concatenate([np.zeros((_N, 1)), np.log(p[1] / p[0])], axis=1))
 
 

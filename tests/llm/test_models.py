@@ -346,6 +346,100 @@ def test_secret_query_on_whole_table(spark):
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and (r.n_markov or r.spans == base)
 
 
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+CLASSES = [ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62], ALPHABET[62:]]
+
+
+def plain_values(text):
+    out = [m[2] for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
+    return out + [m[0] for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20] + [m[0] for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+
+
+def plain_ratio(texts, samples=()):
+    """The log odds of a pair, by dictionaries and loops."""
+    def pairs(s):
+        before = ""
+        for ch in s:
+            yield (before if before in ALPHABET else "", ch)
+            before = ch if ch in ALPHABET else ""
+    n = [{}, {}]
+    def add(label, s, by=1):
+        for a, b in pairs(s):
+            if b in ALPHABET:
+                n[label][a, b] = n[label].get((a, b), 0) + by
+    for t in texts:
+        add(0, t or "")
+        for v in plain_values(t or ""):
+            add(0, v, -1)
+            add(1, v)
+    for v, random_one in samples:
+        add(int(random_one), v)
+    def kind(ch):
+        return next(i for i, c in enumerate(CLASSES) if ch in c)
+    tables = []
+    for m in n:
+        m = {k: max(c, 0) for k, c in m.items()}
+        after, turn, single, whole = {}, {}, {}, {}
+        for (a, b), c in m.items():
+            after[a] = after.get(a, 0) + c
+            single[b] = single.get(b, 0) + c
+            whole[kind(b)] = whole.get(kind(b), 0) + c
+            ka = kind(a) if a else "start"
+            turn[ka, kind(b)] = turn.get((ka, kind(b)), 0) + c
+        p = {}
+        for a in ["", *ALPHABET]:
+            ka = kind(a) if a else "start"
+            of_a = sum(turn.get((ka, j), 0) for j in range(4))
+            for b in ALPHABET:
+                kb = kind(b)
+                back = (turn.get((ka, kb), 0) + 0.25) / (of_a + 1) * (single.get(b, 0) + 0.5) / (whole.get(kb, 0) + 0.5 * len(CLASSES[kb]))
+                p[a, b] = (m.get((a, b), 0) + 8 * back) / (after.get(a, 0) + 8)
+        tables.append(p)
+    return {k: np.log(tables[1][k] / tables[0][k]) for k in tables[0]}
+
+
+def plain_spans(text, ratio):
+    base = base_spans(text or "")
+    out = list(base)
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}", text or ""):
+        if not any(s < m.end() and m.start() < e for s, _, e in base):
+            r = sum(ratio[a, b] for a, b in zip(["", *m[0]], m[0]))
+            if r >= 12 and r >= 0.6 * len(m[0]):
+                out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def names_of(spans):
+    return ",".join(f"{['assign', 'access', 'hex', 'markov'][k]}:{s}:{e}" for s, k, e in spans)
+
+
+def test_added_spans_equal_plain_python(spark, make_docs):
+    rng = random.Random(7)
+    letters = ALPHABET[:62]
+    texts = ["".join(rng.choice(["the ", "reading_of_things ", "ordinary-name ", "and ", "1234 ", "4539578763621486 ", "é", "\n"]) for _ in range(60)) for _ in range(40)]
+    texts += [f"password = {''.join(rng.choices(letters, k=24))} and so" for _ in range(80)]
+    texts += [None, "", "=" * 40, "a" * 50000, ("very_long_identifier " * 3000) + "".join(rng.choices(letters, k=30))]
+    given = [("".join(rng.choices(letters, k=30)), True) for _ in range(5)] + [("SomeGivenOrdinaryName", False), ("ünïcode_name", False)]
+    samples = spark.createDataFrame(given + [(None, True), ("x", None)], "value string, random boolean")
+    unseen = [f"x {''.join(rng.choices(letters, k=rng.randrange(14, 40)))}, y" for _ in range(25)]
+    for more, frame in (((), None), (given, samples)):
+        ratio = plain_ratio(texts, more)
+        model = secrets.learn_secrets(make_docs(texts), frame)
+        got = {r.doc_id: r for r in secrets.find_secrets(make_docs(texts + unseen), model).collect()}
+        for i, t in enumerate(texts + unseen):
+            assert got[i].spans == names_of(plain_spans(t, ratio)), t
+        assert sum(r.n_markov for r in got.values()) >= 15
+        assert not any(r.n_markov for i, r in got.items() if i < 40)  # numbers in prose are no secrets
+
+
+def test_no_number_is_added_on_the_whole_table(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in QUERIES["op9_secret_scan"](spark, SF).where("n_markov > 0").collect():
+        for part in r.spans.split(","):
+            kind, s, e = part.split(":")
+            assert kind != "markov" or not docs[r.doc_id][int(s):int(e)].isdigit()
+
+
 # nearest neighbours
 
 def brute_nearest(rows, queries, k):
