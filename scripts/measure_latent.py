@@ -23,7 +23,14 @@ docs = spark.read.parquet(f"{sys.argv[1]}/documents.parquet").where("text is not
 held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 fit = docs.where(~held)
 asked = docs.where(held).withColumn("w", F.filter(F.split("text", r"\s+"), lambda w: w != "")).where("size(w) >= 20")
-first, second = (asked.select("doc_id", F.array_join(F.filter("w", lambda w, i, p=p: i % 2 == p), " ").alias("text")) for p in (0, 1))
+
+
+def half(odd):
+    words = F.filter("w", lambda w, i: i % 2 == odd)
+    return asked.select("doc_id", F.array_join(words, " ").alias("text"))
+
+
+first, second = half(0), half(1)
 
 
 def score(a, b):
