@@ -414,3 +414,20 @@ def test_unknown_names(spark):
     al = spark.createDataFrame([], "kind string, alias string, id long")
     df = spark.createDataFrame([(1, "We use Blue Harbour and Known Tool. This starts a sentence, with Blue Harbour again")], "job_id long, text string")
     assert [(r.pos, r.raw_name) for r in K.unknown_names(df, kw, al).collect()] == [(0, "Blue Harbour")]
+
+
+def test_similar_company_pairs_meet_once(spark):
+    from joblake.functions.text import trigrams
+    rnd = random.Random(5)
+    names = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 9))) + rnd.choice(["", ", Inc.", " co", " ünï"]) for _ in range(150)] + ["", "--", None, "a"]
+    df = spark.createDataFrame([(n,) for n in names * 2], "company_name string")
+    grams = {r.company_name: set(r.g) for r in df.where("company_name is not null").select("company_name", trigrams("company_name").alias("g")).collect() if r.g}
+    real = sorted(grams)
+    want = {(a, b) for a in real for b in real if a < b and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.3}
+    got = D.similar_company(df)
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted(want)
+    some = set(real[::3])
+    left = D.similar_company(df, left=spark.createDataFrame([(n,) for n in some], "company_name string"))
+    assert sorted((r.a, r.b) for r in left.collect()) == sorted(p for p in want if some & set(p))
+    # no table of candidate pairs is made different: a pair comes out of the join once
+    assert not re.search(r"Aggregate \[a#\d+, b#\d+", got._jdf.queryExecution().optimizedPlan().toString())
