@@ -431,3 +431,16 @@ def test_similar_company_pairs_meet_once(spark):
     assert sorted((r.a, r.b) for r in left.collect()) == sorted(p for p in want if some & set(p))
     # no table of candidate pairs is made different: a pair comes out of the join once
     assert not re.search(r"Aggregate \[a#\d+, b#\d+", got._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_plan_behind_a_chain_is_computed_once(spark):
+    rows = [("skill", i, f"n{i}", "merge" if i % 3 else "delete" if i % 2 else "promote", i - 1 if i % 3 else None, None) for i in range(1, 40)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(it):
+        for pdf in it:
+            read.add(len(pdf))
+            yield pdf
+    schema = "kind string, id long, name string, action string, into_id long, into_name string"
+    assert C.resolve_merge_chains(spark.createDataFrame(rows, schema).mapInPandas(counted, schema)).count() == len(rows)
+    assert read.value == len(rows)
