@@ -444,3 +444,30 @@ def test_plan_behind_a_chain_is_computed_once(spark):
     schema = "kind string, id long, name string, action string, into_id long, into_name string"
     assert C.resolve_merge_chains(spark.createDataFrame(rows, schema).mapInPandas(counted, schema)).count() == len(rows)
     assert read.value == len(rows)
+
+
+def test_block_product_deals_a_row_a_fixed_number_of_times(spark):
+    from joblake.operators import vectors as V
+    for n in (5_000, 50_000):
+        r = spark.range(n).select("id", F.array(F.rand(1), F.rand(2)).alias("vec"))
+        assert V._blocks(r, "vec", None).first()["n"] == V.GRID
+    wide = spark.range(40).select("id", F.sequence(F.lit(1), F.lit(1_000_000)).alias("vec"))
+    assert V._blocks(wide, "vec", None).first()["n"] == -(-40_000_000 // V.BLOCK_ENTRIES)
+
+
+def test_block_product_in_chunks_of_a_block(spark, monkeypatch):
+    from joblake.operators import vectors as V
+    rnd = random.Random(8)
+    sparse = [(i, {"size": 600, "indices": (ix := sorted(rnd.sample(range(600), 5))), "values": [float(rnd.randint(1, 2)) for _ in ix]}) for i in range(9_000)]
+    df = spark.createDataFrame(sparse, "id long, vec struct<size:int,indices:array<int>,values:array<double>>").cache()
+    q = spark.createDataFrame(sparse[:20], "qid long, vec struct<size:int,indices:array<int>,values:array<double>>")
+
+    def run(**how):
+        got = V.top_k_by_dot(df, q, large_key="id", small_key="qid", k=6, cosine=False, exclude_self=True, **how).collect()
+        return sorted((r.qid, r["rank"], r.id, r.similarity) for r in got)
+    vecs = [dict(zip(v["indices"], v["values"])) for _, v in sparse]
+    want = []
+    for a in range(20):
+        near = sorted((-sum(x * vecs[b].get(i, 0.0) for i, x in vecs[a].items()), b) for b in range(9_000) if b != a)[:6]
+        want += [(a, r, b, -s) for r, (s, b) in enumerate(near, 1)]
+    assert run(large_block=10_000) == run() == want
