@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from joblake.operators.vectors import top_k_per_group, unit
 from joblake.session import drop_scratch, scratch_table
 
+NODES = 256  # nodes whose neighbourhoods one call compares
+
 
 def _around(pdf: pd.DataFrame) -> list[pd.DataFrame]:
     """The pairs around one node that are near enough to enter either list."""
@@ -63,13 +65,21 @@ def nn_descent(rows: DataFrame, k: int = 24, delta: float = 0.002, max_rounds: i
         sides = drawn.join(x.select(F.col("id").alias("v"), "vec"), "v").join(worst, "v", "left").fillna({"worst": -2.0})
 
         def local(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.concat(_around(pdf.drop(columns="u")), ignore_index=True)
+            return pd.concat([p for _, around in pdf.groupby("u", sort=False) for p in _around(around)], ignore_index=True)
 
-        found = sides.groupBy("u").applyInPandas(local, f"u {kind}, v {kind}, sim double").distinct()
-        known = graph.select("u", "v", "sim", F.lit(False).alias("new"))
-        fresh = found.join(known.select("u", "v"), ["u", "v"], "left_anti").withColumn("new", F.lit(True))
+        # some hundred nodes to a group: a call a node would cost more than its pairs
+        dealt = sides.withColumn("g", F.pmod(F.xxhash64("u"), F.lit(max(1, n // NODES))))
+        found = dealt.groupBy("g").applyInPandas(lambda pdf: local(pdf.drop(columns="g")), f"u {kind}, v {kind}, sim double")
+        # the same pair met around two nodes may differ in the last digit: it takes one place
+        found = found.groupBy("u", "v").agg(F.max("sim").alias("sim"))
+        # what has not been drawn around either end stays new
+        seen = drawn.where("new").select("u", "v")
+        seen = seen.unionByName(seen.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().withColumn("seen", F.lit(True))
+        known = (graph.join(seen, ["u", "v"], "left")
+                 .select("u", "v", "sim", (F.col("new") & F.col("seen").isNull()).alias("new"), F.lit(False).alias("entered")))
+        fresh = found.join(known.select("u", "v"), ["u", "v"], "left_anti").withColumns({"new": F.lit(True), "entered": F.lit(True)})
         old, graph = graph, scratch_table(top_k_per_group(known.unionByName(fresh), "u", best, k, salt_key="v").drop("rank"), "descent")
-        changed = graph.agg(F.count_if("new")).first()[0]
+        changed = graph.agg(F.count_if("entered")).first()[0]
         drop_scratch(old)
         if changed <= delta * n * k:
             break

@@ -88,3 +88,9 @@ def test_descent_small_and_odd_tables(spark):
 def test_queries_reach_their_recall(spark, entry):
     for name in ("vector_search_approx", "knn_keywords_descent"):
         assert entry.queries()[name](spark, "/root/testdata/sf0.01").agg(F.avg("recall")).first()[0] >= 0.95
+
+
+def test_descent_lists_a_neighbour_once(spark):
+    x = np.random.default_rng(6).normal(size=(300, 10))
+    got = NG.nn_descent(rows(spark, x, "id"), k=12)
+    assert got.groupBy("id", "nid").count().where("count > 1").count() == 0
