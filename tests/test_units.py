@@ -471,3 +471,20 @@ def test_block_product_in_chunks_of_a_block(spark, monkeypatch):
         near = sorted((-sum(x * vecs[b].get(i, 0.0) for i, x in vecs[a].items()), b) for b in range(9_000) if b != a)[:6]
         want += [(a, r, b, -s) for r, (s, b) in enumerate(near, 1)]
     assert run(large_block=10_000) == run() == want
+
+
+def test_scorer_failures_leave_one_frame_a_batch(spark):
+    from unittest import mock
+    import pandas as pd
+    from joblake.operators import scoring as SC
+
+    def fn(pdf):
+        if (pdf["id"] % 10 == 7).any():
+            raise ValueError("no reply")
+        return pd.DataFrame({"t2_score": pdf["id"] * 1.0, "t2_explanation": "ok"})
+    taken = []
+    with mock.patch("pyspark.sql.classic.dataframe.DataFrame.mapInPandas", lambda self, f, schema: taken.append(f) or self.select("id", F.lit(0.0).alias("t2_score"))):
+        SC.batch_score(spark.range(1), fn)
+    frames = list(taken[0](iter([pd.DataFrame({"id": range(100)}), pd.DataFrame({"id": range(100, 130)})])))
+    assert [len(f) for f in frames] == [100, 30] and list(frames[0]["id"]) == list(range(100))
+    assert list(frames[1]["t2_score"].isna()) == [i % 10 == 7 for i in range(100, 130)]
