@@ -448,11 +448,11 @@ def test_plan_behind_a_chain_is_computed_once(spark):
 
 def test_block_product_deals_a_row_a_fixed_number_of_times(spark):
     from joblake.operators import vectors as V
-    for n in (5_000, 50_000):
+    for n in (70_000, 300_000):
         r = spark.range(n).select("id", F.array(F.rand(1), F.rand(2)).alias("vec"))
-        assert V._blocks(r, "vec", None).first()["n"] == V.GRID
+        assert V._blocks(r, "vec", None, V.LARGE_BLOCK).first()["n"] == V.GRID
     wide = spark.range(40).select("id", F.sequence(F.lit(1), F.lit(1_000_000)).alias("vec"))
-    assert V._blocks(wide, "vec", None).first()["n"] == -(-40_000_000 // V.BLOCK_ENTRIES)
+    assert V._blocks(wide, "vec", None, V.LARGE_BLOCK).first()["n"] == -(-40_000_000 // V.BLOCK_ENTRIES)
 
 
 def test_block_product_in_chunks_of_a_block(spark, monkeypatch):
