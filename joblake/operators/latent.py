@@ -30,7 +30,8 @@ from joblake.operators.vectors import text_features
 from joblake.session import drop_scratch, scratch_table
 
 FEATURE_BLOCK = 64
-ENTRIES = 1 << 20  # non-zero entries (or cells of the product) a task holds at a time
+ENTRIES = 1 << 20  # cells of a block of rows, or of its product, a task holds at a time
+BLOCK_ENTRIES = 1 << 14  # non-zero entries of such a block: it stays in the processor's cache
 MAX_BASIS = 1 << 24  # entries of a basis: 128 MB on the driver and in every executor
 
 
@@ -45,23 +46,33 @@ def _slices(column: pa.StructArray, width: int) -> Iterator[tuple[np.ndarray, np
     ptr = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))).astype(np.int64)
     idx = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     val = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    at, most = 0, max(1, ENTRIES // max(1, width))
+    at, most = 0, max(1, min(ENTRIES // max(1, width), BLOCK_ENTRIES))
     while at < len(column):
-        # at least one row; rows are added while their entries, times the width, stay bounded
+        # at least one row; rows are added while their entries, times the width, and the cells of their block stay bounded
         end = int(np.searchsorted(ptr, ptr[at] + most, side="right")) - 1
-        end = min(max(end, at + 1), at + most, len(column))
+        end = min(max(end, at + 1), at + max(1, ENTRIES // most), len(column))
         a, b = ptr[at], ptr[end]
         yield ptr[at:end] - a, idx[a:b], val[a:b], slice(at, end)
         at = end
 
 
+def _block(starts: np.ndarray, idx: np.ndarray, val: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """A few sparse rows as ``(features, rows × features)``, of the features they have only:
+    one matrix product over them takes a fraction of the time of adding up entry by entry."""
+    seen = np.zeros(d, dtype=bool)
+    seen[idx] = True
+    features = np.flatnonzero(seen)
+    place = np.empty(d, dtype=np.int64)
+    place[features] = np.arange(len(features))
+    row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(idx))))
+    cells = np.bincount(row * len(features) + place[idx], weights=val, minlength=len(starts) * len(features))
+    return features, cells.reshape(len(starts), len(features))
+
+
 def _times(starts: np.ndarray, idx: np.ndarray, val: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """``A Q`` for a few sparse rows: the entries' basis rows, added up per row."""
-    out = np.zeros((len(starts), basis.shape[1]))
-    full = np.flatnonzero(np.diff(np.append(starts, len(idx))) > 0)
-    if len(full):
-        out[full] = np.add.reduceat(val[:, None] * basis[idx], starts[full], axis=0)
-    return out
+    """``A Q`` for a few sparse rows."""
+    features, block = _block(starts, idx, val, len(basis))
+    return block @ basis[features]
 
 
 def _gram_times(rows: DataFrame, vec: str, basis: np.ndarray) -> np.ndarray:
@@ -75,12 +86,8 @@ def _gram_times(rows: DataFrame, vec: str, basis: np.ndarray) -> np.ndarray:
         for batch in it:
             for starts, idx, val, _ in _slices(batch.column(0), q.shape[1]):
                 seen = True
-                dense = _times(starts, idx, val, q)
-                row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(idx))))
-                by = np.argsort(idx, kind="stable")
-                first = np.flatnonzero(np.diff(idx[by], prepend=-1))
-                if len(first):
-                    total[idx[by][first]] += np.add.reduceat(val[by, None] * dense[row[by]], first, axis=0)
+                features, block = _block(starts, idx, val, len(q))
+                total[features] += block.T @ (block @ q[features])
         if seen:
             blocks = [total[b:b + FEATURE_BLOCK].ravel() for b in range(0, len(total), FEATURE_BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks))), pa.array(blocks, pa.list_(pa.float64()))], names=["block", "x"])
@@ -176,14 +183,20 @@ class LatentModel:
 
 
 def fit_latent(texts: DataFrame, rank: int = 64, num_features: int = 1 << 13, text_col: str = "text", **how) -> LatentModel:
-    """Fit term weights and subspace on all ``texts``. The term matrix is written
-    once to the shared scratch folder, since every pass reads it, and dropped."""
+    """Fit term weights and subspace on all ``texts``. The texts are read into term counts
+    once; counts and term matrix are written to the shared scratch folder, since every pass
+    reads the matrix, and dropped. Counts are dealt out evenly, so that the passes keep every
+    core busy however the texts are stored."""
     src = texts.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    terms = text_features(num_features).fit(src)
-    rows = scratch_table(terms.transform(src).select("_unit"), "term-matrix")
+    words, tf, idf, unit = text_features(num_features).getStages()
+    evenly = 2 * texts.sparkSession.sparkContext.defaultParallelism
+    counts = scratch_table(tf.transform(words.transform(src)).select("_tf").repartition(evenly), "term-counts")
+    weights = idf.fit(counts)
+    rows = scratch_table(unit.transform(weights.transform(counts)).select("_unit"), "term-matrix")
+    drop_scratch(counts)
     space = fit_subspace(rows, num_features, rank, vec="_unit", **how)
     drop_scratch(rows)
-    return LatentModel(terms, space)
+    return LatentModel(PipelineModel([words, tf, weights, unit]), space)
 
 
 def rank_of_partner(found: DataFrame) -> DataFrame:

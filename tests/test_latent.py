@@ -100,3 +100,34 @@ def test_partner_ranks(spark):
     r = LT.rank_of_partner(found).first()
     assert (r.n, r.mean_reciprocal) == (3, 0.5) and abs(r.found_first - 1 / 3) < 1e-12
     assert LT.rank_of_partner(found.where(F.lit(False))).first().n == 0
+
+
+def test_a_block_of_short_rows_stays_bounded():
+    """Dense cells of a block are rows × distinct features, whatever the rows hold."""
+    import pyarrow as pa
+    rng = np.random.default_rng(2)
+    cells = [{"size": 8192, "indices": sorted(rng.choice(8192, n, replace=False).tolist()), "values": [1.0] * n} for n in [2] * 3000 + [8000, 0, 300]]
+    col = pa.array(cells, pa.struct([("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))]))
+    for starts, idx, _, span in LT._slices(col, 80):
+        assert len(starts) == 1 or len(starts) * len(np.unique(idx)) <= LT.ENTRIES
+
+
+def test_block_product_adds_up_entry_by_entry():
+    starts, idx, val = np.array([0, 0, 3, 3]), np.array([4, 1, 4, 0]), np.array([1.0, 2.0, 0.5, 3.0])
+    basis = np.random.default_rng(3).normal(size=(6, 2))
+    want = np.array([[0, 0], 1.5 * basis[4] + 2 * basis[1], [0, 0], 3 * basis[0]])
+    assert np.allclose(LT._times(starts, idx, val, basis), want)
+
+
+def test_texts_of_one_partition_are_dealt_to_every_pass(spark, monkeypatch):
+    """However few parts the texts are stored in, the term matrix has as many as there are cores."""
+    parts, table = {}, LT.scratch_table
+
+    def kept(df, name):
+        parts[name] = df.select(F.spark_partition_id().alias("p")).distinct().count()
+        return table(df, name)
+
+    monkeypatch.setattr(LT, "scratch_table", kept)
+    texts = spark.range(200).select(F.concat_ws(" ", F.lit("word"), F.col("id") % 7, F.col("id") % 11).alias("text")).coalesce(1)
+    LT.fit_latent(texts, rank=2, num_features=64)
+    assert parts["term-matrix"] > 1
