@@ -28,6 +28,8 @@ ABBREVIATIONS = [
 ]
 # anything but a letter, digit, underscore or blank is punctuation (Unicode classes)
 PUNCT = r"[^\p{L}\p{N}_\s]"
+# where this finds nothing, none of the rewrites does: their full stop is optional
+ANY_ABBREVIATION = r"\b(?:" + "|".join(pat.removeprefix(r"\b").removesuffix(r"\.?\b") for pat, _ in ABBREVIATIONS) + r")\b"
 # ---------------------------------------------------------------------------
 
 
@@ -38,9 +40,10 @@ def _c(c) -> Column:
 def normalise_text(col) -> Column:
     """lower → abbreviation rewrites → punctuation to blank → collapse blanks
     → trim; NULL becomes ''."""
-    x = F.lower(F.coalesce(_c(col), F.lit("")))
+    x = plain = F.lower(F.coalesce(_c(col), F.lit("")))
     for pat, rep in ABBREVIATIONS:
         x = F.regexp_replace(x, pat, rep)
+    x = F.when(plain.rlike(ANY_ABBREVIATION), x).otherwise(plain)  # one search for most texts, not one for each rewrite
     x = F.regexp_replace(x, PUNCT, " ")
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 

@@ -94,7 +94,8 @@ def reprocess_upsert(jobs: DataFrame, updates: DataFrame, job_keywords: DataFram
     out = out.drop("_hit")
     touched = jobs.join(updates.select("dedup_hash"), "dedup_hash", "left_semi").select("job_id", "dedup_hash")
     kept = job_keywords.join(touched.select("job_id"), "job_id", "left_anti")
-    rebuilt = (new_keywords.join(touched, "dedup_hash").select("job_id", "kind", "id")
+    # listings of one hash send their keywords once, or each would meet those of all the others
+    rebuilt = (new_keywords.select("dedup_hash", "kind", "id").distinct().join(touched, "dedup_hash").select("job_id", "kind", "id")
                .dropDuplicates(["job_id", "kind", "id"]))
     return out, kept.unionByName(rebuilt.select(*kept.columns))
 

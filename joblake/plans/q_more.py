@@ -12,7 +12,7 @@ from joblake.operators import filters as FL
 from joblake.operators import listing as L
 from joblake.operators import vectors as V
 from joblake.plans.registry import register
-from joblake.session import scratch_path
+from joblake.session import scratch_path, scratch_table
 from joblake.sources import pages as PG
 from joblake.sources import sinks as SK
 
@@ -73,9 +73,10 @@ def scan_plan(T):
 @register("reprocess_upsert")
 def reprocess_upsert(T):
     """Quarantined listings replaced by reprocessed fields (matched by hash),
-    scores and dates kept, their junction rows rebuilt."""
-    jobs = D.with_hash(T.jobs.select("job_id", "title", "company_name", "location", "description", "status",
-                                     "t2_score", "date_listed"))
+    scores and dates kept, their junction rows rebuilt. The snapshot is read four
+    times, so it is hashed and written once."""
+    jobs = scratch_table(D.with_hash(T.jobs.select("job_id", "title", "company_name", "location", "description", "status",
+                                                   "t2_score", "date_listed")), "snapshot")
     upd = jobs.where(F.col("status") == "extraction_failed").select(
         "dedup_hash", F.concat(F.lit("reprocessed: "), F.col("description")).alias("description"),
         F.lit("active").alias("status"))

@@ -488,3 +488,23 @@ def test_scorer_failures_leave_one_frame_a_batch(spark):
     frames = list(taken[0](iter([pd.DataFrame({"id": range(100)}), pd.DataFrame({"id": range(100, 130)})])))
     assert [len(f) for f in frames] == [100, 30] and list(frames[0]["id"]) == list(range(100))
     assert list(frames[1]["t2_score"].isna()) == [i % 10 == 7 for i in range(100, 130)]
+
+
+def test_reprocess_hashes_the_snapshot_once(spark, entry):
+    """The hash is computed before the joins, not again at each of them."""
+    out = entry.queries()["reprocess_upsert"](spark, "/root/testdata/sf0.001")
+    assert "sha2" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.where("status = 'active' and description like 'reprocessed: %'").count() > 0
+
+
+def test_abbreviations_are_found_where_a_rewrite_would(spark):
+    from joblake.functions import text as TX
+    texts = ["Sr. Eng", "sr.x", "x.sr", "sr_", "isr", "Eng.", "dev.ops", "Acme, Inc.", "inc", "Incorporated", "plain  words!", "jr-dev", "数据 sr", "vp2", "a.eng.b", None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    x = F.lower(F.coalesce(F.col("t"), F.lit("")))
+    for pat, rep in TX.ABBREVIATIONS:
+        x = F.regexp_replace(x, pat, rep)
+    x = F.trim(F.regexp_replace(F.regexp_replace(x, TX.PUNCT, " "), r"\s+", " "))
+    assert all(r.a == r.b for r in rows.select(TX.normalise_text("t").alias("a"), x.alias("b")).collect())
+    rewritten = rows.where(F.lower("t").rlike(TX.ANY_ABBREVIATION)).count()
+    assert rewritten == sum(any(re.search(p, (t or "").lower()) for p, _ in TX.ABBREVIATIONS) for t in texts)
