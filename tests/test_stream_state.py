@@ -71,3 +71,43 @@ def test_a_batch_run_again_replaces_its_rows(spark, tmp_path):
     S._write(rows, str(tmp_path / "t"), "batch")
     S._write(rows.where("batch = 'y'").withColumn("dedup_hash", F.lit("h3")), str(tmp_path / "t"), "batch")
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).select("dedup_hash", "batch").collect()) == [("h1", "x"), ("h3", "y")]
+
+
+def test_titles_of_a_trigram_are_not_compared_one_by_one(monkeypatch):
+    """Links as by comparing every pair, with a ratio computed for few of them."""
+    import random
+    from types import SimpleNamespace
+
+    from joblake.functions.text import token_sort_ratio_py
+    from joblake.streaming import state as ST
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(300)]
+    titles = ["", "数据 工程师", "数据 工程", "x" * 200, "x" * 190 + "y" * 10]
+    while len(titles) < 300:
+        titles.append(" ".join(sorted(rng.choices(words, k=3))) if rng.random() < 0.8 else rng.choice(titles) + rng.choice(["", "s", " ii"]))
+    companies = [("acme a", ["  a", "acm", "cme"]), ("acme b", ["  a", "acm", "cme", "  b"]), ("other", ["  a", "oth", "the", "her", "er ", "  o"])]
+    rows = []
+    for i, t in enumerate(titles):
+        name, grams = rng.choice(companies)
+        rows.append(SimpleNamespace(company_name=name, tkey=t, dedup_hash=f"h{i}", grams=grams, prefix=grams[:2], query="q", page_no=1, position=i))
+
+    asked = []
+    monkeypatch.setattr(ST, "token_sort_ratio_py", lambda a, b: asked.append(1) or token_sort_ratio_py(a, b))
+    held = rows[:40]  # of an earlier batch
+    first = {(r.company_name, r.tkey): (r.dedup_hash, r.grams, r.prefix) for r in reversed(held)}
+    arrivals = ST.Arrivals()
+    arrivals.titles = SimpleNamespace(iterator=lambda: iter(first.items()), updateValue=lambda k, v: None)
+    got = {(x.dedup_hash, x.other, x.same) for x in arrivals._by_gram("  a", rows[40:])}
+
+    known, want = dict(first), set()
+    for r in rows[40:]:
+        if (r.company_name, r.tkey) in known:
+            want.add((r.dedup_hash, known[r.company_name, r.tkey][0], True))
+            continue
+        for (_, tkey), (other, grams, _) in known.items():
+            shared = len(set(grams) & set(r.grams))
+            if shared >= arrivals.company * (len(grams) + len(r.grams) - shared) and token_sort_ratio_py(r.tkey, tkey) >= arrivals.title:
+                want.add((r.dedup_hash, other, False))
+        known[r.company_name, r.tkey] = (r.dedup_hash, r.grams, r.prefix)
+    assert got == want and len(want) > 20
+    assert len(asked) < len(rows) * len(rows) / 40
