@@ -12,7 +12,7 @@ pairs compared grow with the number of nodes and of rounds, not with its square.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,18 +22,28 @@ from joblake.session import drop_scratch, scratch_table
 NODES = 256  # nodes whose neighbourhoods one call compares
 
 
-def _around(pdf: pd.DataFrame) -> list[pd.DataFrame]:
-    """The pairs around one node that are near enough to enter either list."""
-    pdf = pdf.sort_values("new", ascending=False).drop_duplicates("v")
-    ids, new, worst = pdf["v"].to_numpy(), pdf["new"].to_numpy(bool), pdf["worst"].to_numpy()
-    x = np.stack(pdf["vec"].to_list())
-    sims = x @ x.T
-    i, j = np.nonzero(np.triu(new[:, None] | new[None, :], 1) & (sims > np.minimum(worst[:, None], worst[None, :])))
-    s, out = sims[i, j], []
-    for a, b in ((i, j), (j, i)):
-        ok = s > worst[a]
-        out.append(pd.DataFrame({"u": ids[a[ok]], "v": ids[b[ok]], "sim": s[ok]}))
-    return out
+def _around(t: pa.Table) -> pa.Table:
+    """``t(u, v, new, vec, worst)``: the pairs around each node ``u``, at least one of them
+    new, that are near enough to enter either list."""
+    u, v = (t.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in "uv")
+    new = t.column("new").to_numpy().astype(bool)
+    by = np.lexsort((~new, v, u))
+    first = np.ones(len(by), bool)
+    first[1:] = (u[by][1:] != u[by][:-1]) | (v[by][1:] != v[by][:-1])
+    by = by[first]
+    vec = t.column("vec").combine_chunks()
+    x = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1)[by]
+    new, worst, ends = new[by], t.column("worst").to_numpy()[by], np.flatnonzero(np.diff(u[by], append=-1)) + 1
+    rows, cols, sims_out, a = [], [], [], 0
+    for b in ends.tolist():
+        sims = x[a:b] @ x[a:b].T
+        near = (sims > worst[a:b, None]) & (new[a:b, None] | new[None, a:b])
+        np.fill_diagonal(near, False)
+        i, j = np.nonzero(near)
+        rows.append(i + a), cols.append(j + a), sims_out.append(sims[i, j])
+        a = b
+    ids = t.column("v").combine_chunks().take(pa.array(by))
+    return pa.table({"u": ids.take(pa.array(np.concatenate(rows))), "v": ids.take(pa.array(np.concatenate(cols))), "sim": pa.array(np.concatenate(sims_out), pa.float64())})
 
 
 def nn_descent(rows: DataFrame, k: int = 24, delta: float = 0.002, max_rounds: int = 30, seed: int = 1, stats: dict | None = None) -> DataFrame:
@@ -62,21 +72,20 @@ def nn_descent(rows: DataFrame, k: int = 24, delta: float = 0.002, max_rounds: i
         both = (graph.select("u", "v", "new").unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "new")))
         drawn = top_k_per_group(both.distinct().withColumn("g", F.struct("u", "new")), "g", [F.xxhash64("u", "v", F.lit(rounds)), F.col("v")], 2 * k, salt_key="v").select("u", "v", "new")
         worst = graph.groupBy(F.col("u").alias("v")).agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(-2.0).alias("worst"))
-        sides = drawn.join(x.select(F.col("id").alias("v"), "vec"), "v").join(worst, "v", "left").fillna({"worst": -2.0})
-
-        def local(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.concat([p for _, around in pdf.groupby("u", sort=False) for p in _around(around)], ignore_index=True)
-
+        drawn = scratch_table(drawn, "descent-drawn")
+        # around a node without a new neighbour there is nothing to compare: no vector goes there
+        sides = (drawn.join(drawn.where("new").select("u").distinct(), "u", "left_semi")
+                 .join(x.select(F.col("id").alias("v"), "vec"), "v").join(worst, "v", "left").fillna({"worst": -2.0}))
         # some hundred nodes to a group: a call a node would cost more than its pairs
         dealt = sides.withColumn("g", F.pmod(F.xxhash64("u"), F.lit(max(1, n // NODES))))
-        found = dealt.groupBy("g").applyInPandas(lambda pdf: local(pdf.drop(columns="g")), f"u {kind}, v {kind}, sim double")
+        found = dealt.groupBy("g").applyInArrow(_around, f"u {kind}, v {kind}, sim double")
         # the same pair met around two nodes may differ in the last digit: it takes one place
         found = found.groupBy("u", "v").agg(F.max("sim").alias("sim"))
         known = graph.select("u", "v", "sim", F.lit(False).alias("new"))
         fresh = found.join(known.select("u", "v"), ["u", "v"], "left_anti").withColumn("new", F.lit(True))
         old, graph = graph, scratch_table(top_k_per_group(known.unionByName(fresh), "u", best, k, salt_key="v").drop("rank"), "descent")
         changed = graph.agg(F.count_if("new")).first()[0]
-        drop_scratch(old)
+        drop_scratch(old, drawn)
         if changed <= delta * n * k:
             break
     if stats is not None:
